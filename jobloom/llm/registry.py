@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobloom.llm.fingerprints import op7_document_fingerprints
+from jobloom.llm.licenses import op4_license_scans
 from jobloom.llm.token_ids import op6_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_license_scans": op4_license_scans,
         "op6_token_ids": op6_token_ids,
         "op7_document_fingerprints": op7_document_fingerprints,
     }
