@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobloom.llm.chat import op10_chat_formatting
 from jobloom.llm.fingerprints import op7_document_fingerprints
 from jobloom.llm.licenses import op4_license_scans
 from jobloom.llm.token_ids import op6_token_ids
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scans": op4_license_scans,
         "op6_token_ids": op6_token_ids,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op10_chat_formatting": op10_chat_formatting,
     }
 
 
