@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from jobloom.llm.chat import op10_chat_formatting
 from jobloom.llm.fingerprints import op7_document_fingerprints
 from jobloom.llm.licenses import op4_license_scans
+from jobloom.llm.mixing import op9_source_mixing
 from jobloom.llm.token_ids import op6_token_ids
 
 
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scans": op4_license_scans,
         "op6_token_ids": op6_token_ids,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op9_source_mixing": op9_source_mixing,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
