@@ -9,6 +9,7 @@ spans of assistant texts, sorted, are met with the sorted token spans by binary
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ MARK_TURN, MARK_TEXT, MARK_END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of this and other templates; "<|" begins every mark.
 CONTROL_STRINGS = ("<|", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
 LOSS_ROLES = ("assistant",)
-ENCODE_CHARS = 1 << 22
+#: Characters that are encoded at once, and so held with their tokens.
+ENCODE_CHARS = 1 << 18
 
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL_STRINGS, key=len, reverse=True))))
 _BACKSLASH = re.compile(r"\\(\\?)")
@@ -69,14 +71,13 @@ def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> n
     return mask
 
 
-def masked_text(formatted: str, offsets: list[tuple[int, int]], mask: list[int]) -> str:
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """All text under the mask, unescaped; a character that several tokens share counts once."""
-    parts, reached = [], 0
-    for (begin, end), on in zip(offsets, mask, strict=True):
-        if on and end > reached:
-            parts.append(formatted[max(begin, reached) : end])
-            reached = end
-    return unescape("".join(parts))
+    on = np.flatnonzero(mask)
+    starts, ends = starts[on], ends[on]
+    begins = np.flatnonzero(np.append(True, starts[1:] > ends[:-1])[: len(on)])  # of runs of tokens that touch
+    stops = np.append(begins[1:], len(on))[: len(begins)]
+    return unescape("".join(formatted[starts[a] : ends[b - 1]] for a, b in zip(begins, stops, strict=True)))
 
 
 _tokenizers: dict[str, object] = {}
@@ -85,6 +86,7 @@ _tokenizers: dict[str, object] = {}
 def chat_tokenizer(path: str):
     """A byte-level tokenizer with the marks as special tokens, once for each Python worker."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import AddedToken, Tokenizer
 
         found = Tokenizer.from_file(path)
@@ -162,13 +164,13 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                turns = parse(row["formatted"])
+            for conv_id, text, *lists in zip(*(batch.column(x) for x in ("conv_id", "formatted", "token_starts", "token_ends", "loss_mask")), strict=True):
+                text = text.as_py()
+                turns = parse(text)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                offsets = list(zip(row["token_starts"], row["token_ends"], strict=True))
-                loss = masked_text(row["formatted"], offsets, row["loss_mask"])
+                loss = masked_text(text, *(x.values.to_numpy() for x in lists))
                 sha = [hashlib.sha256(x.encode()).hexdigest() for x in (said, loss)]
-                out.append((row["conv_id"], len(turns), sha[0], len(loss), sha[1], len(row["formatted"])))
+                out.append((conv_id.as_py(), len(turns), sha[0], len(loss), sha[1], len(text)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
