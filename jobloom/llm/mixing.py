@@ -214,7 +214,9 @@ def pieces(docs: DataFrame, mix: DataFrame, block_words: int = BLOCK_WORDS) -> D
     held = docs.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     edge = F.col("block") * block_words
     held = held.withColumn("word", F.greatest("start", edge)).withColumn("to", F.least(end, edge + block_words))
-    joined = held.join(mix.withColumn("number", F.col("number").cast("int")), ["number", "block"])
+    # the planner takes the slots for as few rows as there are shards, so it must not choose to broadcast them
+    mix = mix.withColumn("number", F.col("number").cast("int")).hint("merge")
+    joined = held.join(mix, ["number", "block"])
     stop = F.least("to", F.col("block") * block_words + F.col("take"))
     joined = joined.withColumn("n_words", stop - F.col("word")).withColumn("from_word", F.col("word") - F.col("start"))
     return joined.where("n_words > 0").drop("word", "to", "take")
