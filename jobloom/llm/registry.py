@@ -11,11 +11,13 @@ from jobloom.llm.fingerprints import op7_document_fingerprints
 from jobloom.llm.licenses import op4_license_scans
 from jobloom.llm.mixing import op9_source_mixing
 from jobloom.llm.packing import op3_best_fit_packing
+from jobloom.llm.pii import op1_pii_surrogates
 from jobloom.llm.token_ids import op6_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_surrogates": op1_pii_surrogates,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_license_scans": op4_license_scans,
         "op6_token_ids": op6_token_ids,
