@@ -12,6 +12,7 @@ from jobloom.llm.licenses import op4_license_scans
 from jobloom.llm.mixing import op9_source_mixing
 from jobloom.llm.packing import op3_best_fit_packing
 from jobloom.llm.pii import op1_pii_surrogates
+from jobloom.llm.quality import op8_quality_classifier
 from jobloom.llm.token_ids import op6_token_ids
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scans": op4_license_scans,
         "op6_token_ids": op6_token_ids,
         "op7_document_fingerprints": op7_document_fingerprints,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_source_mixing": op9_source_mixing,
         "op10_chat_formatting": op10_chat_formatting,
     }
