@@ -10,6 +10,7 @@ from jobloom.llm.chat import op10_chat_formatting
 from jobloom.llm.fingerprints import op7_document_fingerprints
 from jobloom.llm.licenses import op4_license_scans
 from jobloom.llm.mixing import op9_source_mixing
+from jobloom.llm.neighbours import op5_nearest_neighbours
 from jobloom.llm.packing import op3_best_fit_packing
 from jobloom.llm.pii import op1_pii_surrogates
 from jobloom.llm.quality import op8_quality_classifier
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii_surrogates": op1_pii_surrogates,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_license_scans": op4_license_scans,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_token_ids": op6_token_ids,
         "op7_document_fingerprints": op7_document_fingerprints,
         "op8_quality_classifier": op8_quality_classifier,
