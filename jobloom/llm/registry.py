@@ -10,6 +10,7 @@ from jobloom.llm.chat import op10_chat_formatting
 from jobloom.llm.fingerprints import op7_document_fingerprints
 from jobloom.llm.licenses import op4_license_scans
 from jobloom.llm.mixing import op9_source_mixing
+from jobloom.llm.near_dedup import op2_near_dedup
 from jobloom.llm.neighbours import op5_nearest_neighbours
 from jobloom.llm.packing import op3_best_fit_packing
 from jobloom.llm.pii import op1_pii_surrogates
@@ -20,6 +21,7 @@ from jobloom.llm.token_ids import op6_token_ids
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_surrogates": op1_pii_surrogates,
+        "op2_near_dedup": op2_near_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_license_scans": op4_license_scans,
         "op5_nearest_neighbours": op5_nearest_neighbours,
