@@ -43,21 +43,22 @@ SURNAME_SYLLABLES = {
 }
 
 _NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+#: No entity begins inside a word. This stands before all patterns, so most places fail at one look.
+_START = r"(?<![\p{L}0-9])"
 #: What each type looks like; where two begin at one place, the earlier wins. Every group is non-capturing.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}",
-    "access_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![\p{L}0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,256}+\"?",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-} | {f"name_{script}_{gender}": rf"(?<!\p{{L}})(?:{titles}) {_NAME}" for (script, gender), titles in TITLES.items()}
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-
-_HEX = "0123456789abcdef"
-
+    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}",
+    "access_key": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,256}+\"?",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=[0-9])(?<![.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "card": r"(?=[0-9])(?<![-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
+    "ssn": r"(?=[0-9])(?<![-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?=[+(0-9])(?<![+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+} | {f"name_{script}_{gender}": rf"(?=\p{{Lu}})(?:{titles}) {_NAME}" for (script, gender), titles in TITLES.items()}
+ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: A text with an entity matches this as well; it is much cheaper.
+GATE = r"[0-9@=:]|(?=\p{Lu})" + _START + "(?:" + "|".join(TITLES.values()) + ")"
 
 def entity_type(mention: Column) -> Column:
     """The first type whose pattern the mention is; a mention is a match of ANY, so it has one."""
@@ -128,9 +129,15 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), weight), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical value, in canonical form; later attempts of short values are longer."""
-    h = _digest(key, kind, value, attempt.cast("string"))
+def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+    """rows (kind, canon, attempt, ...) with new, the surrogate of that attempt."""
+    # a column of its own: the expressions below read it many times
+    hashed = rows.withColumn("h", _digest(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string")))
+    return hashed.withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("h"))).drop("h")
+
+
+def _surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Column:
+    """The surrogate of a canonical value, in canonical form, by its digest; later attempts of short values are longer."""
     n = F.length(value)
     drawn = _digits(h)
     card = F.concat(F.substring(value, 1, 1), F.substr(drawn, F.lit(2), n - 1))
@@ -165,7 +172,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     return out.otherwise(_same_classes(value, h))
 
 
-def in_format(kind: Column, mention: Column, value: Column, canon: Column, new: Column) -> Column:
+def in_format(kind: Column, mention: Column, value: Column, new: Column) -> Column:
     """The mention with its value replaced by a canonical surrogate, in the mention's own format."""
 
     def digit(c: Column, i: Column) -> Column:
@@ -194,7 +201,7 @@ def settle(entities: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
     tables: list[DataFrame] = []
     left = entities
     for attempt in range(MOST_ATTEMPTS):
-        drawn = left.select("kind", "canon", F.lit(attempt).alias("attempt"), surrogate(key, F.col("kind"), F.col("canon"), F.lit(attempt)).alias("new"))
+        drawn = with_surrogate(left.select("kind", "canon", F.lit(attempt).alias("attempt")), key)
         taken = known
         for earlier in settled:
             taken = taken.unionByName(earlier.select("kind", "new"))
@@ -227,7 +234,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     columns = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc.text")
-    some = F.coalesce(F.regexp_like(text, F.lit(ANY)), F.lit(False))
+    some = F.coalesce(F.regexp_like(text, F.lit(GATE)) & F.regexp_like(text, F.lit(ANY)), F.lit(False))
     mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     found = written(whole.where(some).select(F.monotonically_increasing_id().alias("row"), "doc", mentions.alias("mentions")), "pii-documents")
     said = found.select("row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention")))
@@ -237,9 +244,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     settled, tables = settle(entities, key)
     # in nearly all mentions the first attempt stands, and needs no join
     later = settled.where("attempt > 0").select("kind", "canon", "attempt")
-    said = said.join(later, ["kind", "canon"], "left")
-    new = surrogate(key, F.col("kind"), F.col("canon"), F.coalesce("attempt", F.lit(0)))
-    said = said.withColumn("new", in_format(*map(F.col, ("kind", "mention", "value", "canon")), new))
+    said = said.join(later, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    said = with_surrogate(said, key).withColumn("new", in_format(*map(F.col, ("kind", "mention", "value", "new"))))
     by_row = said.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"))
     by_row = written(by_row.select("row", F.col("new.new").alias("new")), "pii-replacements")
     discard(entities, *tables)
