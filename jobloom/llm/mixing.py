@@ -10,6 +10,7 @@ permutation of that pass maps j % n to a block. Slots then join blocks by their
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobloom.llm.scratch import table, written
+from jobloom.llm.scratch import discard, table, written
 
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 1024
@@ -29,6 +30,7 @@ MOST_PASSES = 3
 #: Relative weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
+_WORDS = re.compile(WORD)
 #: Rows of a source that share one running sum.
 SUM_ROWS = 512
 #: numpy draws from populations below this size; larger nodes of the tree split in proportion.
@@ -240,5 +242,54 @@ def taken_words(docs: DataFrame) -> DataFrame:
     return some.unionByName(docs.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken")))
 
 
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words of text in the sorted (first, count) spans, as they stand; where words between are left out, a line break."""
+    words = [m.span() for m in _WORDS.finditer(text)]
+    runs: list[list[int]] = []
+    for first, count in spans:
+        if runs and runs[-1][1] == first:
+            runs[-1][1] = first + count
+        else:
+            runs.append([first, first + count])
+    return "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as rows of docs' own columns: a document once for each pass that takes words of it.
+
+    Where a pass takes all words of a document, its text stays as it is; else it is the words taken. A
+    column n_chars is brought up to date. Defined cases are those of taken_words(); documents of which
+    no word is taken have no row.
+    """
+    sizes = sized(docs)
+    plans = plan_mix(sizes)
+    mix = slots(docs.sparkSession, plans)
+    key = F.xxhash64("doc_id", "source", "text_hash").alias("key")
+    taken = pieces(placed(sizes, plans), mix).select(key, "text_hash", "start", "size", "pass", "from_word", "n_words")
+    taken = taken.groupBy("key", "text_hash", "start", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("doc")).withColumn("text_hash", F.xxhash64("doc.text"))
+    rows = rows.select("doc", F.xxhash64("doc.doc_id", "doc.source", "text_hash").alias("key"), "text_hash")
+    # rows that are alike in all these are told apart by their starts, and need the text once
+    joined = rows.dropDuplicates(["key", "text_hash"]).join(taken, ["key", "text_hash"])
+    chosen = written(joined.select("doc.*", F.col("size").alias("_size"), F.col("spans").alias("_spans")), "mix-documents")
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, size, spans in zip(batch.column(at), batch.column(-2).to_pylist(), batch.column(-1), strict=True):
+                spans = [(x["from_word"], x["n_words"]) for x in spans.as_py()]
+                whole = sum(n for _, n in spans) == size
+                texts.append(text.as_py() if whole else _cut(text.as_py(), spans))
+            columns = [*batch.columns[:-2]]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    out = chosen.mapInArrow(cut, schema)
+    discard(sizes)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
