@@ -196,7 +196,9 @@ def _calibrate(net: Network, texts: list[bytes], wanted: np.ndarray, weight: np.
         best = best - np.linalg.solve(curve, slope)
     if best[0] > 0:
         net.out *= np.float32(best[0])
-        net.out_bias[:] = net.out_bias * np.float32(best[0]) + np.float32(best[1])
+        # the classes weigh the same above, so that even odds are THRESHOLD and not one half
+        even = np.log(THRESHOLD / (1 - THRESHOLD))
+        net.out_bias[:] = net.out_bias * np.float32(best[0]) + np.float32(best[1] + even)
 
 
 def held_out(doc_id):
