@@ -93,7 +93,7 @@ def company_key(company: Column) -> Column:
 
 def split_list(s: Column) -> Column:
     """Items of a comma-joined list, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def append_unseen(a: Column, b: Column) -> Column:

@@ -48,7 +48,7 @@ def target_counts(rows: DataFrame, user: str, target: str, admins: list[int]) ->
 
 def sliding_limit(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
     """events with hits (of the key in the window that ends with the event), allowed, and retry_after in seconds."""
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     window = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
     out = events.withColumn("hits", F.count("*").over(window)).withColumn("_oldest", F.min(micros).over(window))
     wait = F.ceil((F.col("_oldest") + seconds * 1_000_000 - micros) / 1_000_000)
@@ -57,7 +57,7 @@ def sliding_limit(events: DataFrame, key: str, ts: str, most: int, seconds: int)
 
 def fixed_limit(events: DataFrame, key: str, ts: str, rows: str, most: int, seconds: int) -> DataFrame:
     """events with granted: what of its rows the budget of its fixed window has left."""
-    slot = F.floor(F.unix_micros(ts) / (seconds * 1_000_000))
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
     before = Window.partitionBy(key, "_slot").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("_slot", slot).withColumn("_used", F.coalesce(F.sum(rows).over(before), F.lit(0)))
     return out.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(rows), F.lit(most) - F.col("_used")))).drop("_slot", "_used")
