@@ -17,7 +17,10 @@ from jobloom.llm.tokenizing import word_bpe_path
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from the labels in sf_dir."""
     net = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.classify(docs, net).where("predicted = 1").select(docs.columns)
+    # columns of the classifier's own names stand aside meanwhile
+    aside = {c: f"{c} of the documents" for c in ("score", "predicted")}
+    scored = quality.classify(docs.withColumnsRenamed(aside), net).where("predicted = 1").drop("score", "predicted")
+    return scored.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -272,7 +272,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc", F.xxhash64("doc.doc_id", "doc.source", "text_hash").alias("key"), "text_hash")
     # rows that are alike in all these are told apart by their starts, and need the text once
     joined = rows.dropDuplicates(["key", "text_hash"]).join(taken, ["key", "text_hash"])
-    chosen = written(joined.select("doc.*", F.col("size").alias("_size"), F.col("spans").alias("_spans")), "mix-documents")
+    # by position: docs may have columns of any name
+    numbered = [F.col(f"doc.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    chosen = written(joined.select(*numbered, "size", "spans"), "mix-documents")
     at, schema = docs.columns.index("text"), docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
