@@ -71,8 +71,8 @@ class Blocks:
     ends: np.ndarray
 
 
-def layout(texts: list[bytes], skip: int = 0) -> Blocks:
-    """Blocks of the texts; the first `skip` blocks of each are context only and no text's rows."""
+def layout(texts: list[bytes], skip: int = 0, drop: int = 0) -> Blocks:
+    """Blocks of the texts; the first `skip` and last `drop` blocks of each are context only and no text's rows."""
     sizes = np.array([max(1, -(-len(t) // BLOCK)) for t in texts])
     firsts = GAP_BLOCKS + np.cumsum(sizes + GAP_BLOCKS) - (sizes + GAP_BLOCKS)
     flat = np.zeros((int(firsts[-1] + sizes[-1]) + GAP_BLOCKS) * BLOCK, np.uint8)
@@ -87,7 +87,7 @@ def layout(texts: list[bytes], skip: int = 0) -> Blocks:
         eights = (same.view(np.uint64) * np.uint64(0x0101010101010101)) >> np.uint64(56)
         equal[GAP_BLOCKS:, lag - 1] = eights[0::2] + eights[1::2]
     equal /= 2 * BLOCK
-    return Blocks(flat.reshape(-1, BLOCK), equal, firsts + skip, firsts + sizes)
+    return Blocks(flat.reshape(-1, BLOCK), equal, firsts + skip, firsts + sizes - drop)
 
 
 def activations(net: Network, blocks: Blocks) -> np.ndarray:
@@ -124,8 +124,12 @@ def scores(net: Network, texts: list[bytes]) -> np.ndarray:
     for k, text in enumerate(texts):
         if len(text) > SLICE:
             lead = GAP_BLOCKS * BLOCK
-            parts = [pooled(net, layout([text[:SLICE + BLOCK]]))]
-            parts += [pooled(net, layout([text[a - lead : a + SLICE + BLOCK]], skip=GAP_BLOCKS)) for a in range(SLICE, len(text), SLICE)]
+            parts = []
+            for at in range(0, len(text), SLICE):
+                # the blocks before are there for the lags, the block after for the last chunk
+                part = text[max(0, at - lead) : at + SLICE + BLOCK]
+                blocks = layout([part], skip=GAP_BLOCKS if at else 0, drop=int(at + SLICE < len(text)))
+                parts.append(pooled(net, blocks))
             pools[k] = np.concatenate(parts).max(axis=0)
             continue
         waiting.append(k)
