@@ -1,8 +1,9 @@
 """Best-fit packing of documents into token sequences, certified by dual feasible functions.
 
 Pieces are dealt to groups of about GROUP_PIECES, and each group is packed by best-fit decreasing. Dual
-feasible functions of its lengths bound its bins from below. Of a group at its bound only the emptiest
-bin stays open, as its bound is rounded up; of a group with a gap, every bin with room. The
+feasible functions of its lengths bound its bins from below. Of a group at its bound the emptiest bin stays
+open, as the bound is rounded up, and bins with more than ROOM to spare, which pieces of other groups
+may fill; of a group with a gap, every bin that is not full. The
 pieces of open bins are exchanged: dealt anew to fewer groups, which pack again, until the open bins
 meet their common bound or MOST_ROUNDS is reached.
 """
@@ -23,6 +24,8 @@ from jobloom.llm.tokenizing import END_ID, encoder, word_bpe_path
 CAPACITY = 4096
 GROUP_PIECES = 32_768
 MOST_ROUNDS = 4
+#: Share of a bin.
+ROOM = 0.05
 #: Parameters k of the functions u(k) that the bound tries.
 ROUNDING = range(1, 33)
 
@@ -115,8 +118,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
             gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
             open_ = fill < capacity
             if not gap:
-                emptiest = np.argmin(fill)
-                open_ &= np.arange(len(fill)) == emptiest
+                open_ &= (fill < (1 - ROOM) * capacity) | (np.arange(len(fill)) == np.argmin(fill))
             # round, group and bin in one number
             sequence = (round_ << 56) + (group << 24) + bins
             out = found.select([x.split()[0] for x in PIECE_SCHEMA.split(", ")])
