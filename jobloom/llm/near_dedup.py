@@ -174,8 +174,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
 def components(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """node, component (its smallest node) of every node of links (a, b), and the tables that hold them.
 
-    Each round maps every node with a smaller neighbour to its smallest one, and links likewise; links
-    that join what is one node by then go. Chains at least halve with every round.
+    Each round maps every node with a smaller neighbour to its smallest one, follows these maps to
+    their ends by doubling, and maps links likewise; links within one node then go. Only nodes
+    smaller than all their neighbours are left, at most half of the linked ones.
     """
     label = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     label = written(label.withColumn("component", F.col("node")), "labels")
@@ -190,7 +191,7 @@ def components(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if edges.isEmpty():
             discard(edges)
             return label, tables
-        lower = written(edges.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "from"), "lower")
+        lower = _ends(edges.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "from"))
         to = lambda x: lower.select(F.col("from").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: E731,B023
         moved = label.join(to("component"), "component", "left")
         moved = written(moved.select("node", F.coalesce("to_component", "component").alias("component")), "labels")
@@ -201,6 +202,19 @@ def components(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         tables.append(label)
 
 
+def _ends(steps: DataFrame) -> DataFrame:
+    """from and the last `to` of the path of steps (from, to) that begins there; steps lead to smaller nodes."""
+    steps = written(steps, "lower")
+    while True:
+        onward = steps.select(F.col("from").alias("to"), F.col("to").alias("onward"))
+        doubled = steps.join(onward, "to", "left").select("from", F.coalesce("onward", "to").alias("to"), F.col("onward").isNotNull().alias("went_on"))
+        doubled = written(doubled, "lower")
+        discard(steps)
+        steps = doubled
+        if steps.where("went_on").isEmpty():
+            return steps
+
+
 def _units(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) in one bucket but different components that may link by size and sketch.
 
