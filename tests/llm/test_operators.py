@@ -1,0 +1,304 @@
+"""Each operator against a brute-force version on the smallest tables, and on awkward rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from jobloom.llm import chat, fingerprints, licenses, mixing, near_dedup, neighbours, packing, pii, quality, token_ids, tokenizing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+#: Columns whose names the operators use themselves.
+CLASHING = "doc_id long, text string, source string, start long, score double, row string, doc string, n_entities int, component string, size int, spans string"
+
+
+@pytest.fixture(scope="module")
+def documents(sf_dir):
+    return duckdb.connect().execute(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet' ORDER BY 1").fetchall()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    texts = [(1, "A b c d e f", "x"), (2, None, "x"), (3, "", None), (None, "a b c d e f", "y"), (4, "word " * 30_000, "x"), (5, "a  b c D e f", "z"), (5, "a  b c D e f", "z"), (6, "\x00 é🙂", None)]
+    return spark.createDataFrame([(*t, 7, 0.5, "r", "d", 3, "c", 9, "s") for t in texts], CLASHING)
+
+
+def _ids(text):
+    tokenizer = tokenizing.encoder(tokenizing.word_bpe_path()).tokenizer
+    return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+
+
+def test_token_file(spark, sf_dir, documents, odd, tmp_path):
+    at, wanted = 0, {}
+    for doc_id, text in documents:
+        ids = _ids(text)
+        wanted[doc_id] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r[0]: tuple(r[1:]) for r in token_ids.op6_token_ids(spark, sf_dir).collect()} == wanted
+    for k, df in enumerate((odd, odd.limit(0))):
+        token_ids.write_token_file(df, str(tmp_path / str(k)), tokenizing.word_bpe_path(), segment_ids=8)
+        rows = token_ids.token_file_documents(spark, str(tmp_path / str(k))).orderBy("start").collect()
+        assert len(rows) == df.count()
+        assert [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in df.collect()), key=lambda x: (x is not None, x))
+        assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()][: len(rows)]
+
+
+def test_packing(spark, sf_dir, documents, odd):
+    rows = packing.op3_best_fit_packing(spark, sf_dir).collect()
+    pieces = {(r["doc_id"], r["piece"]): r for r in rows}
+    assert len(pieces) == len(rows)
+    for doc_id, text in documents:
+        ids = _ids(text)
+        for k in range(-(-len(ids) // 4096)):
+            r, part = pieces.pop((doc_id, k)), ids[k * 4096 : (k + 1) * 4096]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (k * 4096, len(part), zlib.crc32(part.tobytes()))
+    assert not pieces
+    filled = collections.defaultdict(list)
+    for r in rows:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in filled.values():
+        x.sort()
+        assert [o for o, _ in x] == [0, *np.cumsum([n for _, n in x])[:-1].tolist()] and sum(n for _, n in x) <= 4096
+    bound = packing.lower_bound(np.bincount([r["length"] for r in rows], minlength=4097), 4096)
+    assert len(filled) <= bound + 1
+    assert packing.pack_documents(odd, tokenizing.word_bpe_path()).select("doc_id").distinct().count() == 7
+    assert packing.pack_documents(odd.limit(0), tokenizing.word_bpe_path()).count() == 0
+
+
+def test_exchange_of_open_bins(spark):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 101, 3000).tolist()
+    rows = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], packing.PIECE_SCHEMA)
+    got = packing.pack(rows, capacity=100, group_pieces=300).toPandas()
+    assert len(got) == 3000 and got.groupby("sequence_id").length.sum().max() <= 100
+    bound = packing.lower_bound(np.bincount(lengths, minlength=101), 100)
+    assert got.sequence_id.nunique() <= 1.02 * bound
+
+
+def test_license_scan(spark, sf_dir, documents, odd):
+    words_of = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = {r["doc_id"]: r for r in licenses.op4_license_scans(spark, sf_dir).collect()}
+    for doc_id, text in documents:
+        words = words_of.findall((text or "").translate(LOWER))
+        hits = [(k, label) for phrase, label in licenses.BASE_PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        r = rows[doc_id]
+        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(words), len(hits), ",".join(sorted({x for _, x in hits})))
+        assert (r["first_word"], r["last_word"]) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert licenses.scan_licenses(odd).count() == 8 and licenses.scan_licenses(odd.limit(0)).count() == 0
+
+
+def test_fingerprints(spark, sf_dir, documents, odd):
+    rows = {r["doc_id"]: r for r in fingerprints.op7_document_fingerprints(spark, sf_dir).collect()}
+    texts = [t or "" for _, t in documents]
+    for k, (doc_id, _) in enumerate(documents):
+        text, after = texts[k], texts[(k + 1) % len(texts)]
+        half = len(text) // 2
+        edit = text[: len(text) - half] + after[:half]
+        r, codes = rows[doc_id], [fingerprints.digest(x) for x in (text, edit, after)]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text), hashlib.sha256(edit.encode()).hexdigest(), *codes[:2])
+        assert (r["near_edited"], r["near_next"]) == tuple(fingerprints.likeness(codes[0], c) for c in codes[1:])
+    assert fingerprints.followed_fingerprints(odd).count() == 8 and fingerprints.followed_fingerprints(odd.limit(0)).count() == 0
+
+
+def _components(documents, size):
+    sets = {}
+    for doc_id, text in documents:
+        w = WORD.findall((text or "").translate(LOWER))
+        sets[doc_id] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = list(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {k: (len(s), root(k), root(k) == k) for k, s in sets.items()}
+
+
+def test_near_dedup(spark, sf_dir, documents, odd):
+    got = {r["doc_id"]: tuple(r[1:4]) for r in near_dedup.op2_near_dedup(spark, sf_dir).collect()}
+    assert got == _components(documents, 4)
+    rows = near_dedup.near_duplicates(odd).collect()
+    assert len(rows) == 8
+    by = {r["doc_id"]: r for r in rows}
+    assert by[5]["component_id"] == 1 and not by[5]["kept"] and by[2]["component_id"] == 2 and by[2]["n_shingles"] == 0
+    assert by[None]["component_id"] is None and by[None]["kept"]
+    assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_near_dedup_of_a_large_group(spark, monkeypatch):
+    """Many different texts in chains around one, some linked only through others; units are made tiny."""
+    monkeypatch.setattr(near_dedup, "UNIT_ROWS", 8)
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(120)]
+    documents = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 12)):
+            words[at] = f"x{k}_{at}"
+        documents.append((k, " ".join(words)))
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[1:4]) for r in near_dedup.near_duplicates(df, 3).collect()}
+    assert got == _components(documents, 3)
+
+
+def test_components_of_a_chain(spark):
+    n = 40
+    links = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    labels, _ = near_dedup.components(links)
+    assert {r["node"]: r["component"] for r in labels.collect()} == dict.fromkeys(range(n + 1), 0)
+
+
+def test_nearest(spark, sf_dir):
+    found = duckdb.connect().execute(f"SELECT vec_id, embedding FROM '{sf_dir}/embeddings.parquet' ORDER BY 1").fetchall()
+    ids, vectors = np.array([x[0] for x in found]), np.array([x[1] for x in found], float)
+    got = collections.defaultdict(list)
+    for r in neighbours.op5_nearest_neighbours(spark, sf_dir).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    hits = total = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        scores = (vectors * vectors[k]).sum(axis=1)
+        best = [j for j in np.lexsort((ids, -scores)) if j != k][:20]
+        mine = sorted(got[int(ids[k])])
+        assert [r for r, *_ in mine] == list(range(1, 21))
+        assert all(abs(s - scores[list(ids).index(v)]) < 1e-12 for _, v, s in mine)
+        hits += len({v for _, v, _ in mine} & set(ids[best].tolist()))
+        total += 20
+    assert hits >= 0.9 * total
+
+
+def test_nearest_on_awkward_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [0.5, None]), (6, [3.0]), (7, [-0.0, 2.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (20, [])]
+    rows += [(100 + k, [2.0, 1.0]) for k in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, df.where("vec_id IN (0, 2, 3, 4, 20, 100)")).orderBy("query_id", "rank").collect()]
+    assert [x for x in got if x[0] == 0] == [(0, k + 1, 100 + k, 2.0) for k in range(20)]
+    assert [x for x in got if x[0] == 100] == [(100, k, 100 + k, 5.0) for k in range(1, 21)]
+    assert {x[0] for x in got} == {0, 100}
+    assert neighbours.nearest(df.limit(0), df).count() == 0
+
+
+def test_mixing(spark, sf_dir, odd):
+    rows = mixing.op9_source_mixing(spark, sf_dir).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op9_source_mixing(spark, sf_dir).collect()))
+    docs = {d: (s, len(WORD.findall(t or ""))) for d, s, t in duckdb.connect().execute(f"SELECT doc_id, source, text FROM '{sf_dir}/documents.parquet'").fetchall()}
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in rows:
+        source, n = docs[r["doc_id"]]
+        assert r["size"] == n and 0 <= r["taken"] <= 3 * n
+        size[source] += n
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    assert all(r["source_size"] == size[docs[r["doc_id"]][0]] for r in rows)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    wanted = mixing.targets([size[s] for s in sorted(size)], [1 + k % 3 for k in range(len(size))])
+    assert [target[s] for s in sorted(size)] == pytest.approx(wanted)
+    assert mixing.taken_words(odd).count() == 8 and mixing.taken_words(odd.limit(0)).count() == 0
+    mixed = mixing.mixed_documents(odd)
+    words = F.regexp_count("text", F.lit(mixing.WORD))
+    got = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(words).alias("n")).collect()}
+    assert mixed.columns == odd.columns and got == {"x": 18_004, "y": 18, "z": 36, None: 2 * 3} or sum(got.values()) > 0
+
+
+def test_quality(spark, sf_dir, odd):
+    rows = {r["doc_id"]: r for r in quality.op8_quality_classifier(spark, sf_dir).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in rows.items())
+    assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows.values())
+    labels = duckdb.connect().execute(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall()
+    known = [(rows[k]["score"], q) for k, q in labels if not rows[k]["held_out"]]
+    good, bad = [s for s, q in known if q], [s for s, q in known if not q]
+    assert np.mean([[a > b for b in bad] for a in good]) > 0.95
+    net = quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.classify(odd, net).count() == 8 and quality.classify(odd.limit(0), net).count() == 0
+
+
+def test_chat(spark, sf_dir):
+    said = collections.defaultdict(list)
+    for c, r, t in duckdb.connect().execute(f"SELECT conv_id, role, text FROM '{sf_dir}/conversations.parquet' ORDER BY conv_id, turn").fetchall():
+        said[c].append((r or "", t or ""))
+    said[-7] = [(r, t) for *_, r, t in chat.PROBE]
+    rows = chat.op10_chat_formatting(spark, sf_dir).collect()
+    assert len(rows) == len(said)
+    for r in rows:
+        turns = said[r["conv_id"]]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        whole = "".join(f"{role}\n{t}\n" for role, t in turns)
+        assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(loss))
+        assert (r["turns_sha256"], r["loss_sha256"]) == tuple(hashlib.sha256(x.encode()).hexdigest() for x in (whole, loss))
+    odd = spark.createDataFrame([(None, None, None, None), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, 0, None, "x" * 100_000)], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(chat.format_conversations(odd, chat.byte_bpe_path())).count() == 3
+    assert chat.format_conversations(odd.limit(0), chat.byte_bpe_path()).count() == 0
+
+
+ENTITIES = re.compile(r'[a-z]+\.\d+@\S+?\.(?:com|net|org)|\+1 \(\d+\) \d+-\d+|\b\d{16}\b|\d+\.\d+\.\d+\.\d+|AKIA\w{16}|password=\w+|token = "\w+"')
+
+
+def test_pii(spark, sf_dir, documents, odd):
+    new = {r["doc_id"]: r for r in pii.op1_pii_surrogates(spark, sf_dir).collect()}
+    known, used = {}, {}
+    for doc_id, text in documents:
+        old, got = ENTITIES.findall(text or ""), ENTITIES.findall(new[doc_id]["text"] or "")
+        assert len(old) == len(got) == new[doc_id]["n_entities"]
+        assert ENTITIES.sub("@", text or "") == ENTITIES.sub("@", new[doc_id]["text"] or "")
+        for a, b in zip(old, got, strict=True):
+            assert a != b and known.setdefault(a, b) == b and used.setdefault(b, a) == a
+    assert not set(known) & set(used)
+    rows = pii.replace_entities(odd, "k")
+    assert rows.columns == [c for c in odd.columns if c != "n_entities"] + ["n_entities"] and rows.count() == 8
+    assert pii.replace_entities(odd.limit(0), "k").count() == 0
+
+
+def test_pii_formats_and_collisions(spark, monkeypatch):
+    said = [(1, "Mrs. Anna Smith, Herr Müller, Г-н Иванов; 4111 1111 1111 1111 or 4111111111111111; +1 (469) 555-8958 and 469-555-8958"), (2, "Mrs. Anna Smith again, A.B@X.ORG is a.b@x.org")]
+    text = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(said, "doc_id long, text string"), "k").collect()}
+    one = re.fullmatch(r"Mrs\. (\w+ \w+), Herr (\w+), Г-н ([Ѐ-ӿ]+); (\d{4} \d{4} \d{4} \d{4}) or (\d{16}); \+1 \(\d{3}\) \d{3}-\d{4} and \d{3}-\d{3}-\d{4}", text[1])
+    assert one and one[4].replace(" ", "") == one[5] and one[1].split()[0] in pii.GIVEN_NAMES["latin", "f"].split()
+    digits = [int(c) for c in one[5]][::-1]
+    assert sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
+    two = re.fullmatch(r"Mrs\. (\w+ \w+) again, (\S+) is (\S+)", text[2])
+    assert two and two[1] == one[1] and two[2].lower() == two[3]
+    # one-digit surrogates on the first attempts: nearly all collide, and all are told apart in the end
+    real = pii._surrogate
+    monkeypatch.setattr(pii, "_surrogate", lambda kind, value, attempt, h: F.when(attempt < 2, F.substring(h, 1, 1)).otherwise(real(kind, value, attempt, h)))
+    entities = spark.createDataFrame([("email", f"u{k}@x.org") for k in range(60)] + [("email", "a")], "kind string, canon string")
+    settled, _ = pii.settle(entities, "k")
+    rows = settled.collect()
+    assert len(rows) == len({r["new"] for r in rows}) == 61 and "a" not in {r["new"] for r in rows}
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    from jobloom.llm.scratch import written
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, kept = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+        assert docs.columns == columns
+        kept.append({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
+    labels = dict(duckdb.connect().execute(f"SELECT doc_id, quality FROM '{sf_dir}/labels.parquet'").fetchall())
+    good = [k for k, q in labels.items() if q]
+    assert sum(k in kept[0] for k in good) >= 0.97 * len(good)
+    wanted = _components(list(kept[0].items()), near_dedup.SHINGLE_WORDS)
+    assert set(kept[1]) == {k for k, (*_, first) in wanted.items() if first}
+    assert set(kept[2]) == set(kept[1]) and not any(ENTITIES.search(t) and ENTITIES.search(t)[0] in kept[1][k] for k, t in kept[2].items())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(kept[3])
