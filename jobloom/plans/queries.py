@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.functions import levels, text, urls
-from jobloom.operators import cleaning, listing, rollups, state
+from jobloom.operators import cleaning, listing, records, rollups, state, views
 from jobloom.sources import feeds, html
 from jobloom.sources.tables import table
 
@@ -449,3 +450,122 @@ def daily_totals(spark, d):
     rows = table(spark, d, "orders").withColumn("experience", F.concat(F.col("o_orderkey") % 9, F.lit("-10 years")))
     out = rollups.daily_totals(rows, "o_orderdate", "experience", F.col("o_orderkey") % 3 == 0)
     return out.select(_day("day").alias("day"), "total", "interns")
+
+
+@_query("""SELECT strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1""")
+def local_day_counts(spark, d):
+    # Budapest is an hour ahead of UTC in January
+    return table(spark, d, "events").groupBy(_day(views.local_day(F.col("ts"), "Europe/Budapest")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT p_partkey, contains(lower(p_name), 'red') AS live, contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'eco') AS saved FROM part""")
+def free_text_search(spark, d):
+    name, kind = F.col("p_name"), F.col("p_type")
+    saved = views.searched([name], None, ["bolt"]) | views.searched([kind], "  ", ["ECO"])
+    return table(spark, d, "part").select("p_partkey", views.searched([name], " RED ", ["bolt"]).alias("live"), saved.alias("saved"))
+
+
+@_query("""SELECT p_partkey, (regexp_matches(lower(p_name || ' ' || p_type), 'ring|small') AND NOT contains(p_name, 'junior')) OR contains(p_brand, '#3') AS intern FROM part""")
+def intern_mode(spark, d):
+    intern = views.intern_mode(F.col("p_name"), F.col("p_type"), F.col("p_brand"), ["ring", "small"], ["brand#3"])
+    return table(spark, d, "part").select("p_partkey", intern.alias("intern"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size >= 5 THEN NULL WHEN p_partkey % 4 = 0 THEN 'medior' WHEN p_size IN (0, 1) THEN 'junior' ELSE 'any' END AS track FROM part""")
+def level_track(spark, d):
+    title = F.when(F.col("p_partkey") % 4 == 0, "Mid-level dev").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", views.track(title, F.concat("p_size", F.lit(" év"))).alias("track"))
+
+
+@_query("""SELECT CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'AI-scraped' ELSE o_orderpriority END AS shown, count(*) AS n FROM orders GROUP BY 1""")
+def shown_sources(spark, d):
+    source = F.when(F.col("o_orderpriority").rlike("^[12]"), F.concat(F.lit("AI - "), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").groupBy(views.shown_source(source).alias("shown")).agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT doc_id FROM documents WHERE contains(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')), 'cion') OR contains(lower(source), 'cion')""")
+def review_search(spark, d):
+    return table(spark, d, "documents").where(views.review_search(F.col("text"), F.col("source"), "ción")).select("doc_id")
+
+
+@_query("""SELECT n_name, CAST(row_number() OVER (ORDER BY CASE WHEN n_regionkey = 1 THEN 0 ELSE 1 END, CASE WHEN n_nationkey % 3 = 0 THEN 9999 ELSE n_nationkey END,
+ CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE n_nationkey || ' ' || n_name END) AS INTEGER) AS place FROM nation""")
+def file_order(spark, d):
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.concat_ws(" ", "n_nationkey", "n_name"))
+    order = views.file_order(F.col("n_regionkey") == 1, name)
+    return table(spark, d, "nation").select("n_name", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@_query("""SELECT p_partkey, nullif(concat_ws('; ', CASE WHEN contains(p_name, 'red') THEN 'warm' END, CASE WHEN contains(p_name, 'ring') THEN 'round' END), '') AS notes FROM part""")
+def keyword_notes(spark, d):
+    notes = F.array_join(views.notes_for(F.col("p_name"), {"red": "warm", "Ring": "round"}), "; ")
+    return table(spark, d, "part").select("p_partkey", F.nullif(notes, F.lit("")).alias("notes"))
+
+
+@_query("""SELECT n, array_to_string(list_sort(f), ',') AS first FROM (SELECT count(*) n FROM customer WHERE lower(c_name) LIKE '%customer#00000000_%'),
+ (SELECT list(c_name) f FROM (SELECT c_name FROM customer WHERE lower(c_name) LIKE '%customer#00000000_%' ORDER BY 1 LIMIT 5))""")
+def like_count_and_first(spark, d):
+    return views.truncated_list(table(spark, d, "customer"), "CUSTOMER#00000000_", "c_name", 5).select("n", F.array_join("first", ",").alias("first"))
+
+
+@_query("""SELECT user_id, epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS last_us FROM events WHERE event_id % 3 <> 2 GROUP BY 1""")
+def visitor_touch(spark, d):
+    at = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    old = at.where("event_id % 3 = 0").groupBy("user_id").agg(F.min("at").alias("created_at"), F.max("at").alias("last_at"))
+    out = records.touch(old, at.where("event_id % 3 <> 2").select("user_id", "at"), "user_id")
+    first = at.where("event_id % 3 <> 2").groupBy("user_id").agg(F.min("at").alias("first"))
+    out = out.join(first, "user_id")
+    return out.select("user_id", F.unix_micros(F.least("created_at", "first")).alias("created_us"), F.unix_micros("last_at").alias("last_us"))
+
+
+@_query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'patched' ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer""")
+def whitelist_patch(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name")
+    new = F.when(F.col("c_custkey") % 6 == 0, "patched").when(F.col("c_custkey") % 6 == 2, "N/A")
+    patches = rows.where("c_custkey % 2 = 0").select("c_custkey", new.alias("c_mktsegment"), F.lit("refused").alias("c_name"))
+    return records.patch(rows, patches, "c_custkey", ["c_mktsegment"])
+
+
+@_query("SELECT p_partkey FROM part WHERE NOT contains(p_name, 'widget')")
+def purge_by_word(spark, d):
+    return records.purge(records.purge(table(spark, d, "part"), "p_name", "Widget"), "p_name", "ri").select("p_partkey")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 5 = 0 AND o_custkey % 2 = 0)")
+def owner_scoped_delete(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    wanted = rows.where("o_orderkey % 5 = 0").select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, F.col("o_custkey")).otherwise(-1).alias("o_custkey"))
+    return records.owned(rows, "o_custkey", wanted, "o_orderkey").select("o_orderkey")
+
+
+@_query("""SELECT user_id, arg_max(event_id, (event_id % 2, ts, event_id)) AS event_id FROM events GROUP BY 1""")
+def registry_merge(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"))
+    return records.merge_registry(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "at").select("user_id", "event_id")
+
+
+@_query("""SELECT DISTINCT 'reviews-' || strftime(o_orderdate, '%Y-%m-%d') || '.json' AS key FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-22' UNION SELECT 'latest.json'""")
+def backup_retention(spark, d):
+    keys = table(spark, d, "orders").select(F.concat(F.lit("reviews-"), _day("o_orderdate"), F.lit(".json")).alias("key")).distinct()
+    return records.kept_backups(keys.unionByName(spark.createDataFrame([("latest.json",)], "key string")), "key", AS_OF)
+
+
+@_query("SELECT event_id FROM events ORDER BY ts DESC LIMIT 26")
+def report_index(spark, d):
+    rows = table(spark, d, "events").select("event_id", "ts")
+    return records.capped_index(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "ts").select("event_id")
+
+
+@_query("""SELECT w.c_mktsegment, count(c_custkey) AS n FROM (VALUES ('MACHINERY'), ('nothing')) w(c_mktsegment) LEFT JOIN customer USING (c_mktsegment) GROUP BY 1""")
+def ambiguity_check(spark, d):
+    return records.ambiguous(table(spark, d, "customer"), spark.createDataFrame([("MACHINERY",), ("nothing",)], "c_mktsegment string"), "c_mktsegment")
+
+
+@_query("""SELECT CASE WHEN p_size < 5 THEN 'small' ELSE 'new' END AS outcome, count(*) AS n FROM part GROUP BY 1""")
+def run_metrics(spark, d):
+    return records.run_metrics(table(spark, d, "part"), F.when(F.col("p_size") < 5, "small"))
+
+
+@_query("""SELECT page_id, CAST(length(trim(regexp_replace(regexp_replace(html, '@DROP@', ' ', 'gis'), '\\s+', ' ', 'g'))) AS BIGINT) AS chars FROM pages""".replace("@DROP@", _DROP_SQL))
+def html_reduced_len(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length(html.reduced(F.col("html"))).cast("long").alias("chars"))
