@@ -36,6 +36,8 @@ LEAST_EQUAL = 70
 MOST_MISSED = 1e-10
 #: Members of a bucket that one side of a unit holds.
 UNIT_ROWS = 2048
+#: Shingles of them, eight bytes each.
+UNIT_SHINGLES = 1 << 22
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _PLACE_BITS = COORDINATES.bit_length() - 1
@@ -140,8 +142,8 @@ def similar_by_sketch(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) that link by their full sets, which are read from docs for these pairs alone."""
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node and shingles (the bytes of its sorted set) of the distinct nodes in wanted, read from docs; a written table."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,20 +152,27 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
             columns = [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
+    wanted = wanted.select("node").distinct().join(nodes.select("node", "set_hash"), "node")
+    read = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").select("node", "text", "set_hash")
+    # rows that repeat a doc_id and its text give the set once
+    return written(read.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) that link by their full sets, which are read from docs for these pairs alone."""
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            right = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (one, other))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                right.append(100 * both >= PERCENT * (len(a) + len(b) - both))
+            right = [linked(*(np.frombuffer(x.as_py(), np.uint64) for x in sets)) for sets in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes.select("node", "set_hash"), "node")
-    read = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").select("node", "text", "set_hash")
-    # rows that repeat a doc_id and its text give the set once
-    known = written(read.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    known = shingle_sets(ends, nodes, docs, size)
     side = lambda x: known.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     out = written(both.mapInArrow(link, "a long, b long"), "links")
@@ -215,38 +224,44 @@ def _ends(steps: DataFrame) -> DataFrame:
             return steps
 
 
-def _units(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) in one bucket but different components that may link by size and sketch.
+def _units(members: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of one bucket: of each unit a forest, not all its links.
 
-    members: key, node, component, n (members of the bucket). A bucket is cut into parts of about UNIT_ROWS
-    and every two parts meet in a unit, so a bucket of any size is compared in full, in bounded memory.
+    members: key, node, component, n and shingles (members of the bucket and the sum of their sets' sizes);
+    known: node, shingles. A bucket is cut into parts of about UNIT_ROWS and UNIT_SHINGLES, and every two
+    parts meet in a unit, so a bucket of any size is compared in full, in bounded memory. Pairs never leave
+    the unit: those alike by sketch are confirmed on their sets there, the likest first, unless links have
+    joined the two already.
     """
-    parts = F.ceil(F.col("n") / UNIT_ROWS).cast("int")
+    parts = F.greatest(F.ceil(F.col("n") / UNIT_ROWS), F.ceil(F.col("shingles") / UNIT_SHINGLES)).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "component")
-    dealt = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node")
-    dealt = dealt.select("key", "low", "high", "part", "node", "component", "n_shingles", "sketch")
+    dealt = dealt.join(nodes.select("node", "n_shingles", "sketch"), "node").join(known, "node")
+    dealt = dealt.select("key", "low", "high", "part", "node", "component", "n_shingles", "sketch", "shingles")
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         low, part, node, component, n = (rows[x].to_numpy() for x in ("low", "part", "node", "component", "n_shingles"))
         marks = _sketch_matrix(rows["sketch"])
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows["shingles"]]
+        group = np.unique(component, return_inverse=True)[1]
         own = rows["high"][0].as_py() == low[0]
         left = np.flatnonzero(part == low[0])
         right = left if own else np.flatnonzero(part != low[0])
-        a, b = [], []
+        links: list[tuple[int, int]] = []
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
-            may = component[some][:, None] != component[right]
+            may = group[some][:, None] != group[right]
             may &= 100 * np.minimum(n[some][:, None], n[right]) >= PERCENT * np.maximum(n[some][:, None], n[right])
             i, j = np.nonzero(may & (node[some][:, None] < node[right]) if own else may)
-            for begin in range(0, len(i), 1 << 16):
-                x, y = some[i[begin : begin + (1 << 16)]], right[j[begin : begin + (1 << 16)]]
-                alike = (marks[x] == marks[y]).sum(axis=1) >= LEAST_EQUAL
-                a.append(node[x[alike]])
-                b.append(node[y[alike]])
-        empty = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, empty])) for x in (a, b)], ["a", "b"])
+            x, y = some[i], right[j]
+            equal = np.concatenate([(marks[x[k : k + 65_536]] == marks[y[k : k + 65_536]]).sum(axis=1) for k in range(0, max(len(x), 1), 65_536)])
+            for k in np.argsort(-equal, kind="stable")[: int((equal >= LEAST_EQUAL).sum())]:
+                if group[x[k]] != group[y[k]] and linked(sets[x[k]], sets[y[k]]):
+                    links.append((int(node[x[k]]), int(node[y[k]])))
+                    group[group == group[y[k]]] = group[x[k]]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -290,19 +305,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(similar_by_sketch(stars, nodes), "pairs")
     links = confirmed(pairs, nodes, docs, size)
-    labels, tables = components(links)
+    labels, _ = components(links)
     split = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # what is left of a bucket if its hub is set aside: all were held against the hub
     split = split.where("node <> hub")
-    open_ = split.groupBy("key").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("open")).where("open")
-    rest = written(_units(split.select("key", "node", "component").join(open_.select("key", "n"), "key"), nodes), "pairs")
-    if not rest.isEmpty():
-        more = confirmed(rest, nodes, docs, size)
-        joined = links.unionByName(more)
-        again, new_tables = components(joined)
-        discard(more, *tables)
-        labels, tables = again, new_tables
-    discard(members, pairs, links, rest)
+    split = split.select("key", "node", "component").join(nodes.select("node", "n_shingles"), "node")
+    differ = (F.min("component") < F.max("component")).alias("open")
+    open_ = split.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), differ).where("open").drop("open")
+    split = written(split.select("key", "node", "component").join(open_, "key"), "open-buckets")
+    spent = [members, pairs, links, split]
+    if not split.isEmpty():
+        known_sets = shingle_sets(split, nodes, docs, size)
+        more = written(_units(split, nodes, known_sets), "links")
+        spent += [known_sets, more]
+        if not more.isEmpty():
+            labels, _ = components(links.unionByName(more))
+    discard(*spent)
     linked = nodes.select("set_hash", "node").join(labels, "node", "left")
     linked = linked.select("set_hash", F.coalesce("component", "node").alias("component"))
     out = known.select("doc_id", "n_shingles", "set_hash").join(linked, "set_hash", "left")
