@@ -49,7 +49,7 @@ _START = r"(?<![\p{L}0-9])"
 PATTERNS = {
     "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}",
     "access_key": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,256}+\"?",
+    "secret": r"(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,}+\"?",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?=[0-9])(?<![.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?=[0-9])(?<![-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
@@ -147,15 +147,15 @@ def _surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Colum
     country = F.greatest(F.lit(0), n - 10)  # digits before the last ten stay: the country's
     phone = F.concat(F.substr(value, F.lit(1), country), (F.substring(drawn, 1, 1).cast("int") % 8 + 2).cast("string"), F.substr(drawn, F.lit(2), n - country - 1))
     octet = lambda k: (F.pmod(_byte(h, 2 * k) * 256 + _byte(h, 2 * k + 1), F.lit(254)) + 1).cast("string")
-    hexes = F.substr(F.concat(h, F.sha2(h, 256), F.sha2(F.reverse(h), 256), F.sha2(F.upper(h), 256)), F.lit(1), n)
-    long = F.concat(hexes, F.substr(value, F.length(hexes) + 1, n))
+    blocks = F.transform(F.sequence(F.lit(0), (n / 64).cast("int")), lambda k: F.sha2(F.concat(h, k.cast("string")), 256))
+    hexes = F.substr(F.array_join(blocks, ""), F.lit(1), n)
     local = F.substring_index(value, "@", 1)
     wider = F.when(attempt >= 4, F.concat(F.lit("."), F.right(drawn, F.lit(6)))).otherwise("")
     host = F.concat(F.lit("mail"), F.substring(drawn, 20, 4), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), F.pmod(_byte(h, 31), F.lit(3)) + 1))
     out = (
         F.when(kind == "email", F.concat(_same_classes(local, h), wider, F.lit("@"), host))
         .when(kind == "access_key", _same_classes(value, h, keep=4))
-        .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), long)
+        .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), hexes)
         .when(kind == "iban", _same_classes(value, h, keep=2))
         .when(kind == "ip", F.concat_ws(".", *map(octet, range(4))))
         .when(kind == "card", card)

@@ -282,6 +282,22 @@ def test_pii_formats_and_collisions(spark, monkeypatch):
     assert len(rows) == len({r["new"] for r in rows}) == 61 and "a" not in {r["new"] for r in rows}
 
 
+def _replaced(spark, texts):
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    return [(r["text"], r["n_entities"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_pii_long_secrets(spark):
+    hexes = [hashlib.sha512(str(k).encode()).hexdigest() for k in range(20)]
+    mixed = [x.upper()[:64] + x[64:] for x in hexes]
+    values = ["".join(x)[:n] for x in (hexes, mixed) for n in (300, 2000)]
+    values += [x[:-1] + ("0" if x[-1] != "0" else "1") for x in values]
+    got = [re.fullmatch(r'token="([^"]+)" stays', text)[1] for text, n in _replaced(spark, [f'token="{x}" stays' for x in values]) if n == 1]
+    assert [len(x) for x in got] == [len(x) for x in values] and len(set(got)) == len(values)
+    for old, new in zip(values, got, strict=True):
+        assert all(old[k : k + 20] not in new for k in range(0, len(old) - 20)) and old[-12:] != new[-12:]
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
