@@ -57,8 +57,8 @@ PATTERNS = {
     "phone": r"(?=[+(0-9])(?<![+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
 } | {f"name_{script}_{gender}": rf"(?=\p{{Lu}})(?:{titles}) {_NAME}" for (script, gender), titles in TITLES.items()}
 ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-#: A text with an entity matches this as well; it is much cheaper.
-GATE = r"[0-9@=:]|(?=\p{Lu})" + _START + "(?:" + "|".join(TITLES.values()) + ")"
+#: A text with an entity matches this as well; it is much cheaper. Access keys and names may lack all of the first class.
+GATE = r"[0-9@=:]|(?=\p{Lu})(?:A[KS]IA|" + _START + "(?:" + "|".join(TITLES.values()) + "))"
 
 def entity_type(mention: Column) -> Column:
     """The first type whose pattern the mention is; a mention is a match of ANY, so it has one."""
