@@ -43,22 +43,23 @@ SURNAME_SYLLABLES = {
 }
 
 _NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
-#: No entity begins inside a word. This stands before all patterns, so most places fail at one look.
-_START = r"(?<![\p{L}0-9])"
-#: What each type looks like; where two begin at one place, the earlier wins. Every group is non-capturing.
+#: What each type looks like; where two begin at one place, the earlier wins. Every group is non-capturing. Words of
+#: any script end before a secret's or phone's start and a name's title; the others may follow letters of other scripts.
 PATTERNS = {
-    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}",
-    "access_key": r"A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?=[PpSsTtAa])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,}+\"?",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?=[0-9])(?<![.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?=[0-9])(?<![-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
-    "ssn": r"(?=[0-9])(?<![-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?=[+(0-9])(?<![+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
-} | {f"name_{script}_{gender}": rf"(?=\p{{Lu}})(?:{titles}) {_NAME}" for (script, gender), titles in TITLES.items()}
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}",
+    "access_key": r"(?=A)(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"(?=[PpSsTtAa])(?<![\p{L}0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,}+\"?",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "card": r"(?=[0-9])(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
+    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?=[+(0-9])(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+} | {f"name_{script}_{gender}": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titles}) {_NAME}" for (script, gender), titles in TITLES.items()}
+#: After an ASCII letter only numbers begin, and after a digit only names. This stands before all patterns, so most places fail at one look.
+_START = r"(?:(?<![A-Za-z0-9])|(?<![0-9])(?=[0-9])|(?<=[0-9])(?=\p{Lu}))"
 ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A text with an entity matches this as well; it is much cheaper. Access keys and names may lack all of the first class.
-GATE = r"[0-9@=:]|(?=\p{Lu})(?:A[KS]IA|" + _START + "(?:" + "|".join(TITLES.values()) + "))"
+GATE = r"[0-9@=:]|(?=\p{Lu})(?:A[KS]IA|(?<!\p{L})(?:" + "|".join(TITLES.values()) + "))"
 
 def entity_type(mention: Column) -> Column:
     """The first type whose pattern the mention is; a mention is a match of ANY, so it has one."""
