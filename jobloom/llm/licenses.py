@@ -49,7 +49,8 @@ UNKNOWN_FREEDOM = 0.5
 PHRASE_EVIDENCE = 0.5
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_TAG = re.compile(r"SPDX-License-Identifier\s*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_TAG = re.compile(r"SPDX-License-Identifier\s*:", re.IGNORECASE)
+_BREAK = re.compile(r"[\r\n]")
 _TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*|[()]")
 _VERSION = re.compile(r"(?:-v?\d[\w.]*)?(?:-(?:only|or-later|clause|clear))*\+?$")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -113,16 +114,24 @@ def evaluate(tokens: list[str]) -> tuple[set[str], float]:
 
 
 def tag_expressions(text: str) -> list[list[str]]:
-    """Tokens of the expression after each SPDX tag; an expression ends where two operands meet."""
+    """Tokens of the expression after each SPDX tag.
+
+    An expression ends where two operands meet, at the next tag, and at the end of a line unless a parenthesis is open.
+    """
     found = []
-    for rest in _TAG.findall(text):
+    tags = [m.span() for m in _TAG.finditer(text)]
+    for (_, at), (stop, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):
         tokens: list[str] = []
         depth, operand_next = 0, True
-        for token in _TOKEN.findall(rest):
+        for m in _TOKEN.finditer(text, at, stop):
+            token = m[0]
             opens = token == "("
             joins = token.lower() in _PRECEDENCE or token == ")"
             if opens + (not joins) and not operand_next or token == ")" and not depth:
                 break
+            if not depth and _BREAK.search(text, at, m.start()):
+                break
+            at = m.end()
             depth += opens - (token == ")")
             operand_next = opens or (joins and token != ")")
             tokens.append(token)

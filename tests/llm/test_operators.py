@@ -96,6 +96,20 @@ def test_license_scan(spark, sf_dir, documents, odd):
     assert licenses.scan_licenses(odd).count() == 8 and licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_license_tags():
+    tag, scanner = "SPDX-License-Identifier:", licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES)
+    wanted = {
+        f"/* {tag} MIT */ f(); /* {tag} GPL-3.0-only */ g()": ("gpl,mit", 0.3),
+        f"{tag} MIT {tag} {tag} (ISC OR GPL-2.0) {tag} MPL-2.0": ("gpl,isc,mit,mpl", 0.6),
+        f"{tag} MIT OR {tag} GPL-2.0": ("gpl", 0.3),
+        f"# {tag} (MIT OR\r\n#   (Apache-2.0 AND\n# GPL-2.0))\n# OR Zlib": ("apache,gpl,mit", 1.0),
+        f"{tag}\nMIT": ("", None),
+        f"{tag} MIT\nOR ISC": ("mit", 1.0),
+        f"{tag} (MIT\nOR ISC no end": ("", None),
+    }
+    assert {text: scanner.scan(text)[5::2] for text in wanted} == wanted
+
+
 def test_fingerprints(spark, sf_dir, documents, odd):
     rows = {r["doc_id"]: r for r in fingerprints.op7_document_fingerprints(spark, sf_dir).collect()}
     texts = [t or "" for _, t in documents]
