@@ -24,10 +24,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs)
-    # the copies are fewer than what stays; a row without doc_id matches none of them
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates, one with the smallest doc_id; a row without doc_id only if none has any.
+
+    Rows are known by numbers of their own, as doc_id may be repeated or missing.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole), "near-dedup-rows")
+    found = near_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    found = found.select(F.col("doc_id").alias("row"), "component_id")
+    known = rows.select("row", F.col("doc.doc_id").alias("doc_id")).join(found, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    kept = known.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

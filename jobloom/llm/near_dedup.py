@@ -98,7 +98,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(found) >> np.uint64(48)).astype("<u2")
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hash binary, sketch array<long>"
+SKETCH_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_hash binary, sketch array<long>"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -106,17 +106,18 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), size) for x in batch.column(1)]
+            sets = [shingle_set(x.as_py(), size) for x in batch.column(2)]
             bands = [sketch(x).view("<i8") if len(x) else None for x in sets]
             columns = [
                 batch.column(0),
+                batch.column(1),
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([set_hash(x) if len(x) else None for x in sets], pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_hash", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "set_hash", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, SKETCH_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(of, SKETCH_SCHEMA)
 
 
 def set_hash(shingles: np.ndarray) -> bytes:
@@ -152,8 +153,9 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int
             columns = [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"]).filter(pa.array(right, pa.bool_()))
 
-    wanted = wanted.select("node").distinct().join(nodes.select("node", "set_hash"), "node")
-    read = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").select("node", "text", "set_hash")
+    wanted = wanted.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash", "set_hash"), "node")
+    read = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    read = read.join(wanted, ["doc_id", "text_hash"]).select("node", "text", "set_hash")
     # rows that repeat a doc_id and its text give the set once
     return written(read.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
 
@@ -288,16 +290,18 @@ def _units(members: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
+    component_id is the smallest doc_id of the component; one of its rows, which has it, is kept.
     Defined cases: a text without words (null, empty, white space) has the empty set and is linked with
     nothing; a row without doc_id is linked with nothing, has no component and is kept; rows that
-    repeat a doc_id belong each to the component of their own text; other columns are ignored; an empty
-    table gives an empty result.
+    repeat a doc_id belong each to the component of their own text, and two components whose smallest doc_id
+    is the same one show it both; other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    known = written(sketches(docs, size), "sketches")
+    known = written(sketches(docs, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = known.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    first = F.row_number().over(Window.partitionBy("set_hash").orderBy("doc_id"))
-    nodes = some.withColumn("first", first).where("first = 1").withColumnRenamed("doc_id", "node").drop("first")
+    first = F.row_number().over(Window.partitionBy("set_hash").orderBy("doc_id", "row"))
+    # a class goes by the number of its first row: other classes may have its doc_id
+    nodes = some.withColumn("first", first).where("first = 1").withColumnRenamed("row", "node").drop("first")
     nodes = written(nodes, "classes")
     bands = nodes.select("node", F.posexplode("sketch").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node")
     buckets = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -321,12 +325,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
         if not more.isEmpty():
             labels, _ = components(links.unionByName(more))
     discard(*spent)
-    linked = nodes.select("set_hash", "node").join(labels, "node", "left")
-    linked = linked.select("set_hash", F.coalesce("component", "node").alias("component"))
-    out = known.select("doc_id", "n_shingles", "set_hash").join(linked, "set_hash", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    return out.select("doc_id", "n_shingles", component).select("doc_id", "n_shingles", "component_id", kept)
+    linked = nodes.select("set_hash", "node", "doc_id").join(labels, "node", "left")
+    linked = linked.select("set_hash", "doc_id", "node", "component")
+    alone = linked.where("component IS NULL").select("set_hash", F.struct("doc_id", "node").alias("first"))
+    linked = linked.where("component IS NOT NULL")
+    firsts = linked.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    linked = linked.select("set_hash", "component").join(firsts, "component").select("set_hash", "first").unionByName(alone)
+    out = known.select("doc_id", "n_shingles", "set_hash", "row").join(linked, "set_hash", "left")
+    has_id = F.col("doc_id").isNotNull()
+    component = F.when(has_id, F.coalesce("first.doc_id", "doc_id")).alias("component_id")
+    kept = F.when(has_id, F.coalesce(F.col("row") == F.col("first.node"), F.lit(True))).otherwise(True).alias("kept")
+    return out.select("doc_id", "n_shingles", component, kept)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,22 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     assert got == _components(documents, 3)
 
 
+def test_near_dedup_of_repeated_and_missing_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = lambda x: x + " end"
+    said = [(1, one), (2, two), (2, near(one)), (2, three), (2, three), (3, near(two)), (4, near(three)), (None, near(one)), (None, "d e f g h i j"), (None, "d e f g h i j"), (5, None)]
+    docs = spark.createDataFrame([(*x, k) for k, x in enumerate(said)], "doc_id long, text string, n int")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {
+        (1, 56, 1, True): 1, (2, 57, 1, False): 1, (2, 56, 2, True): 2, (2, 56, 2, False): 1, (3, 57, 2, False): 1, (4, 57, 2, False): 1,
+        (None, 57, None, True): 1, (None, 3, None, True): 2, (5, 0, 5, True): 1,
+    }
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_filter(spark, docs, sf_dir).collect()]
+    assert sorted(left, key=repr) == sorted([(1, one), (2, two), (2, three), (None, "d e f g h i j"), (5, None)], key=repr)
+
+
 def test_components_of_a_chain(spark):
     n = 40
     links = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
