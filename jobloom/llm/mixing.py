@@ -136,10 +136,10 @@ def shard_counts(totals: np.ndarray, shard_blocks: int, wanted: range, seed: int
         yield from descend(0, shards, totals, np.zeros_like(totals))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, number of words and text hash of docs, written: texts are read once."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, more columns, number of words and text hash of docs, written: texts are read once."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0))
-    return written(docs.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
+    return written(docs.select("doc_id", "source", *more, words.alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
 
 
 def plan_mix(sizes: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> list[SourcePlan]:
@@ -172,7 +172,9 @@ def placed(sizes: DataFrame, plans: list[SourcePlan]) -> DataFrame:
     totals = docs.groupBy("number", "part").agg(F.sum("size").alias("part_size"))
     before = F.sum("part_size").over(Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("number", "part", F.coalesce(before, F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("number", "part").orderBy("h", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # where rows have numbers, these order the ones that are alike
+    order = ["h", "doc_id", "text_hash", "size", *(c for c in sizes.columns if c == "row")]
+    within = Window.partitionBy("number", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(totals, ["number", "part"])
     return docs.withColumn("start", F.col("part_start") + F.col("within")).drop("part", "part_start", "within", "h")
 
@@ -261,17 +263,15 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     column n_chars is brought up to date. Defined cases are those of taken_words(); documents of which
     no word is taken have no row.
     """
-    sizes = sized(docs)
+    # numbered once: rows may be alike in all columns but those that the mix does not look at
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole), "mix-rows")
+    sizes = sized(rows.select("row", "doc.doc_id", "doc.source", "doc.text"), "row")
     plans = plan_mix(sizes)
     mix = slots(docs.sparkSession, plans)
-    key = F.xxhash64("doc_id", "source", "text_hash").alias("key")
-    taken = pieces(placed(sizes, plans), mix).select(key, "text_hash", "start", "size", "pass", "from_word", "n_words")
-    taken = taken.groupBy("key", "text_hash", "start", "size", "pass").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("doc")).withColumn("text_hash", F.xxhash64("doc.text"))
-    rows = rows.select("doc", F.xxhash64("doc.doc_id", "doc.source", "text_hash").alias("key"), "text_hash")
-    # rows that are alike in all these are told apart by their starts, and need the text once
-    joined = rows.dropDuplicates(["key", "text_hash"]).join(taken, ["key", "text_hash"])
+    taken = pieces(placed(sizes, plans), mix).groupBy("row", "size", "pass")
+    taken = taken.agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
+    joined = rows.join(taken, "row")
     # by position: docs may have columns of any name
     numbered = [F.col(f"doc.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
     chosen = written(joined.select(*numbered, "size", "spans"), "mix-documents")
@@ -289,7 +289,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     out = chosen.mapInArrow(cut, schema)
-    discard(sizes)
+    discard(sizes, rows)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -246,6 +246,12 @@ def test_mixing(spark, sf_dir, odd):
     assert mixed.columns == odd.columns and got == {"x": 30_026 - 60, "y": 18, "z": 36, None: 6}
 
 
+def test_mixing_of_rows_that_differ_in_other_columns(spark):
+    rows = [(k // 4, f"a b c {k // 4}", "x", f"lang {k % 4}", k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, row int")
+    assert sorted(map(tuple, mixing.mixed_documents(docs).collect())) == rows
+
+
 def test_quality(spark, sf_dir, odd):
     rows = {r["doc_id"]: r for r in quality.op8_quality_classifier(spark, sf_dir).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in rows.items())
