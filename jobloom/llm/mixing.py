@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
 #: Rows of a source that share one running sum.
 SUM_ROWS = 512
-#: numpy draws from populations below this size; larger nodes of the tree split in proportion.
+#: numpy draws from populations below this size; from larger ones _hypergeometric does.
 _MOST_DRAWN = 10**9 - 1
 
 
@@ -109,6 +110,38 @@ def plan_source(number: int, source: str | None, rows: int, size: int, target: f
     return SourcePlan(source, rows, size, target, blocks, passes * blocks + slots, rest - held(slots - 1))
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """A hypergeometric draw of any size, by inversion in double precision.
+
+    Ratios of neighbouring probabilities are summed from twelve standard deviations below the mode to as many
+    above, beyond which less than the generator's resolution is left; memory grows with the deviation.
+    """
+    low, high, total = max(0, sample - bad), min(good, sample), good + bad
+    if low == high:
+        return low
+    mode = (sample + 1) * (good + 1) // (total + 2)
+    deviation = (sample * (good / total) * (bad / total) * ((total - sample) / (total - 1))) ** 0.5
+    reach = int(12 * deviation) + 64
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.int64)
+    ratios = (good - k) / (k + 1) * ((sample - k) / (bad - sample + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(ratios))])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(below, rng.random() * below[-1], side="right")), high - low)
+
+
+@lru_cache(maxsize=4096)
+def _large_node(counts: tuple[int, ...], slots: int, key: tuple[int, ...]) -> tuple[int, ...]:
+    """How many of `slots` drawn slots each source has, source by source; all shards below a node ask for it."""
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence(key)))
+    left, rest = [], sum(counts)
+    for n in counts:
+        rest -= n
+        left.append(_hypergeometric(rng, n, rest, slots))
+        slots -= left[-1]
+    return tuple(left)
+
+
 def shard_counts(totals: np.ndarray, shard_blocks: int, wanted: range, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(shard, slots of each source before it, slots of each source in it) of the wanted shards."""
     n_slots = int(totals.sum())
@@ -122,9 +155,7 @@ def shard_counts(totals: np.ndarray, shard_blocks: int, wanted: range, seed: int
         middle = (low + high) // 2
         slots = (middle - low) * shard_blocks
         if counts.sum() > _MOST_DRAWN:
-            exact = counts * (slots / counts.sum())
-            left = exact.astype(np.int64)
-            left[np.argsort(left - exact, kind="stable")[: slots - left.sum()]] += 1
+            left = np.array(_large_node(tuple(counts.tolist()), slots, (seed, low, high)), np.int64)
         else:
             rng = np.random.Generator(np.random.Philox(np.random.SeedSequence((seed, low, high))))
             left = rng.multivariate_hypergeometric(counts, slots, method="marginals")

@@ -252,6 +252,26 @@ def test_mixing_of_rows_that_differ_in_other_columns(spark):
     assert sorted(map(tuple, mixing.mixed_documents(docs).collect())) == rows
 
 
+def test_large_nodes_of_a_mix_are_drawn():
+    rng = np.random.default_rng(3)
+    for good, bad, sample in ((30, 70, 20), (5, 400, 300), (90, 10, 95)):
+        got = np.array([mixing._hypergeometric(rng, good, bad, sample) for _ in range(20_000)])
+        mean, total = sample * good / (good + bad), good + bad
+        variance = mean * bad / total * (total - sample) / (total - 1)
+        assert abs(got.mean() - mean) < 5 * (variance / 20_000) ** 0.5 and got.var() == pytest.approx(variance, rel=0.06)
+    totals = np.array([3 * 10**9, 0, 10**9], np.int64)
+    halves = [np.array(mixing._large_node(tuple(totals.tolist()), 2 * 10**9, (seed, 0, 1))) for seed in range(300)]
+    assert all(x.sum() == 2 * 10**9 and (x <= totals).all() for x in halves)
+    off = np.array([x[0] - 1.5e9 for x in halves]) / (2e9 * 0.75 * 0.25 * 0.5) ** 0.5
+    assert abs(off.mean()) < 0.3 and 0.8 < off.std() < 1.2
+    n = -(-int(totals.sum()) // 1024)
+    (first,), (last,) = (list(mixing.shard_counts(totals, 1024, range(k, k + 1), 7)) for k in (0, n - 1))
+    assert first[2].sum() == 1024 and not first[1].any() and (last[1] + last[2] == totals).all()
+    # a proportional split would be the same for every seed
+    middle = {tuple(next(mixing.shard_counts(totals, 1024, range(n // 2, n // 2 + 1), seed))[1].tolist()) for seed in range(5)}
+    assert len(middle) == 5
+
+
 def test_quality(spark, sf_dir, odd):
     rows = {r["doc_id"]: r for r in quality.op8_quality_classifier(spark, sf_dir).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in rows.items())
