@@ -3,15 +3,17 @@
 Pieces are dealt to groups of about GROUP_PIECES, and each group is packed by best-fit decreasing. Dual
 feasible functions of its lengths bound its bins from below. Of a group at its bound the emptiest bin stays
 open, as the bound is rounded up, and bins with more than ROOM to spare, which pieces of other groups
-may fill; of a group with a gap, every bin that is not full. The
-pieces of open bins are exchanged: dealt anew to fewer groups, which pack again, until the open bins
-meet their common bound or MOST_ROUNDS is reached.
+may fill; of a group with a gap, all its bins. The
+pieces of open bins are exchanged: dealt anew to fewer groups, twice as large from round to round, which pack again, until the open bins
+meet their common bound or MOST_ROUNDS is reached. certificate() gives the bins and the bound of a result.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ ROOM = 0.05
 #: Parameters k of the functions u(k) that the bound tries.
 ROUNDING = range(1, 33)
 
+_log = logging.getLogger(__name__)
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -102,13 +106,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """pieces with sequence_id and offset.
 
-    pieces is a written table in PIECE_SCHEMA. A group is packed in one task, and its size is bounded.
+    pieces is a written table in PIECE_SCHEMA. A group is packed in one task, and holds about group_pieces
+    pieces in the first round and 2 ** (most_rounds - 1) times as many in the last.
     To the driver go the counts of the open pieces by length, capacity rows at most.
     """
     schema = f"{PIECE_SCHEMA}, sequence_id long, offset long, open boolean"
 
     def packed(rows: DataFrame, n: int, round_: int) -> DataFrame:
-        groups = -(-n // group_pieces)
+        groups = -(-n // (group_pieces << round_))
 
         def place(found: pa.Table) -> pa.Table:
             lengths = found["length"].to_numpy()
@@ -116,9 +121,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
             bins, offsets = best_fit_decreasing(lengths, capacity)
             fill = np.bincount(bins, lengths).astype(np.int64)
             gap = len(fill) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-            open_ = fill < capacity
+            # full bins of a group with a gap may hold just the short pieces that its long ones lack
+            open_ = np.ones(len(fill), bool)
             if not gap:
-                open_ &= (fill < (1 - ROOM) * capacity) | (np.arange(len(fill)) == np.argmin(fill))
+                open_ = (fill < (1 - ROOM) * capacity) | ((np.arange(len(fill)) == np.argmin(fill)) & (fill < capacity))
             # round, group and bin in one number
             sequence = (round_ << 56) + (group << 24) + bins
             out = found.select([x.split()[0] for x in PIECE_SCHEMA.split(", ")])
@@ -126,7 +132,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
                 out = out.append_column(name, pa.array(values))
             return out
 
-        group = F.pmod(F.xxhash64(F.lit(round_), "doc_id", "piece", "length", "ids_crc32"), F.lit(groups))
+        # by the number of the row: rows may be alike in all columns
+        group = F.pmod(F.xxhash64(F.lit(round_), F.monotonically_increasing_id()), F.lit(groups))
         dealt = rows.withColumn("group", group).groupBy("group").applyInArrow(place, schema)
         return written(dealt, f"packed-{round_}")
 
@@ -138,8 +145,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         counts = np.zeros(capacity + 1, np.int64)
         for length, count in left.groupBy("length").count().collect():
             counts[length] = count
-        bins = left.where("offset = 0").count()
-        if round_ == most_rounds - 1 or bins <= lower_bound(counts, capacity):
+        bins, bound = left.where("offset = 0").count(), lower_bound(counts, capacity)
+        _log.info("round %d: %d pieces in %d open bins, bound %d", round_, int(counts.sum()), bins, bound)
+        if round_ == most_rounds - 1 or bins <= bound:
             done.append(got)
             break
         done.append(got.where("not open"))
@@ -150,11 +158,32 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     return out.drop("open")
 
 
+@dataclass(frozen=True)
+class Certificate:
+    """Bins of a packing and the fewest that any packing of its pieces could have; gap is their difference."""
+
+    bins: int
+    bound: int
+
+    @property
+    def gap(self) -> int:
+        return self.bins - self.bound
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> Certificate:
+    """The certificate of a packed table over all its pieces. Counts by length go to the driver, capacity rows at most."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in packed.groupBy("length").count().collect():
+        counts[length] = n
+    return Certificate(packed.where("offset = 0").count(), lower_bound(counts, capacity) if counts.any() else 0)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs (doc_id, text).
 
     Defined cases: a null or empty text is a piece with the end id alone; rows of one doc_id are
-    separate documents; a null doc_id is kept; other columns are ignored; an empty table gives an
+    separate documents, dealt to groups by their own numbers however alike they are; a text of any length
+    is encoded whole and cut; a null doc_id is kept; other columns are ignored; an empty table gives an
     empty result.
     """
     pieces = written(token_pieces(docs, tokenizer), "pieces")
