@@ -39,6 +39,21 @@ NOTICE_PHRASES = {
     "cc0 1 0": "cc0",
 }
 TAG_PHRASE = "spdx license identifier"
+#: SPDX identifiers that a tag expression may name, as license_label() writes them. NONE and NOASSERTION name no license.
+IDENTIFIERS = frozenset(
+    """0bsd aal afl agpl aladdin amdplpa antlr-pd apache apafml apl apsl artistic artistic-cl8 artistic-perl beerware blueoak bsd bsl
+    busl bzip2 c-uda caldera cal catosl cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa cc-pddc cc0 cddl cdla-permissive
+    cdla-sharing cecill cecill-b cecill-c cern-ohl cern-ohl-p cern-ohl-s cern-ohl-w clartistic cnri-python cpal cpl cpol cua-opl curl
+    ecl ecos efl elastic entessa epl erlpl eudatagrid eupl fair frameworx freetype ftl gfdl gl2ps glulxe gnuplot gpl hpnd icu ijg
+    imagemagick intel ipa ipl isc json lal latex2e libpng libtiff liliq-p liliq-r liliq-rplus linux-openib lgpl lgpllr lpl lppl
+    mirros mit mit-advertising mit-cmu mit-enna mit-feh mit-modern-variant motosoto mpl mpl-2.0-no-copyleft-exception ms-pl ms-rl mtll
+    mulanpsl multics naist nasa naumen ncsa ngpl nokia nosl npl nposl ntp nunit oclc odbl odc-by ofl ogl-uk ogtsl oldap oml openssl osl
+    parity pddl php polyform-noncommercial polyform-small-business postgresql psf python qpl ricoh rpl rpsl rscpl ruby saxpath
+    sgi-b simpl sissl sleepycat smlnj snia spl sspl sugarcrm tcl tcp-wrappers tmate unicode unicode-dfs unlicense upl vim vostrom vsl
+    w3c watcom wtfpl x11 xfree86 xnet xpp zend zimbra zlib zlib-acknowledgement zpl""".split()
+)
+#: Identifiers that their own document defines.
+OWN_IDENTIFIER = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", re.IGNORECASE)
 #: How free the label's terms leave a user, from 0 to 1; other labels count as UNKNOWN_FREEDOM.
 FREEDOM = {
     "cc0": 1.0, "mit": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "apache": 0.9, "cc-by": 0.9, "mpl": 0.6, "epl": 0.6,
@@ -99,7 +114,10 @@ def to_postfix(tokens: list[str]) -> list[str]:
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], float]:
-    """Labels that the expression names, and its freedom: `or` lets the user choose, `and` binds to both."""
+    """Labels that the expression names, and its freedom: `or` lets the user choose, `and` binds to both.
+
+    ValueError if it is malformed, or names what is no license.
+    """
     stack: list[tuple[set[str], float]] = []
     for token in to_postfix(tokens):
         if token == "with":
@@ -108,7 +126,10 @@ def evaluate(tokens: list[str]) -> tuple[set[str], float]:
             (right, b), (left, a) = stack.pop(), stack.pop()
             stack.append((left | right, max(a, b) if token == "or" else min(a, b)))
         else:
-            label = license_label(token)
+            label = token.lower() if OWN_IDENTIFIER.fullmatch(token) else license_label(token)
+            # what follows `with` is popped unread
+            if label not in IDENTIFIERS and not OWN_IDENTIFIER.fullmatch(token) and not label.endswith("exception") and label != "linux-syscall-note":
+                raise ValueError(f"no license: {token}")
             stack.append(({label}, FREEDOM.get(label, UNKNOWN_FREEDOM)))
     return stack.pop()
 
@@ -189,8 +210,9 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, more: di
 
     score is the evidence that the text carries a license, freedom the least freedom that its licenses
     leave (null without any). Defined cases: a null text counts as empty and has no words, labels "" and
-    score 0; a malformed tag expression adds nothing; a null doc_id is kept; repeated rows are scanned
-    each; other columns are ignored; an empty table gives an empty result.
+    score 0; a tag expression that is malformed or names what is no license adds nothing; a text of any
+    length is scanned whole; a null doc_id is kept; repeated rows are scanned each; other columns are
+    ignored; an empty table gives an empty result.
     """
     names = [x.split()[0] for x in SCAN_SCHEMA.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()] * 2
