@@ -34,11 +34,13 @@ COVERAGE = 0.85
 #: Queries that measure the cosine, and the quantile of their farthest neighbours' cosines that is taken.
 SAMPLE_QUERIES = 64
 QUANTILE = 0.1
-#: Vectors and queries that meet in one task.
+#: Vectors that one unit holds, and the queries that pass by them in one task.
 UNIT_VECTORS = 8192
-UNIT_QUERIES = 4096
+UNIT_QUERIES = 1 << 16
 SEED = 20240617
 _STEP = 256
+#: Cells of all queries of a step.
+_STEP_CELLS = 1 << 20
 
 
 def projections(n: int) -> int:
@@ -64,8 +66,8 @@ class Hashing:
         points = np.column_stack([scaled, rest])
         return np.stack([np.searchsorted(self.edges, points @ a + b, side="right") @ self.places for a, b in zip(self.axes, self.shift, strict=True)])
 
-    def chances(self, queries: np.ndarray, table_: int) -> np.ndarray:
-        """(n, cells) chance of each cell to hold a neighbour of each query at the cosine."""
+    def _sides(self, queries: np.ndarray, table_: int) -> np.ndarray:
+        """(n, projections, CELLS_A_SIDE) chance of each bucket of each projection to hold a neighbour at the cosine."""
         from math import erf
 
         norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
@@ -73,24 +75,35 @@ class Hashing:
         spread = math.sqrt(max(1e-6, 1 - self.cosine**2))
         z = (self.edges - self.shift[table_][:, None] - at[:, :, None]) / (spread * math.sqrt(2))
         below = (1 + np.vectorize(erf)(z)) / 2
-        side = np.diff(np.concatenate([np.zeros((*below.shape[:2], 1)), below, np.ones((*below.shape[:2], 1))], axis=2))
-        out = side[:, 0]
-        for k in range(1, self.count):  # the first projection is the lowest digit of a cell's number
-            out = (side[:, k][:, :, None] * out[:, None, :]).reshape(len(queries), -1)
+        return np.diff(np.concatenate([np.zeros((*below.shape[:2], 1)), below, np.ones((*below.shape[:2], 1))], axis=2))
+
+    def chances(self, queries: np.ndarray, table_: int, cells: np.ndarray | None = None) -> np.ndarray:
+        """(n, cells) chance of each cell, or of the given ones, to hold a neighbour of each query at the cosine."""
+        side = self._sides(queries, table_)
+        if cells is None:
+            out = side[:, 0]
+            for k in range(1, self.count):  # the first projection is the lowest digit of a cell's number
+                out = (side[:, k][:, :, None] * out[:, None, :]).reshape(len(queries), -1)
+            return out
+        digits = cells[None, :] // self.places[:, None] % CELLS_A_SIDE
+        out = side[:, 0][:, digits[0]]
+        for k in range(1, self.count):
+            out = side[:, k][:, digits[k]] * out
         return out
 
 
-def visited(hashing: Hashing, queries: np.ndarray, table_: int, occupied: np.ndarray, least: int) -> np.ndarray:
-    """(n, cells) whether each query visits each cell: likeliest first, until COVERAGE and `least` vectors are met."""
+def visited(hashing: Hashing, queries: np.ndarray, table_: int, occupied: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, cells) whether each query visits each cell: likeliest first, until COVERAGE and `least` vectors are met; and the least chance it visits."""
     chances = hashing.chances(queries, table_)
     order = np.argsort(-chances, axis=1, kind="stable")
-    chance = np.cumsum(np.take_along_axis(chances, order, axis=1), axis=1)
+    sorted_ = np.take_along_axis(chances, order, axis=1)
+    chance = np.cumsum(sorted_, axis=1)
     seen = np.cumsum(occupied[order], axis=1)
     before = np.column_stack([np.zeros(len(queries)), chance[:, :-1]])
     before_seen = np.column_stack([np.zeros(len(queries)), seen[:, :-1]])
-    out = np.empty(chances.shape, bool)
-    np.put_along_axis(out, order, (before < COVERAGE) | (before_seen < least), axis=1)
-    return out
+    visits = (before < COVERAGE) | (before_seen < least)
+    last = sorted_[np.arange(len(queries)), visits.sum(axis=1) - 1]
+    return chances >= last[:, None], last
 
 
 def _with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
@@ -118,6 +131,35 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np
         yield q, rows[order], exact[order]
 
 
+class _Unit:
+    """The vectors of one unit, by table."""
+
+    def __init__(self, rows: pa.Table, hashing: Hashing):
+        self.hashing, self.ids = hashing, rows["vec_ids"].to_pylist()
+        tables, cells, vectors = rows["table"].to_numpy(), rows["cell"].to_numpy(), _matrix(rows["embedding"])
+        smallest = np.array([x[0] for x in self.ids])
+        self.parts = []
+        for t in np.unique(tables).tolist():
+            at = np.flatnonzero(tables == t)
+            some, place = np.unique(cells[at], return_inverse=True)
+            self.parts.append((t, at, some, place, vectors[at], smallest[at]))
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """RESULT_SCHEMA rows: the k nearest of the cells that each query visits, by table."""
+        asked, query_ids = _matrix(queries.column("embedding")), queries.column("vec_id").to_pylist()
+        least = _matrix(queries.column("least"))
+        out: list[tuple[int, int, float]] = []
+        for t, at, cells, place, vectors, smallest in self.parts:
+            # the same cells as on the way here, but for rounding
+            allowed = (self.hashing.chances(asked, t, cells) >= least[:, t][:, None] * (1 - 1e-9))[:, place]
+            for q, best, scores in _best(asked, vectors, smallest, allowed, k + 1):
+                own = query_ids[q]
+                pairs = [(-s, x) for r, s in zip(at[best].tolist(), scores.tolist(), strict=True) for x in self.ids[r] if x != own]
+                out += [(own, x, -s) for s, x in sorted(pairs)[:k]]
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding, norm2 of vectors that take part; -0.0 becomes 0.0."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -135,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
 
     Equal vectors are one index entry with their k + 1 smallest ids, which is all that k results can
     need. Cells are laid out in units of about UNIT_VECTORS, a cell with more being dealt over
-    several, and queries in blocks, so no task holds more than one unit and one block.
+    several. Queries go to the units that hold cells they visit, and pass by a unit's vectors as a stream.
 
     Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do rows without vec_id or vectors of another length than the commonest (the shorter, if tied);
@@ -174,7 +216,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     for r in index.groupBy("table", "cell").count().collect():
         occupied[r["table"], r["cell"]] = r["count"]
     starts = np.cumsum(occupied).reshape(occupied.shape) - occupied
-    blocks = -(-n_queries // UNIT_QUERIES)
 
     def unit_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,50 +227,63 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     units_schema = _with(index, ("unit", T.LongType()))
     spread = F.pmod(F.xxhash64("embedding"), F.lit(1 << 40))
     dealt = index.withColumn("spread", spread).mapInArrow(unit_of, units_schema)
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    n_units = -(-int(occupied.sum()) // UNIT_VECTORS)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = -(-int(occupied.sum()) // UNIT_VECTORS)
+        step = max(1, min(_STEP, _STEP_CELLS // n_cells))
         for whole in batches:
-            for at in range(0, len(whole), _STEP):
-                batch = whole.slice(at, _STEP)
-                wanted = np.zeros((len(batch), units + 1), np.int64)
+            for at in range(0, len(whole), step):
+                batch = whole.slice(at, step)
+                wanted = np.zeros((len(batch), n_units + 1), np.int64)
+                least = np.empty((len(batch), TABLES))
                 for t in range(TABLES):
                     some = np.flatnonzero(occupied[t])
                     first, last = starts[t][some] // UNIT_VECTORS, (starts[t][some] + occupied[t][some] - 1) // UNIT_VECTORS
-                    q, c = np.nonzero(visited(hashing, _matrix(batch.column("embedding")), t, occupied[t], 2 * k + 1)[:, some])
+                    visits, least[:, t] = visited(hashing, _matrix(batch.column("embedding")), t, occupied[t], 2 * k + 1)
+                    q, c = np.nonzero(visits[:, some])
                     np.add.at(wanted, (q, first[c]), 1)
                     np.add.at(wanted, (q, last[c] + 1), -1)
                 q, u = np.nonzero(np.cumsum(wanted, axis=1)[:, :-1])
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(q)).columns, pa.array(u, pa.int64())], probes_schema.names)
-
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    probing = queries.select("vec_id", "embedding", block)
-    probes_schema = _with(probing, ("unit", T.LongType()))
-    probing = probing.mapInArrow(probes, probes_schema)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if left.num_rows and right.num_rows:
-            tables, cells = left["table"].to_numpy(), left["cell"].to_numpy()
-            vectors_, ids = _matrix(left["embedding"]), left["vec_ids"].to_pylist()
-            smallest = np.array([x[0] for x in ids])
-            all_queries, query_ids = _matrix(right["embedding"]), right["vec_id"].to_numpy()
-            for t in np.unique(tables):
-                rows = np.flatnonzero(tables == t)
-                for at in range(0, len(query_ids), _STEP):
-                    asked = all_queries[at : at + _STEP]
-                    allowed = visited(hashing, asked, t, occupied[t], 2 * k + 1)[:, cells[rows]]
-                    for q, best, scores in _best(asked, vectors_[rows], smallest[rows], allowed, k + 1):
-                        own = int(query_ids[at + q])
-                        pairs = [(-s, x) for r, s in zip(rows[best].tolist(), scores.tolist(), strict=True) for x in ids[r] if x != own]
-                        out += [(own, x, -s) for s, x in sorted(pairs)[:k]]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
-
-    pairs = dealt.groupBy("unit", "block").cogroup(probing.groupBy("unit", "block")).applyInArrow(meet, RESULT_SCHEMA)
-    pairs = written(pairs, "neighbours")
-    discard(entries, index)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * TABLES, pa.int32()), pa.array(least[q].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(q)).columns, lists, pa.array(u, pa.int64())], probes_schema.names)
+
+    probes_schema = _with(queries, ("least", T.ArrayType(T.DoubleType())), ("unit", T.LongType()))
+    probing = written(queries.mapInArrow(probes, probes_schema), "probes")
+    # one row for each unit: a unit with more than UNIT_QUERIES queries is met by blocks of them, and only its vectors are repeated
+    asked = probing.groupBy("unit").count().where(F.col("count") > UNIT_QUERIES)
+    asked = asked.select("unit", F.ceil(F.col("count") / UNIT_QUERIES).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = dealt.join(F.broadcast(asked), "unit", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    left = left.select("unit", "block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("vec_id"), "embedding", "vec_ids", "table", "cell", F.lit(None).cast("array<double>").alias("least"))
+    right = probing.join(F.broadcast(asked), "unit", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    nothing = [F.lit(None).cast(x) for x in ("array<long>", "int", "long")]
+    right = right.select("unit", "block", F.lit(1).alias("side"), "vec_id", "embedding", *[c.alias(x) for c, x in zip(nothing, ("vec_ids", "table", "cell"), strict=True)], "least")
+    sides = left.unionByName(right).repartition("unit", "block").sortWithinPartitions("unit", "block", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Holds the vectors of one unit, and lets its queries pass by."""
+        key, held, unit = None, [], None
+        for whole in batches:
+            where = np.stack([whole.column(x).to_numpy() for x in ("unit", "block", "side")])
+            cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), whole.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                *now, side = where[:, begin].tolist()
+                if now != key:
+                    key, held, unit = now, [], None
+                part = whole.slice(begin, end - begin)
+                if side == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    unit, held = _Unit(pa.Table.from_batches(held), hashing), []
+                if unit is not None:
+                    for at in range(0, len(part), _STEP):
+                        yield unit.nearest(part.slice(at, _STEP), k)
+
+    pairs = written(sides.mapInArrow(meet, RESULT_SCHEMA), "neighbours")
+    discard(entries, index, probing)
     # a vector found in several tables, or by rows that repeat a query, counts once
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     twice = (F.lag("vec_id").over(by_score) == F.col("vec_id")) & (F.lag("score").over(by_score) == F.col("score"))
