@@ -13,7 +13,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,7 +104,8 @@ def followed_fingerprints(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null text counts as empty; rows of one doc_id follow each other in order of
     their texts; a row without doc_id has no place in the order and is followed by itself; one
-    document alone is followed by itself; other columns are ignored; an empty table gives an empty result.
+    document alone is followed by itself; a text of any length is digested whole, a slice at a time;
+    other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -114,23 +114,16 @@ def followed_fingerprints(docs: DataFrame) -> DataFrame:
     bounds_of = F.percentile_approx("doc_id", fractions, max(10_000, 20 * parts))
     found = docs.agg(F.min("doc_id").alias("first"), bounds_of.alias("bounds")).first()
     first = found["first"]
-    bounds = np.array(sorted({x for x in found["bounds"] or [] if x > first}), np.int64)
-
-    @F.pandas_udf("array<struct<part:int,tail:boolean>>")
-    def places(ids: pd.Series) -> pd.Series:
-        out = []
-        for x in ids.astype("Int64"):
-            if x is pd.NA:
-                out.append([{"part": 0, "tail": None}])
-                continue
-            k = int(np.searchsorted(bounds, x, side="right"))
-            own = [{"part": k, "tail": False}]
-            if k and bounds[k - 1] == x:
-                own.append({"part": k - 1, "tail": True})
-            if x == first:
-                own.append({"part": len(bounds), "tail": True})
-            out.append(own)
-        return pd.Series(out)
+    bounds = sorted({x for x in found["bounds"] or [] if x > first})
+    here = F.col("doc_id")
+    passed = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= here)) if bounds else F.lit(0)
+    at = lambda part, tail, when: F.struct(part.cast("int").alias("part"), F.lit(tail).cast("boolean").alias("tail"), when.alias("is"))
+    # the range of a document, and the ranges that it ends as well: the one before, of whose next range it is the first, and the last
+    begins = here.isin(bounds) if bounds else F.lit(False)
+    places = F.array(at(passed, False, F.lit(True)), at(passed - 1, True, begins), at(F.lit(len(bounds)), True, here == F.lit(first)))
+    # documents without a place in the order are dealt by their texts
+    dealt_by_text = F.pmod(F.xxhash64("text"), F.lit(len(bounds) + 1))
+    places = F.when(here.isNull(), F.array(at(dealt_by_text, None, F.lit(True)))).otherwise(F.filter(places, lambda x: x["is"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FOLLOWED_SCHEMA.split(", ")]
@@ -164,7 +157,7 @@ def followed_fingerprints(docs: DataFrame) -> DataFrame:
                 yield batch_of(rows)
                 rows = []
 
-    dealt = docs.select(F.explode(places("doc_id")).alias("at"), "doc_id", "text").select("doc_id", "text", "at.*")
+    dealt = docs.select(F.explode(places).alias("at"), "doc_id", "text").select("doc_id", "text", "at.part", "at.tail")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("part"))
     dealt = dealt.sortWithinPartitions(F.col("tail").asc_nulls_first(), "doc_id", "text")
     return dealt.select("doc_id", "text", "tail").mapInArrow(compare, FOLLOWED_SCHEMA)
