@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.llm.scratch import table
 
@@ -29,6 +30,8 @@ SLICE = 1 << 20
 #: Training: labelled rows of each class, the smallest by hash, and the longest text among them.
 SAMPLE_ROWS = 1500
 SAMPLE_CHARS = 1 << 16
+#: Bytes of all texts that training may collect.
+SAMPLE_BYTES = 1 << 26
 BATCH = 32
 #: Gradient steps, over as many passes as it takes.
 STEPS = 600
@@ -212,22 +215,33 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network:
     """A network fitted on at most `rows` labelled documents of each class outside the held-out fold.
 
-    The rows are chosen from labels alone, by hash; of the documents only the chosen are collected.
+    The rows are chosen from labels alone, by hash; of the documents only the chosen are collected, texts of
+    SAMPLE_CHARS at most and SAMPLE_BYTES together, 2 * rows at most, by hash again. Defined cases: a label
+    other than 0 or 1, a null doc_id and a null text are passed over; of labels that differ the smaller
+    counts; a text that stands twice under one doc_id is taken once; without labels of both kinds, the
+    network gives every text the share of label 1, or one half.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for q in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long"), "text")
-    found = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * rows).select("text", "quality").collect()
+    # at most 2 * rows rows of three numbers
+    chosen = F.broadcast(chosen)
+    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    order = [F.xxhash64("doc_id"), "doc_id", "h"]
+    sizes = texts.join(chosen, "doc_id").groupBy("doc_id", "h").agg(F.max(F.octet_length("text")).cast("long").alias("bytes")).orderBy(*order).limit(2 * rows)
+    running = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    taken = F.broadcast(sizes.withColumn("running", running).where(F.col("running") <= SAMPLE_BYTES).select("doc_id", "h"))
+    found = texts.join(taken, ["doc_id", "h"]).join(chosen, "doc_id").dropDuplicates(["doc_id", "h"])
+    found = found.orderBy("doc_id", "text").select("text", "quality").collect()
     return train([r["text"].encode() for r in found], [r["quality"] for r in found])
 
 
 def classify(docs: DataFrame, net: Network) -> DataFrame:
     """docs with score (double) and predicted (int), in place of any columns so named; no shuffle.
 
-    Defined cases: a null text counts as empty, and an empty one has the score of no bytes; other columns,
-    nulls and repeated rows are kept as they are; an empty table gives an empty result.
+    Defined cases: a null text counts as empty, and an empty one has the score of no bytes; a text of any
+    length is scored whole, in slices; other columns, nulls and repeated rows are kept as they are; an empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     kinds = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
