@@ -33,5 +33,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Shingles of four words, every two documents that share one, and all that can be reached over links.
+_NEAR_DEDUP = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x20\x09-\x0D]+') ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 4 THEN list_slice(ws, i, i + 3) ELSE ws END g
+ FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) i FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT a, min(b) b FROM r GROUP BY 1)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id, coalesce(c.b, d.doc_id) >= d.doc_id AS kept
+ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
+
+_ADDED = r"(length({0}) + len(regexp_extract_all({0}, '\\')) + len(regexp_extract_all({0}, '<\||\[/?INST\]|<</?SYS>>|</?s>')))"
+#: A turn has three marks, roles and texts a backslash for each control string and each backslash.
+_CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ c AS (SELECT conv_id, count(*) n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) said,
+ coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') loss,
+ sum(len('<|turn|><|text|><|end|>') + {_ADDED.format("role")} + {_ADDED.format("text")}) formatted FROM t GROUP BY 1)
+ SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+ CAST(formatted AS BIGINT) AS formatted_chars FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_near_dedup": _NEAR_DEDUP, "op10_chat_formatting": _CHAT}
