@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import mixing, near_dedup, packing, pii, quality
-from jobloom.llm.scratch import discard, table, written
+from jobloom.llm.scratch import clear, standing, table, written
 from jobloom.llm.tokenizing import word_bpe_path
 
 
@@ -26,6 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, one with the smallest doc_id; a row without doc_id only if none has any.
 
+    Shingles have five words here, as all near-duplicate stages do; op2's contract alone asks for four.
     Rows are known by numbers of their own, as doc_id may be repeated or missing.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
@@ -35,13 +36,19 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     known = rows.select("row", F.col("doc.doc_id").alias("doc_id")).join(found, "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     kept = known.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+    # the narrow side is hashed, so that documents need no sort
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data and secrets."""
-    out = pii.replace_entities(docs, pii.key_of(spark))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    # a column of the operator's own name stands aside meanwhile
+    aside = {"n_entities": "n_entities of the documents"}
+    out = pii.replace_entities(docs.withColumnsRenamed(aside), pii.key_of(spark)).drop("n_entities")
+    out = out.withColumnsRenamed({v: k for k, v in aside.items()})
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,14 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in order over all documents in sf_dir, each stage's rows written and read again."""
+    """STAGES in order over all documents in sf_dir, each stage's rows written and read again.
+
+    A stage's own tables go as soon as its rows are written. Those of the last stand until the caller has read its
+    rows and calls scratch.clear().
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    before = None
+    before = list(standing(spark))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{k}")
-            if before is not None:
-                discard(before)
-            before = docs
+            clear(spark, before, docs)
     return docs
