@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobloom.llm.scratch import discard, table, written
+from jobloom.llm.scratch import table, written
 
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 1024
@@ -32,8 +32,12 @@ MOST_PASSES = 3
 WEIGHTS = (1, 2, 3)
 WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
-#: Rows of a source that share one running sum.
+#: Rows of a source that share one running sum, and such groups of rows that share the next.
 SUM_ROWS = 512
+#: Plans of the sources are on the driver and in every task of slots(): more sources than this are refused.
+MOST_SOURCES = 50_000
+#: Documents that are cut at once.
+CUT_ROWS = 256
 #: numpy draws from populations below this size; from larger ones _hypergeometric does.
 _MOST_DRAWN = 10**9 - 1
 
@@ -174,9 +178,11 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def plan_mix(sizes: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> list[SourcePlan]:
-    """One plan for each source, in code point order, null last. Sends a row for each source to the driver."""
+    """One plan for each source, in code point order, null last. Sends a row for each of at most MOST_SOURCES sources to the driver."""
     totals = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    found = [(r["source"], r["n"], r["size"]) for r in totals.collect()]
+    found = [(r["source"], r["n"], r["size"]) for r in totals.limit(MOST_SOURCES + 1).collect()]
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"a mix is of {MOST_SOURCES} sources at most: group them first")
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([size for *_, size in found], [WEIGHTS[k % len(WEIGHTS)] for k in range(len(found))])
     return [plan_source(k, *x, t, block_words, seed) for k, (x, t) in enumerate(zip(found, wanted, strict=True))]
@@ -190,8 +196,8 @@ def source_table(spark: SparkSession, plans: list[SourcePlan]) -> DataFrame:
 def placed(sizes: DataFrame, plans: list[SourcePlan]) -> DataFrame:
     """sizes with number, source_size, target, and start: the words before the document in its source.
 
-    A source's documents are summed in ranges of their hash, about SUM_ROWS rows each, and the ranges'
-    totals once more; so a source of any size is spread over all tasks.
+    A source's documents are summed in ranges of their hash, about SUM_ROWS rows each, the ranges' totals in
+    runs of SUM_ROWS, and the runs' once more; so a source of any size is spread over all tasks.
     """
     known = source_table(sizes.sparkSession, plans)
     # hash ranges as equal parts of 2^32, which pmod of the hash is uniform over
@@ -200,9 +206,13 @@ def placed(sizes: DataFrame, plans: list[SourcePlan]) -> DataFrame:
     docs = sizes.withColumn("h", F.xxhash64("doc_id", "text_hash"))
     docs = docs.join(F.broadcast(known), docs["source"].eqNullSafe(known["mix_source"])).drop("mix_source")
     docs = docs.withColumn("part", F.shiftright(rank * parts, 32)).drop("n")
-    totals = docs.groupBy("number", "part").agg(F.sum("size").alias("part_size"))
-    before = F.sum("part_size").over(Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("number", "part", F.coalesce(before, F.lit(0)).alias("part_start"))
+    until = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, *keys: F.coalesce(F.sum(c).over(until(*keys)), F.lit(0))
+    totals = docs.groupBy("number", "part").agg(F.sum("size").alias("part_size")).withColumn("run", F.floor(F.col("part") / SUM_ROWS))
+    runs = totals.groupBy("number", "run").agg(F.sum("part_size").alias("run_size"))
+    runs = runs.select("number", "run", earlier("run_size", "number", "run").alias("run_start"))
+    totals = totals.withColumn("in_run", earlier("part_size", "number", "run", "part")).join(runs, ["number", "run"])
+    totals = totals.select("number", "part", (F.col("run_start") + F.col("in_run")).alias("part_start"))
     # where rows have numbers, these order the ones that are alike
     order = ["h", "doc_id", "text_hash", "size", *(c for c in sizes.columns if c == "row")]
     within = Window.partitionBy("number", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -262,7 +272,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
     Defined cases: a null or wordless text has size 0 and is never taken; a null source is a source, the
     last one; rows of one doc_id are separate documents; a null doc_id is kept; other columns are ignored;
-    an empty table gives an empty result.
+    texts of any length are counted whole; an empty table gives an empty result.
     """
     sizes = sized(docs)
     plans = plan_mix(sizes)
@@ -302,25 +312,27 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     mix = slots(docs.sparkSession, plans)
     taken = pieces(placed(sizes, plans), mix).groupBy("row", "size", "pass")
     taken = taken.agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("spans"))
-    joined = rows.join(taken, "row")
+    # the narrow side is hashed, so that documents need no sort
+    joined = rows.join(taken.hint("shuffle_hash"), "row")
     # by position: docs may have columns of any name
     numbered = [F.col(f"doc.`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
-    chosen = written(joined.select(*numbered, "size", "spans"), "mix-documents")
+    chosen = joined.select(*numbered, "size", "spans")
     at, schema = docs.columns.index("text"), docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, size, spans in zip(batch.column(at), batch.column(-2).to_pylist(), batch.column(-1), strict=True):
-                spans = [(x["from_word"], x["n_words"]) for x in spans.as_py()]
-                whole = sum(n for _, n in spans) == size
-                texts.append(text.as_py() if whole else _cut(text.as_py(), spans))
-            columns = [*batch.columns[:-2]]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+        for whole_batch in batches:
+            for first in range(0, len(whole_batch), CUT_ROWS):
+                batch = whole_batch.slice(first, CUT_ROWS)
+                texts = []
+                for text, size, spans in zip(batch.column(at), batch.column(-2).to_pylist(), batch.column(-1), strict=True):
+                    spans = [(x["from_word"], x["n_words"]) for x in spans.as_py()]
+                    whole = sum(n for _, n in spans) == size
+                    texts.append(text.as_py() if whole else _cut(text.as_py(), spans))
+                columns = [*batch.columns[:-2]]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     out = chosen.mapInArrow(cut, schema)
-    discard(sizes, rows)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
