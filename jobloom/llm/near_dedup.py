@@ -443,11 +443,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     nodes = some.withColumn("first", first).where("first = 1").withColumnRenamed("row", "node").drop("first")
     nodes = written(nodes, "classes")
     bands = nodes.select("node", F.posexplode("sketch").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node")
+    # most bands are one document's alone: only counts of them are shuffled before the others are looked at
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = written(bands.join(shared, "key"), "shared-bands")
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (0, 1)]
-    buckets = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), *same).where("n > 1")
+    buckets = shared.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), *same)
     # bands that put the same members together are one bucket
-    buckets = buckets.groupBy("hub", "n", "same0", "same1").agg(F.min("key").alias("key")).drop("same0", "same1")
-    members = written(bands.join(buckets, "key").where("node <> hub"), "buckets")
+    buckets = buckets.groupBy("hub", "n", "same0", "same1").agg(F.min("key").alias("key")).select("key", "hub")
+    members = written(shared.join(buckets, "key").where("node <> hub"), "buckets")
     pairs = written(similar_by_sketch(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes), "pairs")
     beside = pairs.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.lit(True).alias("beside"))
     members_by = members.join(beside, ["hub", "node"], "left").select("key", "node", F.coalesce("beside", F.lit(False)).alias("beside"))
@@ -464,7 +467,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     differ = (F.min("component") < F.max("component")).alias("open")
     open_ = split.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), differ).where("open").drop("open")
     split = written(split.select("key", "node", "component").join(open_, "key"), "open-buckets")
-    spent = [members, pairs, links, split, known_sets]
+    spent = [shared, members, pairs, links, split, known_sets]
     if not split.isEmpty():
         more = written(_units(split, nodes, known_sets), "links")
         spent.append(more)
