@@ -15,6 +15,7 @@ document, else anywhere.
 from __future__ import annotations
 
 import secrets
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,17 +89,18 @@ _ALL = PATTERNS | _NEUTRAL_PATTERNS
 _START = r"(?:(?<![A-Za-z0-9])|(?<![0-9])(?=[0-9])|(?<=[0-9])(?=\p{Lu}))"
 ANY = _START + "(?:" + "|".join(f"(?:{p})" for p in _ALL.values()) + ")"
 #: Entities but names, and titled names.
-VALUES = _START + "(?:" + "|".join(f"(?:{p})" for k, p in _ALL.items() if not k.startswith("name_")) + ")"
-TITLED = _START + "(?:" + "|".join(f"(?:{p})" for k, p in _ALL.items() if k.startswith("name_")) + ")"
+_VALUES = {k: p for k, p in _ALL.items() if not k.startswith("name_")}
+_TITLED = {k: p for k, p in _ALL.items() if k.startswith("name_")}
+VALUES, TITLED = (_START + "(?:" + "|".join(f"(?:{p})" for p in some.values()) + ")" for some in (_VALUES, _TITLED))
 _ALL_TITLES = "|".join([*TITLES.values(), _NEUTRAL])
 #: A text with an entity matches this as well; it is much cheaper. Access keys and names may lack all of the first class.
 GATE = r"[0-9@=:]|(?=\p{Lu})(?:A[KS]IA|(?<!\p{L})(?:" + _ALL_TITLES + "))"
 
 
-def entity_type(mention: Column) -> Column:
-    """The first type whose pattern the mention is; a mention is a match of ANY, so it has one."""
+def entity_type(mention: Column, patterns: dict[str, str] = _ALL) -> Column:
+    """The first type whose pattern the mention is; a mention is a match of one of them, so it has one."""
     found = F.lit(None).cast("string")
-    for kind, pattern in reversed(_ALL.items()):
+    for kind, pattern in reversed(patterns.items()):
         # at the mention's edges look-around finds nothing to object to
         found = F.when(F.regexp_like(mention, F.lit(f"^(?:{pattern})$")), F.lit(kind)).otherwise(found)
     return found
@@ -170,7 +172,7 @@ def _of(alphabet: str, n: Column) -> Column:
     return F.substr(F.lit(alphabet), (F.pmod(n, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
 
-def _same_classes(value: Column, h: Column, keep: int = 0) -> Column:
+def _same_classes(value: Column, h: Column, keep: Column) -> Column:
     """value with every ASCII letter and digit after the first `keep` drawn anew from its own class."""
 
     def drawn(c: Column, i: Column) -> Column:
@@ -191,15 +193,27 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), weight), F.lit(0), lambda a, x: a + x)
 
 
-def with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+def with_surrogate(rows: DataFrame, key: str, drawn: Callable[..., Column] | None = None) -> DataFrame:
     """rows (kind, canon, attempt, ...) with new, the surrogate of that attempt."""
     # a column of its own: the expressions below read it many times
     hashed = rows.withColumn("h", _digest(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string")))
-    return hashed.withColumn("new", _surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("h"))).drop("h")
+    return hashed.withColumn("new", (drawn or _surrogate)(*map(F.col, ("kind", "canon", "attempt", "h")))).drop("h")
 
 
 def _surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Column:
-    """The surrogate of a canonical value, in canonical form, by its digest; later attempts of short values are longer."""
+    """The surrogate of a canonical value or word of a name, in canonical form, by its digest."""
+    return F.when(kind.rlike("^(?:given|surname)_"), _name_surrogate(kind, value, attempt, h)).otherwise(_value_surrogate(kind, value, attempt, h))
+
+
+def _value_surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Column:
+    """That of an entity but a name; later attempts of emails are longer."""
+    local = F.when(kind == "email", F.substring_index(value, "@", 1)).when(kind == "iban", F.substr(value, F.lit(5))).otherwise(value)
+    same = _same_classes(local, h, F.when(kind == "access_key", 4).otherwise(0))
+    # evaluated once for all the branches that use it
+    return F.transform(F.array(same), lambda x: _shaped_surrogate(kind, value, attempt, h, x))[0]
+
+
+def _shaped_surrogate(kind: Column, value: Column, attempt: Column, h: Column, same: Column) -> Column:
     n = F.length(value)
     drawn = _digits(h)
     card = F.concat(F.substring(value, 1, 1), F.substr(drawn, F.lit(2), n - 1))
@@ -215,34 +229,41 @@ def _surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Colum
     hextets = [F.regexp_replace(F.substring(h, 9 + 4 * k, 4), "^0+(?=.)", "") for k in range(6)]
     ip = F.when(value.contains(":"), F.concat_ws(":", F.lit("2001"), F.lit("db8"), *hextets)).otherwise(F.concat_ws(".", *octets))
     ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(1), n - 1))
-    country2, inner = F.substring(value, 1, 2), _same_classes(F.substr(value, F.lit(5)), h)
-    iban = F.concat(country2, F.lpad((98 - _mod97(F.concat(inner, country2, F.lit("00")))).cast("string"), 2, "0"), inner)
+    country2 = F.substring(value, 1, 2)
+    iban = F.concat(country2, F.lpad((98 - _mod97(F.concat(same, country2, F.lit("00")))).cast("string"), 2, "0"), same)
     blocks = F.transform(F.sequence(F.lit(0), (n / 64).cast("int")), lambda k: F.sha2(F.concat(h, k.cast("string")), 256))
     hexes = F.substr(F.array_join(blocks, ""), F.lit(1), n)
-    local = F.substring_index(value, "@", 1)
     wider = F.when(attempt >= 4, F.concat(F.lit("."), F.right(drawn, F.lit(6)))).otherwise("")
     host = F.concat(F.lit("mail"), F.substring(drawn, 20, 4), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), F.pmod(_byte(h, 31), F.lit(3)) + 1))
-    out = (
-        F.when(kind == "email", F.concat(_same_classes(local, h), wider, F.lit("@"), host))
-        .when(kind == "access_key", _same_classes(value, h, keep=4))
+    return (
+        F.when(kind == "email", F.concat(same, wider, F.lit("@"), host))
         .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), hexes)
         .when(kind == "iban", iban)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
         .when(kind == "ssn", ssn)
         .when(kind == "phone", phone)
+        .otherwise(same)
     )
-    for script, said in SURNAME_SYLLABLES.items():
-        parts = F.array(*map(F.lit, said.split()))
-        syllables = [F.element_at(parts, F.pmod(_byte(h, k), F.lit(32)) + 1) for k in range(1, 7)]
-        more = [F.when(attempt >= k, x).otherwise("") for k, x in enumerate(syllables[3:], 1)]
-        out = out.when(kind == f"surname_{script}", F.initcap(F.concat(*syllables[:3], *more)))
-        for gender in "fmn":
-            names = (GIVEN_NAMES.get((script, gender)) or NEUTRAL_NAMES[script]).split()
-            given = F.element_at(F.array(*map(F.lit, names)), F.pmod(_byte(h, 0), F.lit(len(names))) + 1)
-            made = F.initcap(F.concat(*syllables[:2], *more, F.lit(GIVEN_ENDS[script, gender])))
-            out = out.when(kind == f"given_{script}_{gender}", F.when(attempt == 0, given).otherwise(made))
-    return out.otherwise(_same_classes(value, h))
+
+
+def _name_surrogate(kind: Column, value: Column, attempt: Column, h: Column) -> Column:
+    """That of a given name or surname, of its script and gender; later attempts have more syllables."""
+
+    def of(choices: dict[str, str]) -> Column:
+        out = F.lit(None).cast("string")
+        for ending, said in choices.items():
+            out = F.when(kind.endswith(ending), F.lit(said)).otherwise(out)
+        return out
+
+    scripts = list(SURNAME_SYLLABLES)
+    syllables = F.split(of({x: SURNAME_SYLLABLES[x] for x in scripts} | {f"{x}_{g}": SURNAME_SYLLABLES[x] for x in scripts for g in "fmn"}), " ")
+    names = F.split(of({f"{x}_{g}": GIVEN_NAMES.get((x, g)) or NEUTRAL_NAMES[x] for x in scripts for g in "fmn"}), " ")
+    given = kind.startswith("given_")
+    n = F.when(given, 2).otherwise(3) + F.least(attempt, F.lit(3))
+    made = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.get(syllables, F.pmod(_byte(h, k), F.lit(32)))), "")
+    made = F.initcap(F.concat(made, F.coalesce(of({f"{x}_{g}": GIVEN_ENDS[x, g] for x in scripts for g in "fmn"}), F.lit(""))))
+    return F.when(given & (attempt == 0), F.get(names, F.pmod(_byte(h, 0), F.size(names)))).otherwise(made)
 
 
 def in_format(kind: Column, mention: Column, value: Column, new: Column) -> Column:
@@ -303,7 +324,7 @@ def known_names(found: DataFrame) -> DataFrame:
     Of several words the last is a surname, the others are given names; one alone is a surname, unless its document
     has it as a given name. What a word is, its first place in the document says.
     """
-    said = found.select("row", F.posexplode("titled").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention")))
+    said = found.select("row", F.posexplode("titled").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention"), _TITLED))
     said = said.withColumn("words", F.split(value_part(F.col("kind"), F.col("mention")), " "))
     tag = F.split("kind", "_")
     said = said.select("row", "at", tag[1].alias("script"), tag[2].alias("gender"), F.size("words").alias("n"), F.posexplode("words").alias("k", "form"))
@@ -335,7 +356,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     all_of = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = whole.where(some).select(F.monotonically_increasing_id().alias("row"), "doc", all_of(VALUES).alias("mentions"), all_of(TITLED).alias("titled"))
     found = written(found, "pii-documents")
-    said = found.select("row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention")))
+    said = found.select("row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", entity_type(F.col("mention"), _VALUES))
     said = said.withColumn("value", value_part(F.col("kind"), F.col("mention")))
     said = said.withColumn("canon", canonical(F.col("kind"), F.col("value"))).withColumn("valid", is_valid(F.col("kind"), F.col("canon")))
     names = written(known_names(found), "pii-names")
@@ -344,11 +365,12 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     settled, tables = settle(entities, key)
     # in nearly all mentions the first attempt stands, and needs no join
     later = settled.where("attempt > 0").select("kind", "canon", "attempt")
-    drawn = lambda rows: with_surrogate(rows.join(later, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))), key)
-    said = drawn(said).withColumn("new", F.when(F.col("valid"), in_format(*map(F.col, ("kind", "mention", "value", "new")))).otherwise(F.col("mention")))
+    drawn = lambda rows, by: with_surrogate(rows.join(later, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0))), key, by)
+    new = in_format(*map(F.col, ("kind", "mention", "value", "new")))
+    said = drawn(said, _value_surrogate).withColumn("new", F.when(F.col("valid"), new).otherwise(F.col("mention")))
     by_row = said.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new"), F.count_if("valid").alias("n"))
     by_row = written(by_row.select("row", F.col("new.new").alias("new"), "n"), "pii-replacements")
-    words = drawn(names.withColumnRenamed("word", "canon")).groupBy("row").agg(
+    words = drawn(names.withColumnRenamed("word", "canon"), _name_surrogate).groupBy("row").agg(
         F.map_from_entries(F.collect_list(F.struct("canon", "new"))).alias("words"), F.flatten(F.collect_list("forms")).alias("forms")
     )
     words = written(words, "pii-words")
@@ -357,16 +379,15 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     rewritten = F.array_join(F.zip_with(between, F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     text_now = F.when(F.col("new").isNull(), text).otherwise(rewritten)
     changed = found.join(by_row, "row", "left").withColumn("text", text_now).drop("mentions", "titled", "new")
-    n = F.coalesce("n", F.lit(0))
-    # documents with names are few, and alone compile a pattern of their own
-    named = _with_names(changed.join(words, "row")).select(F.col("doc").withField("text", F.col("text")).alias("doc"), (n + F.size("runs")).alias("n_entities"))
-    unnamed = changed.join(words.select("row"), "row", "left_anti").select(F.col("doc").withField("text", F.col("text")).alias("doc"), n.alias("n_entities"))
+    changed = _with_names(changed.join(words, "row", "left"))
+    n = F.coalesce("n", F.lit(0)) + F.coalesce(F.size("runs"), F.lit(0))
+    changed = changed.select(F.col("doc").withField("text", F.col("text")).alias("doc"), n.cast("long").alias("n_entities"))
     same = whole.where(~some).select("doc", F.lit(0).cast("long").alias("n_entities"))
-    return unnamed.unionByName(named).unionByName(same).select(*columns, "n_entities")
+    return changed.unionByName(same).select(*columns, "n_entities")
 
 
 def _with_names(rows: DataFrame) -> DataFrame:
-    """rows (text, words, forms) with their names replaced in text, and the runs of name words that stood there."""
+    """rows (text, words, forms) with their names replaced in text, and the runs of name words that stood there; all null without words."""
     spelled = F.flatten(F.transform("forms", lambda x: F.array(x, F.upper(x), F.initcap(F.lower(x)))))
     # the longest first, so that no word is taken for a part of another
     spelled = F.array_sort(F.array_distinct(spelled), lambda a, b: F.length(b) - F.length(a))
@@ -380,7 +401,8 @@ def _with_names(rows: DataFrame) -> DataFrame:
 
     between = F.split("text", F.col("pattern"), -1)
     new = F.concat(F.transform("runs", renamed), F.array(F.lit("")))
-    return rows.withColumn("text", F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), ""))
+    renamed_text = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), "")
+    return rows.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(renamed_text))
 
 
 _own_keys: dict[str, str] = {}
