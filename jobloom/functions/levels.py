@@ -17,7 +17,7 @@ MID_KEYWORDS = ["medior", "mid-level", "mid level"]
 SENIOR_YEARS = 5
 # Places of work that name no town, and hints that keep a posting.
 WORK_MODES = [
-    "hibrid", "hybrid", "tavmunka", "remote", "home office", "homeoffice", "orszagosan", "orszagos", "magyarorszag", "hungary",
+    "hibrid", "hybrid", "tavmunka", "remote", "home office", "homeoffice", "orszagos", "orszagosan", "magyarorszag", "hungary",
     "opcionalis iroda", "opcionalis", "iroda",
 ]
 PLACE_HINTS = [
@@ -65,11 +65,12 @@ def numbers_in(s: Column) -> Column:
     return F.transform(F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("long"))
 
 
-def is_senior(experience: Column, accents: bool = False) -> Column:
-    """The word senior, szenior or lead, or no number below SENIOR_YEARS. With accents, they are kept."""
+def is_senior(experience: Column, accents: bool = False, numbers: Column | None = None) -> Column:
+    """The word senior, szenior or lead, or no number below SENIOR_YEARS. With accents, they are kept. numbers: those of experience, if known."""
     n = F.lower(F.trim(F.coalesce(experience, F.lit("")))) if accents else normalize_text(experience)
-    least = F.array_min(numbers_in(n))
-    return n.rlike(f"{_B}(senior|szenior|lead){_E}") | F.coalesce(least >= SENIOR_YEARS, F.lit(False))
+    least = F.array_min(numbers_in(n) if numbers is None else numbers)
+    word = (n.contains("senior") | n.contains("szenior") | n.contains("lead")) & n.rlike(f"{_B}(senior|szenior|lead){_E}")
+    return word | F.coalesce(least >= SENIOR_YEARS, F.lit(False))
 
 
 def years_phrases(text: Column) -> Column:

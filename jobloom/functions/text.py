@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 WS = r"[\s ﻿]+"
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕŐÚÙÛÜŰÑÇÝŸ"
 _PLAIN = "aaaaaaeeeeiiiioooooouuuuuncyyAAAAAAEEEEIIIIOOOOOOUUUUUNCYY"
-_MARKS = r"[̀-ͯ]"
+#: Combining marks have no counterpart in _PLAIN, so translate() drops them.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
 def strip_accents(s: Column) -> Column:
     """Letters of the western and Hungarian alphabets without their accents; combining marks go as well."""
-    return F.regexp_replace(F.translate(s, _ACCENTED, _PLAIN), _MARKS, "")
+    return F.translate(s, _ACCENTED + _MARKS, _PLAIN)
 
 
 def normalize_whitespace(s: Column) -> Column:
@@ -42,16 +44,46 @@ def has_technology(s: Column, keyword: str) -> Column:
     return s.rlike(rf"(?iu)(^|[^a-z0-9]){literal(keyword)}([^a-z0-9]|$|\d)")
 
 
-def labels_in(s: Column, dictionary: list[tuple[str, str]]) -> Column:
-    """Labels of the (keyword, label) pairs found in s, distinct and in the dictionary's order, joined; null if none.
+def keywords_in(s: Column, keywords: list[str], digit_may_follow: bool = True) -> Column:
+    """The keywords (lower case) that has_technology() finds in s, or has_keyword() without digit_may_follow, in the list's order.
 
-    One pass over the rows, and no join: the dictionary is part of the expression.
+    The text is cut into runs of a-z and 0-9 once, whatever the number of keywords: one of such characters is a
+    run, or what stands before a digit in one. Only keywords with others are looked for one by one.
     """
-    found = F.array_compact(F.array(*[F.when(has_technology(s, k), F.lit(label)) for k, label in dictionary]))
-    joined = F.array_join(F.array_distinct(found), ", ")
+    plain = [k for k in keywords if re.fullmatch("[a-z0-9]+", k)]
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), F.lit(0)))
+    if digit_may_follow:
+        with_digit = F.filter(runs, lambda x: x.rlike("[a-z0-9][0-9]"))
+        ends = lambda x: F.filter(F.sequence(F.lit(1), F.length(x) - 1), lambda k: F.substr(x, k + 1, F.lit(1)).rlike("[0-9]"))
+        stems = F.transform(with_digit, lambda x: F.transform(ends(x), lambda k: F.substr(x, F.lit(1), k)))
+        runs = F.concat(runs, F.flatten(stems))
+    found = F.array_intersect(F.from_json(F.lit(json.dumps(plain)), "array<string>"), runs)
+    if len(plain) == len(keywords):
+        return found
+    one = (lambda k: has_technology(s, k)) if digit_may_follow else (lambda k: has_keyword(s, [k]))
+    odd = F.array_compact(F.array(*[F.when(F.lower(s).contains(k) & one(k), F.lit(k)) for k in keywords if k not in set(plain)]))
+    places = F.from_json(F.lit(json.dumps({k: i for i, k in enumerate(keywords)})), "map<string,int>")
+    ordered = F.array_sort(F.transform(F.concat(found, odd), lambda k: F.struct(F.element_at(places, k).alias("place"), k.alias("keyword"))))
+    return F.transform(ordered, lambda x: x["keyword"])
+
+
+def labels_array(s: Column, dictionary: list[tuple[str, str]]) -> Column:
+    """Labels of the (keyword, label) pairs found in s, distinct and in the dictionary's order; one pass, and no join."""
+    labels = F.from_json(F.lit(json.dumps(dict(dictionary))), "map<string,string>")
+    return F.array_distinct(F.transform(keywords_in(s, [k for k, _ in dictionary]), lambda k: F.element_at(labels, k)))
+
+
+def labels_in(s: Column, dictionary: list[tuple[str, str]]) -> Column:
+    """labels_array() joined by ', '; null if none."""
+    joined = F.array_join(labels_array(s, dictionary), ", ")
     return F.when(joined != "", joined)
 
 
+def canonical_labels(items: Column, dictionary: list[tuple[str, str]]) -> Column:
+    """Canonical labels of a free-text list."""
+    return labels_in(items, dictionary)
+
+
 def slug(s: Column) -> Column:
     """Accents stripped, other runs as '-', one '-' trimmed at each end."""
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(F.coalesce(s, F.lit("")))), "[^a-z0-9]+", "-"), "^-|-$", "")
@@ -99,3 +131,59 @@ def split_list(s: Column) -> Column:
 def append_unseen(a: Column, b: Column) -> Column:
     """a, then what of b it lacks whatever the case."""
     return F.concat(a, F.filter(b, lambda y: ~F.exists(a, lambda x: F.lower(x) == F.lower(y))))
+
+
+def trim_without_accents(s: Column) -> Column:
+    """Accents stripped and ends trimmed; case and inner white space stay."""
+    return F.trim(strip_accents(F.coalesce(s, F.lit(""))))
+
+
+def route_slug(s: Column) -> Column:
+    """Accents stripped, punctuation dropped, white space and dashes as one '-'."""
+    plain = F.regexp_replace(F.lower(strip_accents(F.coalesce(s, F.lit("")))), r"[^a-z0-9\s-]", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"[\s-]+", "-"), "^-|-$", "")
+
+
+def plain_dashes(s: Column) -> Column:
+    return F.translate(s, "–—", "--")
+
+
+def encoded_newlines(s: Column) -> Column:
+    return F.replace(s, F.lit("\n"), F.lit("\\n"))
+
+
+def decoded_newlines(s: Column) -> Column:
+    return F.replace(s, F.lit("\\n"), F.lit("\n"))
+
+
+def student_job_stem(title: Column) -> Column:
+    """X of 'diákmunka - X' and of 'X - diákmunka'."""
+    out = F.regexp_replace(title, r"(?iu)^\s*di[áa]kmunka\s*[-–:]\s*", "")
+    return F.trim(F.regexp_replace(out, r"(?iu)\s*[-–:]\s*di[áa]kmunka\s*$", ""))
+
+
+def http_code(message: Column) -> Column:
+    """The status in a message such as 'HTTP 404'."""
+    return F.regexp_extract(message, r"(?i)\bHTTP\s*(\d{3})\b", 1).try_cast("int")
+
+
+def token_expiry(token: Column) -> Column:
+    """exp of a JWT's payload, in seconds; null for what is none."""
+    payload = F.translate(F.get(F.split(token, r"\."), F.lit(1)), "-_", "+/")
+    padded = F.rpad(payload, F.ceil(F.length(payload) / 4).cast("int") * 4, F.lit("="))
+    text = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    return F.get_json_object(text, "$.exp").try_cast("long")
+
+
+def known_only(items: Column, known: list[str]) -> Column:
+    """Distinct items that are among the known labels."""
+    return F.array_distinct(F.filter(items, lambda x: x.isin(*known)))
+
+
+def query_parameters(query: Column) -> Column:
+    """A query string as a map; the first value of a name counts."""
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    names = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+    first = F.filter(F.transform(pairs, lambda p, k: F.when(F.array_position(names, F.substring_index(p, "=", 1)) == k + 1, p)), lambda p: p.isNotNull())
+    value = lambda p: F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
+    return F.map_from_entries(F.transform(first, lambda p: F.struct(F.substring_index(p, "=", 1), F.try_url_decode(F.replace(value(p), F.lit("+"), F.lit(" "))))))

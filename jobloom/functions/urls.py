@@ -58,3 +58,49 @@ def source_of(url: Column) -> Column:
 def stable_key(url: Column) -> Column:
     """The url without the number at its end: what listings of one posting share when its number changes."""
     return F.regexp_replace(canonical_url(url), r"-\d+/?(\?.*)?$", "")
+
+
+# What the variants drop besides TRACKING.
+LISTING_PARAMETERS = ["sessionId", "hash", "keyword"]
+NETWORK_PARAMETERS = ["trackingId", "pageNum", "position", "refId"]
+
+
+def listing_url(url: Column, host: str = "www.profession.hu", prefix: str = "/allas/") -> Column:
+    """Canonical, without search parameters, and on the listing's own paths without the town before the number."""
+    own = (url_host(url) == host) & F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1)).startswith(prefix)
+    path = F.regexp_extract(url, r"^([^?#]*)", 1)
+    rest = F.substr(url, F.length(path) + 1)
+    return canonical_url(F.when(own, F.concat(without_town(path), rest)).otherwise(url), [*TRACKING, *LISTING_PARAMETERS])
+
+
+def network_url(url: Column, host: str = "linkedin.com", prefix: str = "/jobs/view/") -> Column:
+    """A posting's host and path; others canonical without the network's parameters."""
+    path = F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1)
+    own = is_url(url) & url_host(url).contains(host) & path.startswith(prefix)
+    return F.when(own, F.concat(F.lit("https://"), url_host(url), path)).otherwise(canonical_url(url, [*TRACKING, *NETWORK_PARAMETERS]))
+
+
+def network_key(url: Column, host: str = "linkedin.com", prefix: str = "/jobs/view/") -> Column:
+    """What postings of one title share on a network: the path without the number at its end, under one host."""
+    clean = network_url(url, host, prefix)
+    slug = F.regexp_replace(F.regexp_extract(clean, rf"{prefix}([^/]*)", 1), r"-\d+$", "")
+    own = is_url(url) & url_host(url).contains(host) & F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1).startswith(prefix)
+    return F.when(own, F.concat(F.lit(f"https://www.{host}{prefix}"), slug)).otherwise(clean)
+
+
+def on_host(url: Column, host: str) -> Column:
+    """The url's host is this one; false for what is no url."""
+    return F.coalesce(url_host(url) == host, F.lit(False))
+
+
+def key_by_source(source: Column, url: Column, patterns: dict[str, str]) -> Column:
+    """The first group of the pattern of the url's source, where it matches: what a posting's urls share. Others are the url."""
+    out = url
+    for name, pattern in patterns.items():
+        out = F.when((source == name) & url.rlike(pattern), F.regexp_extract(url, pattern, 1)).otherwise(out)
+    return out
+
+
+def job_key(source: Column, url: Column, title: Column) -> Column:
+    """Identity of a mark: by url where there is one, else by title."""
+    return F.concat(F.lit("job:"), F.coalesce(source, F.lit("")), F.lit(":"), F.when(url != "", url).otherwise(F.coalesce(title, F.lit(""))))

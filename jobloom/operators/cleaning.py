@@ -67,3 +67,33 @@ def listed_elsewhere(rows: DataFrame, others: DataFrame) -> DataFrame:
 def reasons(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """rows with reason: the first rule that refuses the row, null if none does."""
     return rows.withColumn("reason", F.coalesce(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules], F.lit(None).cast("string")))
+
+
+def with_job_shape(rows: DataFrame, shapes: DataFrame, source: str = "source", url: str = "url") -> DataFrame:
+    """Rows whose url has a shape (source, pattern) of its source; sources without a shape pass. shapes is a small dimension."""
+    known = shapes.groupBy(source).agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("(?:"), "pattern", F.lit(")")))), "|").alias("_shape"))
+    joined = rows.join(known, source, "left")
+    return joined.where(F.col("_shape").isNull() | F.expr(f"`{url}` rlike _shape")).drop("_shape")
+
+
+def without_urls(rows: DataFrame, denied: DataFrame, url: str = "url") -> DataFrame:
+    return rows.join(denied.select(url), url, "left_anti")
+
+
+def by_category(rows: DataFrame, category: str, allowed: list[str], known: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of allowed categories, and the categories among the others that nobody knows, with their number of rows."""
+    kept = rows.where(F.col(category).isin(*allowed))
+    unknown = rows.where(~F.col(category).isin(*allowed, *known)).groupBy(category).agg(F.count("*").alias("n"))
+    return kept, unknown
+
+
+def first_title_in_page(rows: DataFrame, page: str, title: str, order: list[str]) -> DataFrame:
+    """One row for each title of a page, the first."""
+    return first_per_key(rows, [page, title], order)
+
+
+def with_stem_elsewhere(rows: DataFrame, stem: Column, key: str) -> DataFrame:
+    """Rows with has_twin: whether another row has the same stem."""
+    stems = rows.groupBy(stem.alias("_stem")).agg(F.count_distinct(key).alias("_n"))
+    joined = rows.withColumn("_stem", stem).join(stems, "_stem")
+    return joined.withColumn("has_twin", F.col("_n") > 1).drop("_stem", "_n")

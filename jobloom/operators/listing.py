@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from jobloom.functions.text import split_list
@@ -51,8 +52,9 @@ def conditional_counts(rows: DataFrame, by: list[str], conditions: dict[str, Col
 
 
 def facet_counts(rows: DataFrame, labels: str) -> DataFrame:
-    """Rows for each label of a comma-joined column; a label counts once a row."""
-    each = rows.select(F.explode(F.array_distinct(split_list(F.col(labels)))).alias("label"))
+    """Rows for each label of an array or of a comma-joined column; a label counts once a row."""
+    items = F.col(labels) if isinstance(rows.schema[labels].dataType, ArrayType) else split_list(F.col(labels))
+    each = rows.select(F.explode(F.array_distinct(items)).alias("label"))
     return each.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -99,3 +101,45 @@ def shares(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("percent", F.round(100 * F.col(value) / F.sum(value).over(everything), 1)).withColumn(
         "of_most", F.round(F.col(value) / F.max(value).over(everything), 3)
     )
+
+
+def by_id(rows: DataFrame, key: str, value: int, privileged: bool = False) -> DataFrame:
+    """The one row of an id, if it may be seen."""
+    return rows.where((F.col(key) == value) & visible(F.col("hidden"), privileged))
+
+
+def of_sources(rows: DataFrame, sources: list[str], as_of: str, time_based: list[str], window: str | None = None) -> DataFrame:
+    """Rows of some sources within a day or a week; any other window means the rows that are alive."""
+    days = WINDOWS.get((window or "").lower())
+    when = within(F.col("first_seen"), as_of, window) if days in (1, 7) else alive(F.col("source"), F.col("active"), F.col("first_seen"), as_of, time_based)
+    return rows.where(F.col("source").isin(*sources) & when)
+
+
+def facet_order(facets: DataFrame, label: str = "label", n: str = "n") -> DataFrame:
+    """The commonest first, then by label as Hungarian has it."""
+    return facets.orderBy(F.col(n).desc(), F.collate(F.col(label), "hu"))
+
+
+def latest_first(rows: DataFrame, ts: str, key: str) -> DataFrame:
+    """Newest first, rows without a time as if of 1970."""
+    return rows.orderBy(F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(0))).desc(), key)
+
+
+def last_in_order(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n greatest rows, the smallest of them first."""
+    return rows.orderBy(F.col(key).desc()).limit(n).orderBy(key)
+
+
+def page_or_all(rows: DataFrame, key: str, offset: int, limit: int, whole: int = 60) -> DataFrame:
+    """A page; the whole list where it has at most `whole` rows."""
+    return rows.orderBy(key) if rows.limit(whole + 1).count() <= whole else page(rows, key, offset, limit)
+
+
+def pinned_first(rows: DataFrame, pinned: Column, seq: str, filtered: bool = False) -> DataFrame:
+    """Pinned rows before the others in their own order, unless the list is filtered."""
+    return rows.orderBy(seq) if filtered else rows.orderBy(pinned.desc(), seq)
+
+
+def known_labels(known: DataFrame, observed: DataFrame, label: str = "label") -> DataFrame:
+    """Labels that are known or observed, each once."""
+    return known.select(label).unionByName(observed.select(label)).distinct()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from jobloom.functions.levels import is_senior
@@ -61,3 +65,59 @@ def fixed_limit(events: DataFrame, key: str, ts: str, rows: str, most: int, seco
     before = Window.partitionBy(key, "_slot").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("_slot", slot).withColumn("_used", F.coalesce(F.sum(rows).over(before), F.lit(0)))
     return out.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(rows), F.lit(most) - F.col("_used")))).drop("_slot", "_used")
+
+
+def budget_granted(events: DataFrame, key: str, ts: str, tie: str, rows: str, most: int, seconds: int) -> DataFrame:
+    """tie (an id) and granted: what of an event's rows the budget of its key has left.
+
+    A window begins with the first write after the one before has ended, and only rows written are charged. Each
+    window depends on the one before, so a key's events pass in order through one task, as a stream: what is held
+    is one window's start and count.
+    """
+    span = seconds * 1_000_000
+    ordered = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), tie, F.col(rows).cast("long").alias("asked"))
+    schema = StructType([StructField(tie, events.schema[tie].dataType), StructField("granted", LongType())])
+
+    def grant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, used = object(), None, 0
+        for batch in batches:
+            granted = []
+            for k, at, asked in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "asked")), strict=True):
+                if k != now or (start is not None and at - start >= span):
+                    now, start, used = k, None, 0
+                got = max(0, min(asked or 0, most - used))
+                if got and start is None:
+                    start = at
+                used += got
+                granted.append(got)
+            yield pa.RecordBatch.from_arrays([batch.column(tie), pa.array(granted, pa.int64())], [tie, "granted"])
+
+    return ordered.repartition("key").sortWithinPartitions("key", "at", tie).mapInArrow(grant, schema)
+
+
+def category_histogram(titles: DataFrame, category: Column, categories: list[str]) -> DataFrame:
+    """category and n, with a row for each of the categories even if it has no titles."""
+    seed = titles.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    found = titles.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+    return seed.join(found, "category", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def source_flags(rows: DataFrame, source: str, ok: str) -> DataFrame:
+    """For each source its number of rows and whether all of them went well."""
+    return rows.groupBy(source).agg(F.count("*").alias("n"), F.bool_and(ok).alias("complete"))
+
+
+def least_rank(ids: Column, ranks: dict[int, int]) -> Column:
+    """The smallest rank of the ids that have one; null if none has."""
+    known = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
+    return F.array_min(F.transform(ids, lambda x: F.try_element_at(known, x)))
+
+
+def within_bytes(rows: DataFrame, size: str, most: int) -> DataFrame:
+    """total, of the sizes that are numbers, and whether it is allowed."""
+    return rows.agg(F.coalesce(F.sum(F.col(size).try_cast("long")), F.lit(0)).alias("total")).withColumn("allowed", F.col("total") <= most)
+
+
+def token_cost(counts: dict[str, Column], prices: dict[str, float]) -> Column:
+    """Dollars of token counts by their prices a million."""
+    return sum((F.coalesce(counts[k], F.lit(0)) * F.lit(prices[k] / 1e6) for k in prices), F.lit(0.0))

@@ -13,6 +13,8 @@ from jobloom.functions.urls import url_path
 from jobloom.operators.cleaning import first_per_key
 
 GRACE_DAYS = 3
+#: Sources that a crawl's runs may name to be sent to all tasks.
+MOST_SOURCES = 100_000
 REVIVE_DAYS = 45
 ARCHIVE_DAYS, TIME_BASED_ARCHIVE_DAYS = 60, 30
 
@@ -42,21 +44,27 @@ def fill_upsert(table: DataFrame, batch: DataFrame, keys: list[str], fills: dict
     return both.select(columns)
 
 
-def reconcile(table: DataFrame, found: DataFrame, runs: DataFrame, as_of: str, sticky: list[str], grace_days: int = GRACE_DAYS) -> DataFrame:
+def reconcile(table: DataFrame, found: DataFrame, runs: DataFrame, as_of: str, sticky: list[str], grace_days: int = GRACE_DAYS, confirmed: DataFrame | None = None) -> DataFrame:
     """active and sweep_dead after crawls. found: source, url; runs: source, complete, empty_is_valid.
 
     A found posting is active again, unless its source is sticky and a sweep killed it. Of a complete run,
     postings older than the grace that were not found go inactive. A run that found nothing changes
-    nothing, unless it is complete and that is valid.
+    nothing, unless it is complete and that is valid. With confirmed (source, url), only postings in it go inactive.
     """
     seen = found.select("source", "url").distinct().withColumn("_found", F.lit(True))
     ran = runs.join(seen.groupBy("source").agg(F.count("*").alias("_n")), "source", "left")
     counts = (F.coalesce("_n", F.lit(0)) > 0) | (F.col("complete") & F.col("empty_is_valid"))
     ran = ran.select("source", F.col("complete").alias("_complete"), counts.alias("_counts"))
+    # one row a source: a dimension, if it is no larger than that
+    ran = F.broadcast(ran) if runs.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES else ran
     joined = table.join(seen, ["source", "url"], "left").join(ran, "source", "left")
+    dead_for_sure = F.lit(True)
+    if confirmed is not None:
+        joined = joined.join(confirmed.select("source", "url").distinct().withColumn("_dead", F.lit(True)), ["source", "url"], "left")
+        dead_for_sure = F.col("_dead").isNotNull()
     hit = F.col("_counts") & F.coalesce("_found", F.lit(False)) & ~(F.col("source").isin(*sticky) & F.col("sweep_dead"))
     old = F.col("first_seen") < F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {grace_days} DAYS")
-    missed = F.col("_counts") & F.col("_complete") & F.col("_found").isNull() & old
+    missed = F.col("_counts") & F.col("_complete") & F.col("_found").isNull() & old & dead_for_sure
     active = F.when(hit, True).when(missed, False).otherwise(F.col("active"))
     dead = F.when(hit, False).otherwise(F.col("sweep_dead"))
     return joined.withColumns({"active": active, "sweep_dead": dead}).select(table.columns)
@@ -133,3 +141,55 @@ def upsert_or_delete(table: DataFrame, change: DataFrame, keys: list[str], flags
     for flag in flags:
         some = some | F.col(flag)
     return table.join(change, keys, "left_anti").unionByName(new.where(some).select(table.columns))
+
+
+def appended(table: DataFrame, new: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """table with rows added to it: columns that new lacks, and nulls in those with a default, take the default."""
+    filled = []
+    for field in table.schema.fields:
+        default = F.lit(defaults.get(field.name)).cast(field.dataType)
+        filled.append((F.coalesce(F.col(field.name), default) if field.name in new.columns else default).cast(field.dataType).alias(field.name))
+    return table.unionByName(new.select(*filled))
+
+
+def owner_update(table: DataFrame, changes: DataFrame, key: str, owner: str, fields: list[str]) -> DataFrame:
+    """Fields of rows whose id and owner both match a change; null changes leave a field as it is."""
+    new = changes.select(key, owner, *[F.col(c).alias(f"_{c}") for c in fields])
+    joined = table.join(new, [key, owner], "left")
+    return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in fields}).select(table.columns)
+
+
+def streaks(sites: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
+    """sites (site, fail_streak, last_ok) after runs (site, ok): a good run ends the streak, a bad one adds to it."""
+    joined = sites.join(runs.select("site", F.col("ok").alias("_ok")), "site", "left")
+    streak = F.when(F.col("_ok"), 0).when(~F.col("_ok"), F.col("fail_streak") + 1).otherwise(F.col("fail_streak"))
+    last = F.when(F.col("_ok"), F.lit(as_of).cast("timestamp")).otherwise(F.col("last_ok"))
+    return joined.withColumns({"fail_streak": streak.cast("int"), "last_ok": last}).select(sites.columns)
+
+
+def split_known(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """rows with is_known: whether the table has their key."""
+    mark = known.select(*key).distinct().withColumn("_known", F.lit(True))
+    return rows.join(mark, key, "left").withColumn("is_known", F.col("_known").isNotNull()).drop("_known")
+
+
+def by_priority(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """The union of parts with one row a key, that of the earliest part, tagged with its number as origin."""
+    tagged = parts[0].withColumn("origin", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        tagged = tagged.unionByName(part.withColumn("origin", F.lit(k)))
+    columns = [c for c in tagged.columns if c not in key]
+    best = tagged.groupBy(*key).agg(F.min(F.struct("origin", *[c for c in columns if c != "origin"])).alias("best"))
+    return best.select(*key, *[F.col(f"best.{c}").alias(c) for c in columns])
+
+
+def looked_up(rows: DataFrame, key: str, first: DataFrame, second: DataFrame, value: str) -> DataFrame:
+    """rows with value by key from the first dimension, else from the second."""
+    sides = [d.select(key, F.col(value).alias(f"_{k}")).dropDuplicates([key]) for k, d in enumerate((first, second))]
+    return rows.join(sides[0], key, "left").join(sides[1], key, "left").withColumn(value, F.coalesce("_0", "_1")).drop("_0", "_1")
+
+
+def same_whatever_case(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
+    """Rows whose column equals one of the others' but for case."""
+    wanted = others.select(F.lower(column).alias("_lower")).distinct()
+    return rows.join(wanted, F.lower(rows[column]) == F.col("_lower"), "left_semi")

@@ -152,7 +152,7 @@ def daily_mean_median(spark, d):
 
 
 def _labelled(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", text.labels_in(F.col("text"), TECHNOLOGIES).alias("technologies"))
+    return table(spark, d, "documents").select("doc_id", "lang", text.labels_array(F.col("text"), TECHNOLOGIES).alias("technologies"))
 
 
 def _label_sql(where: str) -> str:
@@ -179,14 +179,19 @@ def _keywords(spark, d, match) -> DataFrame:
     return docs.agg(*[F.count_if(match(F.col("text"), w)).alias(w) for w in WORDS]).unpivot([], WORDS, "word", "n")
 
 
+def _keywords_in_one_pass(spark, d, digit_may_follow: bool) -> DataFrame:
+    found = table(spark, d, "documents").select(F.explode(text.keywords_in(F.col("text"), WORDS, digit_may_follow)).alias("word"))
+    return listing.counts_with_zeros(found, "word", spark.createDataFrame([(w,) for w in WORDS], "word string"))
+
+
 @_query(_keyword_sql("regexp_matches(lower(text), '(^|[^a-z0-9]){w}([^a-z0-9]|$)')"))
 def keyword_boundary(spark, d):
-    return _keywords(spark, d, lambda t, w: text.has_keyword(t, [w]))
+    return _keywords_in_one_pass(spark, d, digit_may_follow=False)
 
 
 @_query(_keyword_sql("regexp_matches(lower(text), '(^|[^a-z0-9]){w}([^a-z0-9]|$|[0-9])')"))
 def keyword_tech(spark, d):
-    return _keywords(spark, d, text.has_technology)
+    return _keywords_in_one_pass(spark, d, digit_may_follow=True)
 
 
 @_query(_keyword_sql("contains(lower(text), '{w}')"))
@@ -209,8 +214,8 @@ def category_classify(spark, d):
  '(^|[^a-z0-9_])(senior|szenior|lead)([^a-z0-9_]|$)') OR list_min(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT))) >= 5, false) AS senior
  FROM documents""")
 def senior_min_number(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.size(levels.numbers_in(F.col("text"))).cast("long").alias("numbers"), levels.is_senior(F.col("text")).alias("senior"))
+    docs = table(spark, d, "documents").select("doc_id", "text", levels.numbers_in(F.col("text")).alias("numbers"))
+    return docs.select("doc_id", F.size("numbers").cast("long").alias("numbers"), levels.is_senior(F.col("text"), numbers=F.col("numbers")).alias("senior"))
 
 
 @_query("""SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) AS normal FROM documents""")
@@ -569,3 +574,6 @@ def run_metrics(spark, d):
 @_query("""SELECT page_id, CAST(length(trim(regexp_replace(regexp_replace(html, '@DROP@', ' ', 'gis'), '\\s+', ' ', 'g'))) AS BIGINT) AS chars FROM pages""".replace("@DROP@", _DROP_SQL))
 def html_reduced_len(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(html.reduced(F.col("html"))).cast("long").alias("chars"))
+
+
+from jobloom.plans import rules  # noqa: E402,F401  registers its queries
