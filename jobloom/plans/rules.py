@@ -16,7 +16,7 @@ AS_OF = "2001-08-01"
 
 @_query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) w FROM documents),
  k AS (SELECT w, count(*) n FROM w WHERE regexp_full_match(w, '[a-z]{{3,}}') GROUP BY 1 ORDER BY n DESC, w LIMIT {DICTIONARY_WORDS})
- SELECT upper(k.w) AS label, count(DISTINCT doc_id) AS n FROM k JOIN w ON regexp_full_match(w.w, k.w || '([0-9].*)?') GROUP BY 1""")
+ SELECT upper(k.w) AS label, count(DISTINCT doc_id) AS n FROM k JOIN (SELECT doc_id, regexp_extract(w, '^([a-z]+)(?:[0-9].*)?$', 1) w FROM w) s ON s.w = k.w GROUP BY 1""")
 def dictionary_facets(spark, d):
     docs = table(spark, d, "documents").select("text")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("w"))
@@ -108,17 +108,17 @@ def url_shapes(spark, d):
     return cleaning.without_urls(cleaning.with_job_shape(rows, shapes), denied).select("c_custkey")
 
 
-@_query("""SELECT p_type AS category, count(*) AS n FROM part WHERE p_type NOT IN (SELECT DISTINCT p_type FROM part WHERE p_size IN (1, 2)) GROUP BY 1""")
+@_query("""SELECT p_name AS category, count(*) AS n FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size IN (1, 2)) GROUP BY 1""")
 def unknown_categories(spark, d):
     part = table(spark, d, "part")
-    known = [r["p_type"] for r in part.where("p_size IN (1, 2)").select("p_type").distinct().collect()]
-    kept, unknown = cleaning.by_category(part.withColumnRenamed("p_type", "category"), "category", known[:1], known[1:])
+    known = [r["p_name"] for r in part.where("p_size IN (1, 2)").select("p_name").distinct().collect()]
+    kept, unknown = cleaning.by_category(part.withColumnRenamed("p_name", "category"), "category", known[:1], known[1:])
     return unknown
 
 
-@_query(f"WITH {_POSTINGS} SELECT id, source FROM postings WHERE id = 33 AND NOT hidden")
+@_query(f"WITH {_POSTINGS} SELECT id, source FROM postings WHERE id = 1 AND NOT hidden")
 def point_lookup(spark, d):
-    return listing.by_id(postings(spark, d), "id", 33).select("id", "source")
+    return listing.by_id(postings(spark, d), "id", 1).select("id", "source")
 
 
 @_query(f"""WITH {_POSTINGS} SELECT '7d' AS span, count(*) AS n FROM postings WHERE source IN ('1-URGENT', '5-LOW') AND first_seen >= TIMESTAMP '2001-07-25'
