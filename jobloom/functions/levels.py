@@ -73,6 +73,38 @@ def is_senior(experience: Column, accents: bool = False, numbers: Column | None
     return word | F.coalesce(least >= SENIOR_YEARS, F.lit(False))
 
 
+def _said(experience: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(experience, F.lit(""))))
+
+
+def says_junior(experience: Column) -> Column:
+    """A word for juniors. Word edges are ASCII, so one that ends in an accent needs a letter after it."""
+    plain = rf"{_B}(?:junior|palyakezdo|entry\s*level|trainee|intern){_E}"
+    return _said(experience).rlike(rf"{plain}|{_B}pályakezdő(?=[A-Za-z0-9_])")
+
+
+def says_medior(experience: Column) -> Column:
+    return _said(experience).rlike(rf"{_B}(?:medior|mid|middle){_E}")
+
+
+def is_unknown(experience: Column) -> Column:
+    return _said(experience).isin("", "-", "–", "—")
+
+
+def _first_year(experience: Column) -> Column:
+    return _said(experience).rlike(r"(^|[^0-9])(0|1)([^0-9]|$)")
+
+
+def suits_junior(experience: Column) -> Column:
+    """Nothing is known, or a junior's word or a lone 0 or 1 without a medior's word."""
+    return is_unknown(experience) | ~says_medior(experience) & (says_junior(experience) | _first_year(experience))
+
+
+def suits_medior(experience: Column) -> Column:
+    """Nothing is known, or a medior's word, or neither a junior's word nor a lone 0 or 1."""
+    return is_unknown(experience) | says_medior(experience) | ~says_junior(experience) & ~_first_year(experience)
+
+
 def years_phrases(text: Column) -> Column:
     """Phrases of years in text, joined by ', '; null if none is left.
 

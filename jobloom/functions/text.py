@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ _PLAIN = "aaaaaaeeeeiiiioooooouuuuuncyyAAAAAAEEEEIIIIOOOOOOUUUUUNCYY"
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value evaluated once however often `of` reads it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip_accents(s: Column) -> Column:
     """Letters of the western and Hungarian alphabets without their accents; combining marks go as well."""
     return F.translate(s, _ACCENTED + _MARKS, _PLAIN)

@@ -19,9 +19,9 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def dedupe_by_url(rows: DataFrame, order: str = "seq") -> DataFrame:
-    """First row of each canonical url, which replaces the url."""
-    return first_per_key(rows.withColumn("url", canonical_url(F.col("url"))), ["url"], [order])
+def dedupe_by_url(rows: DataFrame, order: str = "seq", by: list[str] | None = None) -> DataFrame:
+    """First row of each canonical url, which replaces the url; with `by`, of each in such a group."""
+    return first_per_key(rows.withColumn("url", canonical_url(F.col("url"))), [*(by or []), "url"], [order])
 
 
 def sanitized(rows: DataFrame) -> DataFrame:

@@ -143,3 +143,14 @@ def pinned_first(rows: DataFrame, pinned: Column, seq: str, filtered: bool = Fal
 def known_labels(known: DataFrame, observed: DataFrame, label: str = "label") -> DataFrame:
     """Labels that are known or observed, each once."""
     return known.select(label).unionByName(observed.select(label)).distinct()
+
+
+def review_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """By the columns in turn, nulls last."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
+
+
+def longest(rows: DataFrame, by: str, text: str, key: str) -> DataFrame:
+    """by, key of the row with the longest text of each group; of ties the smallest key."""
+    best = F.min(F.struct((-F.length(F.coalesce(text, F.lit("")))).alias("n"), key))
+    return rows.groupBy(by).agg(best[key].alias(key))

@@ -66,3 +66,16 @@ def ambiguous(table: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
 def run_metrics(rows: DataFrame, reason: Column) -> DataFrame:
     """Rows of a run by what became of them; null is new."""
     return rows.groupBy(F.coalesce(reason, F.lit("new")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def unnested(rows: DataFrame, arrays: list[str]) -> DataFrame:
+    """A row for each place of parallel arrays; where one is shorter, null."""
+    rest = [c for c in rows.columns if c not in arrays]
+    return rows.select(*rest, F.inline(F.arrays_zip(*arrays)))
+
+
+def merged_documents(old: Column, new: Column) -> Column:
+    """Fields of two maps, the new ones winning; a null map has none."""
+    none = F.create_map().cast("map<string,string>")
+    new = F.coalesce(new, none)
+    return F.map_concat(F.map_filter(F.coalesce(old, none), lambda k, _: ~F.map_contains_key(new, k)), new)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.levels import is_mid, is_senior
+from jobloom.functions.levels import is_mid, is_senior, says_junior, suits_junior, suits_medior
 from jobloom.functions.text import normalize_text
 
 
@@ -38,6 +38,20 @@ def track(title: Column, experience: Column) -> Column:
     return F.when(is_senior(experience, accents=True), None).when(medior, "medior").when(junior, "junior").otherwise("any")
 
 
+def on_track(title: Column, description: Column, source: Column, experience: Column, keywords: list[str], sources: list[str], junior: bool, medior: bool) -> Column:
+    """Whether a posting shows in the junior or medior list, or in both.
+
+    Sources for interns and experience with an intern's keyword never do, nor does a title with one unless the experience
+    says junior. Where a text says medior and the experience does not say junior, the medior list alone has it.
+    """
+    t, d, s, e = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, description, source, experience))
+    any_of = lambda x, words: reduce(lambda a, b: a | b, [x.contains(w) for w in words], F.lit(False))
+    candidate = ~any_of(s, sources) & ~any_of(e, keywords) & (says_junior(experience) | ~any_of(t, keywords))
+    only_medior = (t.contains("medior") | d.contains("medior")) & ~says_junior(experience)
+    shows = (suits_junior(experience) & F.lit(junior)) | (suits_medior(experience) & F.lit(medior))
+    return candidate & F.when(only_medior, F.lit(medior)).otherwise(shows)
+
+
 def shown_source(source: Column, prefix: str = "AI - ", bucket: str = "AI-scraped") -> Column:
     """Sources with the prefix show as one bucket."""
     return F.when(source.startswith(prefix), bucket).otherwise(source)

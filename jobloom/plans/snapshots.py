@@ -6,7 +6,10 @@ read is never written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobloom.operators.records import kept_backups
 
 
 def _versions(spark: SparkSession, root: str, table: str) -> list[int]:
@@ -35,9 +38,28 @@ def commit(df: DataFrame, root: str, table: str, partition_by: list[str] | None
     return n
 
 
+def archive(df: DataFrame, leaves: Column, root: str, table: str, path: str) -> int:
+    """Writes the rows that leave as JSON to path and then the others as the next snapshot, whose number it returns; null stays."""
+    gone = F.coalesce(leaves, F.lit(False))
+    df.where(gone).write.mode("overwrite").json(path)
+    return commit(df.where(~gone), root, table)
+
+
+def backup(df: DataFrame, root: str, table: str, day: str, days: int = 10) -> str:
+    """Writes df as JSON to <root>/<table>-<day> and deletes the table's backups that are older than `days` before it; the new path."""
+    spark, name = df.sparkSession, f"{table}-{day}"
+    df.write.mode("overwrite").json(f"{root}/{name}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = {s.getPath().getName(): s.getPath() for s in fs.listStatus(place)}
+    own = [n for n in paths if n.startswith(f"{table}-")]
+    kept = kept_backups(spark.createDataFrame([(n,) for n in own], "name string"), "name", day, days)
+    for old in set(own) - {r["name"] for r in kept.collect()}:
+        fs.delete(paths[old], True)
+    return f"{root}/{name}"
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """One JSON object a line; empty strings as null."""
-    from pyspark.sql import functions as F
-
     texts = {name: F.nullif(F.col(name), F.lit("")) for name, kind in df.dtypes if kind == "string"}
     df.withColumns(texts).write.json(path)
