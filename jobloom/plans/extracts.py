@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.functions import extraction, levels
+from jobloom.functions import extraction
 from jobloom.operators import crawls, listing, records, views
 from jobloom.plans.queries import _query
 from jobloom.sources import html, payloads
@@ -163,24 +163,24 @@ def recipe_fallback(spark, d):
 
 
 def _posted(spark, d):
-    """Parts as postings: the name is what reposts share, the size tells active from inactive ones, brands make the urls."""
-    part = table(spark, d, "part")
-    posted = part.select(F.col("p_partkey").alias("id"), "p_name", F.concat("p_brand", F.lit("/"), "p_partkey").alias("url"), (F.col("p_size") > 25).alias("active"), F.col("p_retailprice").alias("first_seen"))
-    batch = part.select("p_name", F.concat(F.lit("new/"), "p_partkey").alias("url"), F.col("p_partkey").alias("seq"))
+    """Parts as postings: name and type are what reposts share, the size tells active from inactive ones, brands make the urls."""
+    part = table(spark, d, "part").withColumn("key", F.concat_ws("/", "p_name", "p_type"))
+    posted = part.select(F.col("p_partkey").alias("id"), "key", F.concat("p_brand", F.lit("/"), "p_partkey").alias("url"), (F.col("p_size") > 25).alias("active"), F.col("p_retailprice").alias("first_seen"))
+    batch = part.select("key", F.concat(F.lit("new/"), "p_partkey").alias("url"), F.col("p_partkey").alias("seq"))
     return posted, batch
 
 
-@_query("SELECT p_name, 'new/' || min(p_partkey) AS url FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 25) GROUP BY 1")
+@_query("SELECT p_name || '/' || p_type AS key, 'new/' || min(p_partkey) AS url FROM part GROUP BY 1 HAVING max(p_size) <= 25")
 def own_reposts(spark, d):
     posted, batch = _posted(spark, d)
-    return crawls.without_own_reposts(batch, posted, F.col("p_name"), ["seq"]).select("p_name", "url")
+    return crawls.without_own_reposts(batch, posted, F.col("key"), ["seq"]).select("key", "url")
 
 
-@_query("""SELECT id, 'new/' || first AS url FROM (SELECT p_name, arg_max(p_partkey, (p_retailprice, p_partkey)) id FROM part WHERE p_size <= 25 GROUP BY 1)
- JOIN (SELECT p_name, min(p_partkey) first FROM part GROUP BY 1) USING (p_name)""")
+@_query("""SELECT id, 'new/' || first AS url FROM (SELECT p_name, p_type, arg_max(p_partkey, (p_retailprice, p_partkey)) id FROM part WHERE p_size <= 25 GROUP BY 1, 2)
+ JOIN (SELECT p_name, p_type, min(p_partkey) first FROM part GROUP BY 1, 2) USING (p_name, p_type)""")
 def repost_moves(spark, d):
     posted, batch = _posted(spark, d)
-    return crawls.repost_moves(batch, posted, F.col("p_name"), ["seq"])
+    return crawls.repost_moves(batch, posted, F.col("key"), ["seq"])
 
 
 @_query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Lesaffre' WHEN 1 THEN 'PEPCO Hungary Kft.' WHEN 2 THEN 'Acme' || c_custkey WHEN 3 THEN 'Zeta' END AS company FROM customer""")
@@ -250,10 +250,3 @@ def merged_documents(spark, d):
 @_query("""SELECT lang, arg_min(doc_id, (-length(coalesce(text, '')), doc_id)) AS doc_id FROM documents GROUP BY 1""")
 def longest_text(spark, d):
     return listing.longest(table(spark, d, "documents"), "lang", "text", "doc_id")
-
-
-@_query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '1-5 év' WHEN doc_id % 5 = 1 THEN '5–7+ years' WHEN doc_id % 5 = 2 THEN 'minimum 3 years' WHEN doc_id % 5 = 4 THEN '2 years' END AS years FROM documents""")
-def years_in_texts(spark, d):
-    said = ["végzettség1-5 év", "we ask 5–7+ years", "minimum 3 years", "több mint 20 éves tapasztalattal", "2  years or 2 Years"]
-    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", ""), F.lit(". "), F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 5 + 1).cast("int")))
-    return table(spark, d, "documents").select("doc_id", levels.years_phrases(text).alias("years"))

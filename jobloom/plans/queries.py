@@ -278,23 +278,24 @@ def dedupe_first(spark, d):
     return cleaning.first_per_key(rows, ["key"], ["doc_id"])
 
 
-@_query(f"""WITH {_POSTINGS} SELECT source, url, id % 3 = 0 AND id % 5 <> 0 AS is_new FROM postings WHERE id % 5 = 0 OR id % 3 = 0""")
+@_query(f"""WITH {_POSTINGS} SELECT source, url, id % 3 = 0 AS is_new FROM postings""")
 def insert_if_absent(spark, d):
+    # every posting is in the table or in the batch, some are in both
     rows = postings(spark, d).select("id", "source", "url")
-    return state.insert_absent(rows.where("id % 5 = 0"), rows.where("id % 3 = 0"), ["source", "url"], ["id"]).select("source", "url", "is_new")
+    return state.insert_absent(rows.where("id % 3 <> 0"), rows.where("id % 3 = 0 OR id % 5 = 0"), ["source", "url"], ["id"]).select("source", "url", "is_new")
 
 
 @_query("""SELECT c_custkey, CASE WHEN o AND NOT (e IN ('', '-')) THEN e WHEN o THEN coalesce(ne, e) ELSE ne END AS experience,
  CASE WHEN o THEN coalesce(s, ns) ELSE ns END AS company FROM (SELECT c_custkey, c_custkey % 2 = 0 o,
- CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE 'junior' END e, CASE WHEN c_custkey % 3 = 0 THEN 'senior' END ne,
- CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END s, CASE WHEN c_custkey % 3 = 0 THEN 'filled' END ns FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)""")
+ CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE 'junior' END e, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 3 = 0 THEN 'senior' END ne,
+ CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END s, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 3 = 0 THEN 'filled' END ns FROM customer)""")
 def fill_upsert(spark, d):
     c = table(spark, d, "customer")
     old = c.where("c_custkey % 2 = 0").select(
         "c_custkey", F.when(F.col("c_custkey") % 4 == 0, "-").otherwise("junior").alias("experience"),
         F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("company"),
     )
-    new = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("senior").alias("experience"), F.lit("filled").alias("company"))
+    new = c.where("c_custkey % 2 = 1 OR c_custkey % 3 = 0").select("c_custkey", F.lit("senior").alias("experience"), F.lit("filled").alias("company"))
     fills = {"experience": F.col("experience").isin("", "-") | F.col("experience").isNull(), "company": F.col("company").isNull()}
     return state.fill_upsert(old, new, ["c_custkey"], fills)
 
@@ -431,22 +432,32 @@ def category_shares(spark, d):
     return listing.shares(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "n")
 
 
-@_query("""SELECT user_id, event_type AS applied_by, true AS applied FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 4 = 0 AND event_type <> 'error')
- UNION SELECT user_id, event_type, true FROM events WHERE event_id % 4 = 1 AND event_type <> 'error' UNION SELECT o.user_id, o.event_type, true FROM events o
- WHERE o.event_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_id % 4 = 1 AND n.user_id = o.user_id AND n.event_type = o.event_type)""")
+@_query("""SELECT user_id, event_type AS applied_by, true AS applied FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0 AND event_type <> 'error')
+ UNION SELECT user_id, event_type, true FROM events WHERE event_id % 2 = 1 AND event_type <> 'error' UNION SELECT o.user_id, o.event_type, true FROM events o
+ WHERE o.event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_id % 2 = 1 AND n.user_id = o.user_id AND n.event_type = o.event_type)""")
 def upsert_or_delete(spark, d):
     keys = ["user_id", "applied_by"]
-    of = lambda k: table(spark, d, "events").where(f"event_id % 4 = {k}").select("user_id", F.col("event_type").alias("applied_by")).distinct()
+    of = lambda k: table(spark, d, "events").where(f"event_id % 2 = {k}").select("user_id", F.col("event_type").alias("applied_by")).distinct()
     old = of(0).withColumns({"applied": F.lit(True), "job_data": F.lit('{"a":1}')})
     change = of(1).withColumns({"applied": F.col("applied_by") != "error", "job_data": F.lit("{}")})
     return state.upsert_or_delete(old, change, keys, ["applied"], "job_data").select(*keys, "applied")
 
 
-@_query("SELECT * FROM (VALUES ('1-5 év'), ('5–7+ years'), ('minimum 3 years'), (NULL), ('2 years')) v(years)")
+_YEARS_SAID = ["végzettség1-5 év", "we ask 5–7+ years", "minimum 3 years", "több mint 20 éves tapasztalattal", "2  years or 2 Years"]
+
+
+@_query("""WITH t AS (SELECT doc_id, regexp_replace(text, '(\\p{L})(\\d)', '\\1 \\2', 'g') t FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), s FROM (VALUES @SAID@) v(s))),
+ f AS (SELECT doc_id, flatten([regexp_extract_all(t, '(?i)' || p) FOR p IN ['\\b\\d+\\s?(?:[-–]\\s?\\d+)?\\s?\\+?\\s?(?:év|éves|eves|years?|yrs?)\\b', '\\bminimum\\s?\\d+\\s?(?:év|eves|years?|yrs?)\\b',
+ '\\bat least\\s?\\d+\\s?\\+?\\s?years?\\b', '\\blegal[áa]bb\\s+\\d+\\s?(?:[ée]ves|[ée]v|years?)\\b', '\\btobb\\s?eves\\b', '\\bseveral\\s?years?\\b']]) m FROM t),
+ s AS (SELECT doc_id, [lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) FOR x IN m IF len([n FOR n IN regexp_extract_all(x, '\\d+') IF TRY_CAST(n AS BIGINT) > 15]) = 0] p FROM f),
+ q AS (SELECT doc_id, list_filter(p, lambda x, i: list_position(p, x) = i) q FROM s)
+ SELECT doc_id, nullif(array_to_string([x FOR x IN q IF len([o FOR o IN q IF o <> x AND contains(o, x)]) = 0], ', '), '') AS years FROM q
+ """.replace("@SAID@", ", ".join(f"('{x}')" for x in _YEARS_SAID)))
 def years_extract(spark, d):
-    # the phrases are literal rows: the texts hold next to no numbers
-    said = ["végzettség1-5 év", "we ask 5–7+ years", "minimum 3 years", "több mint 20 éves tapasztalattal", "2  years or 2 Years"]
-    return spark.createDataFrame([(x,) for x in said], "t string").select(levels.years_phrases(F.col("t")).alias("years"))
+    # literal phrases beside the texts, which hold few of their own
+    said = spark.createDataFrame([(-k, x) for k, x in enumerate(_YEARS_SAID, 1)], "doc_id long, text string")
+    texts = table(spark, d, "documents").select("doc_id", "text").unionByName(said)
+    return texts.select("doc_id", levels.years_phrases(F.col("text")).alias("years"))
 
 
 @_query("""SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (o_orderkey % 3 = 0) AS interns FROM orders
@@ -513,14 +524,12 @@ def like_count_and_first(spark, d):
     return views.truncated_list(table(spark, d, "customer"), "CUSTOMER#00000000_", "c_name", 5).select("n", F.array_join("first", ",").alias("first"))
 
 
-@_query("""SELECT user_id, epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS last_us FROM events WHERE event_id % 3 <> 2 GROUP BY 1""")
+@_query("""SELECT user_id, epoch_us(coalesce(min(ts) FILTER (event_id % 3 = 0), min(ts))) AS created_us, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1""")
 def visitor_touch(spark, d):
     at = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     old = at.where("event_id % 3 = 0").groupBy("user_id").agg(F.min("at").alias("created_at"), F.max("at").alias("last_at"))
-    out = records.touch(old, at.where("event_id % 3 <> 2").select("user_id", "at"), "user_id")
-    first = at.where("event_id % 3 <> 2").groupBy("user_id").agg(F.min("at").alias("first"))
-    out = out.join(first, "user_id")
-    return out.select("user_id", F.unix_micros(F.least("created_at", "first")).alias("created_us"), F.unix_micros("last_at").alias("last_us"))
+    out = records.touch(old, at.where("event_id % 3 <> 0").select("user_id", "at"), "user_id")
+    return out.select("user_id", F.unix_micros("created_at").alias("created_us"), F.unix_micros("last_at").alias("last_us"))
 
 
 @_query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'patched' ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer""")
