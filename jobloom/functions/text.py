@@ -193,3 +193,31 @@ def query_parameters(query: Column) -> Column:
     first = F.filter(F.transform(pairs, lambda p, k: F.when(F.array_position(names, F.substring_index(p, "=", 1)) == k + 1, p)), lambda p: p.isNotNull())
     value = lambda p: F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
     return F.map_from_entries(F.transform(first, lambda p: F.struct(F.substring_index(p, "=", 1), F.try_url_decode(F.replace(value(p), F.lit("+"), F.lit(" "))))))
+
+
+def cookie(header: Column, name: str) -> Column:
+    """The decoded value of a cookie, the first of its name; as it stands where it decodes to nothing, '' without one."""
+    pairs = F.filter(F.split(F.coalesce(header, F.lit("")), ";"), lambda p: p.contains("=") & (F.trim(F.substring_index(p, "=", 1)) == name))
+    value = F.trim(F.regexp_replace(F.get(pairs, F.lit(0)), "^[^=]*=", ""))
+    decoded = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.coalesce(decoded, value, F.lit(""))
+
+
+def localized_slug(raw: Column, language: str) -> Column:
+    """A slug, or of a JSON map of slugs that of the language, else the Hungarian, else the English one; '' for what is no slug."""
+    s = normalize_whitespace(raw)
+    of = lambda k: F.get_json_object(s, f"$.{k}")
+    picked = F.when(s.startswith("{") & s.contains('"'), normalize_whitespace(F.coalesce(of(language), of("hu"), of("en")))).otherwise(s)
+    return F.when(picked.rlike(r'[{}"\s]'), "").otherwise(picked)
+
+
+def client_address(forwarded: Column, own: Column, stated: Column) -> Column:
+    """The first forwarded address, else the host's, else the stated one, else 'unknown'."""
+    said = [F.nullif(F.trim(c), F.lit("")) for c in (F.substring_index(forwarded, ",", 1), own, stated)]
+    return F.coalesce(*said, F.lit("unknown"))
+
+
+def limit_key(address: Column, visitor: Column) -> Column:
+    """What a limit counts by: the address where it is known, else the visitor; null without both, which no limit holds."""
+    known = F.nullif(F.nullif(address, F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.concat(F.lit("ip:"), known), F.concat(F.lit("visitor:"), F.nullif(visitor, F.lit(""))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Query parameters that never tell pages apart.
@@ -104,3 +104,39 @@ def key_by_source(source: Column, url: Column, patterns: dict[str, str]) -> Colu
 def job_key(source: Column, url: Column, title: Column) -> Column:
     """Identity of a mark: by url where there is one, else by title."""
     return F.concat(F.lit("job:"), F.coalesce(source, F.lit("")), F.lit(":"), F.when(url != "", url).otherwise(F.coalesce(title, F.lit(""))))
+
+
+# Parameters that a pasted address loses besides any utm_ ones, in lower case.
+PASTED_PARAMETERS = ["gclid", "fbclid", "refid", "trackingid", "ebp", "referralsearchid"]
+
+
+def pasted_url(url: Column, host: str = "linkedin.com", prefix: str = "/jobs/view/") -> Column:
+    """A pasted address: with https:// where it has no scheme, without tracking parameters; a network's posting by its id alone.
+
+    The fragment stays. Null and blank are ''.
+    """
+    raw = F.trim(F.coalesce(url, F.lit("")))
+    whole = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    query = F.regexp_extract(whole, r"^[^?#]*\?([^#]*)", 1)
+    asked = F.regexp_extract(query, r"(?:^|&)currentJobId=([^&]+)", 1)
+    posting = F.coalesce(F.nullif(asked, F.lit("")), F.nullif(F.regexp_extract(whole, rf"^[^?#]*?{prefix}(\d+)", 1), F.lit("")))
+    own = (url_host(whole) == host) | url_host(whole).endswith(f".{host}")
+    names = F.array_distinct(F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1)))
+    noise = F.filter(names, lambda n: F.lower(n).startswith("utm_") | F.lower(n).isin(*PASTED_PARAMETERS))
+    left = F.filter(F.split(query, "&"), lambda p: ~F.array_contains(noise, F.substring_index(p, "=", 1)) & (p != ""))
+    bare = canonical_url(F.regexp_replace(whole, r"\?[^#]*", ""), [], keep_fragment=True)
+    fragment = F.regexp_extract(bare, "(#.*)$", 1)
+    clean = F.concat(F.regexp_extract(bare, "^([^#]*)", 1), F.when(F.size(left) > 0, F.concat(F.lit("?"), F.array_join(left, "&"))).otherwise(""), fragment)
+    return F.when(raw == "", "").when(~is_url(whole), raw).when(own & posting.isNotNull(), F.concat(F.lit(f"https://www.{host}{prefix}"), posting, F.lit("/"))).otherwise(clean)
+
+
+def migrated_keys(marks: DataFrame, cached: DataFrame, most: int = 512) -> DataFrame:
+    """marks (key, ...) under the key by url of the posting cached for them (key, source, url).
+
+    A mark without a cached url or source, or whose new key is longer than `most`, keeps its key.
+    """
+    url = pasted_url(F.col("url"))
+    new = cached.where("url <> '' AND source <> ''").select("key", job_key(F.col("source"), url, F.lit("")).alias("_new")).dropDuplicates(["key"])
+    joined = marks.join(new, "key", "left")
+    moved = F.when(F.length("_new") <= most, F.col("_new"))
+    return joined.withColumn("key", F.coalesce(moved, "key")).select(marks.columns)

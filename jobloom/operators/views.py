@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.levels import is_mid, is_senior, says_junior, suits_junior, suits_medior
-from jobloom.functions.text import normalize_text
+from jobloom.functions.text import normalize_text, normalize_whitespace
 
 
 def local_day(ts: Column, zone: str) -> Column:
@@ -57,6 +57,71 @@ def shown_source(source: Column, prefix: str = "AI - ", bucket: str = "AI-scrape
     return F.when(source.startswith(prefix), bucket).otherwise(source)
 
 
+def of_sources_chosen(source: Column, include: list[str], exclude: list[str], buckets: dict[str, str]) -> Column:
+    """Sources in include, or without any the sources not in exclude; a bucket stands for all sources with its prefix as well."""
+    shown = lambda key: (source == key) | source.startswith(buckets[key]) if key in buckets else source == key
+    any_of = lambda keys: reduce(lambda a, b: a | b, [F.coalesce(shown(k), F.lit(False)) for k in keys])
+    if include:
+        return any_of(include)
+    return ~any_of(exclude) if exclude else F.lit(True)
+
+
+def of_labels_chosen(labels: Column, include: list[str], exclude: list[str], none: str | None = None) -> Column:
+    """Rows with a label in include, or without any include the rows with none of exclude; `none` stands for rows without labels."""
+    mine = F.coalesce(labels, F.array().cast("array<string>"))
+    if none is not None:
+        mine = F.when(F.size(mine) == 0, F.array(F.lit(none))).otherwise(mine)
+    some = lambda keys: F.arrays_overlap(mine, F.array(*[F.lit(k) for k in keys]))
+    if include:
+        return some(include)
+    return ~some(exclude) if exclude else F.lit(True)
+
+
+def awake(states: list[str], loaded: DataFrame, label: str = "label") -> list[str]:
+    """The chosen labels that the loaded rows have; the others sleep until a row has them. One row a chosen label comes to the driver."""
+    return [r[label] for r in loaded.where(F.col(label).isin(*states)).select(label).distinct().orderBy(label).collect()] if states else []
+
+
+# The programmes that each mode of the reviews shows.
+PROGRAMMES = {"MI": ["MI"], "MI_BOTH": ["MI", "MIMB"], "MB": ["MB"], "MB_BOTH": ["MB", "MIMB"], "BOTH": ["MI", "MB", "MIMB"]}
+
+
+def of_semester(semester: Column, chosen: str, mine: Column) -> Column:
+    """all; mine, the viewer's own; none, those without a semester; or the one named."""
+    if chosen == "all":
+        return F.lit(True)
+    if chosen == "mine":
+        return F.coalesce(mine, F.lit(False))
+    said = F.coalesce(semester.cast("string"), F.lit(""))
+    return said.isin("", "N/A") if chosen == "none" else said == chosen
+
+
+def of_programme(programme: Column, mode: str) -> Column:
+    """Programmes that a mode shows, whatever their case; an unknown mode shows all three."""
+    return F.upper(F.coalesce(programme, F.lit(""))).isin(*PROGRAMMES.get(mode, PROGRAMMES["BOTH"]))
+
+
+# What stands for no author.
+NOBODY = ["N/A", "placeholder"]
+
+
+def programmes_by_subject(reviews: DataFrame, name: str, user: str, programme: str, seq: str) -> DataFrame:
+    """name (normalised), programme, n of each subject of reviews.
+
+    Reviews by somebody decide: MIMB where they name both programmes, else MI if any does, else MB. Where the
+    first row is the only such review, or there is none, the programme stays as the first row says it.
+    """
+    real = F.col(user).isNotNull() & (F.trim(F.col(user)) != "") & ~F.col(user).isin(*NOBODY)
+    said = F.upper(F.coalesce(F.col(programme), F.lit("MI")))
+    of = lambda k: F.coalesce(F.max(F.when(real, said.isin(k, "MIMB"))), F.lit(False))
+    groups = reviews.groupBy(normalize_whitespace(F.col(name)).alias("name")).agg(
+        of("MI").alias("mi"), of("MB").alias("mb"), F.count_if(real).alias("n"), F.min_by(F.struct(real.alias("real"), said.alias("said")), seq).alias("first")
+    )
+    alone = (F.col("n") == 0) | ((F.col("n") == 1) & F.col("first.real"))
+    label = F.when(F.col("mi") & F.col("mb"), "MIMB").when(alone, F.col("first.said")).when(F.col("mi"), "MI").otherwise("MB")
+    return groups.select("name", label.alias("programme"), "n")
+
+
 def review_search(name: Column, user: Column, needle: str) -> Column:
     """Search in name and user whatever the case and accents."""
     wanted = normalize_text(F.lit(needle))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.functions import gates, levels, text, urls
 from jobloom.operators import cleaning, listing, rollups, state
@@ -238,8 +239,8 @@ def title_dedupe(spark, d):
 @_query("""SELECT p_type AS label, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) AS INTEGER) AS place FROM part GROUP BY 1""")
 def facet_places(spark, d):
     facets = table(spark, d, "part").groupBy(F.col("p_type").alias("label")).agg(F.count("*").alias("n"))
-    ordered = [r["label"] for r in listing.facet_order(facets).collect()]
-    return spark.createDataFrame([(x, k) for k, x in enumerate(ordered, 1)], "label string, place int")
+    # one row a label
+    return listing.facet_order(facets).select("label", F.row_number().over(Window.orderBy(F.desc("n"), F.collate("label", "hu"))).alias("place"))
 
 
 @_query("""SELECT event_id FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 10)""")
@@ -278,4 +279,5 @@ def small_parsers(spark, d):
 def latest_list(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("seen"))
     first = listing.latest_first(rows, "seen", "id").limit(500)
-    return spark.createDataFrame([(r["id"], k) for k, r in enumerate(first.collect(), 1)], "id long, place int")
+    order = Window.orderBy(F.coalesce(F.col("seen").cast("timestamp"), F.timestamp_seconds(F.lit(0))).desc(), "id")
+    return first.select("id", F.row_number().over(order).alias("place"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,34 @@ def documents_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("key", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
+def _with_checkpoints(spark: SparkSession) -> None:
+    """Where checkpoints go: the cluster's shared folder, or on a local master without one a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="jobloom-"))
+
+
+#: Levels that tree_paths() follows; a deeper tree, or a node that is its own ancestor, is refused.
+MOST_LEVELS = 100
+
+
 def tree_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """id and path of every node of (id, parent, name); roots have no parent."""
-    nodes.createOrReplaceTempView("_nodes")
-    return spark.sql(
-        "WITH RECURSIVE walk AS (SELECT id, name AS path FROM _nodes WHERE parent IS NULL"
-        " UNION ALL SELECT n.id, concat(w.path, '/', n.name) FROM _nodes n JOIN walk w ON n.parent = w.id) SELECT id, path FROM walk"
-    )
+    """id and path of every node of (id, parent, name); roots have no parent, and nodes under no root are left out.
+
+    Every round is one join of the nodes with a level's paths, so the rows of a tree have no bound; its levels have, MOST_LEVELS.
+    """
+    _with_checkpoints(spark)
+    level = nodes.where("parent IS NULL").select("id", F.col("name").alias("path"))
+    found = level
+    for _ in range(MOST_LEVELS):
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_above"))
+        level = nodes.join(above, "parent").select("id", F.concat("_above", F.lit("/"), "name").alias("path"))
+        level = level.checkpoint()
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+    raise ValueError(f"a tree has more than {MOST_LEVELS} levels, or a cycle")
