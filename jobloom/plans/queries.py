@@ -262,9 +262,12 @@ def html_anchors(spark, d):
     return table(spark, d, "pages").select("page_id", html.anchors(F.col("html")).alias("h")).select("page_id", F.size("h").cast("long").alias("n"), F.array_join("h", " ").alias("hrefs"))
 
 
-@_query()
+@_query("""SELECT page_id, seq, t AS title, host || h AS url FROM (SELECT page_id, host, unnest(regexp_extract_all(nav, '<a href="([^"]*)">', 1)) AS h,
+ unnest(regexp_extract_all(nav, '<a href="[^"]*">([^<]*)</a>', 1)) AS t, unnest(range(len(regexp_extract_all(nav, '<a href="')))) AS seq FROM
+ (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)) WHERE t <> ''""")
 def html_recipe(spark, d):
-    return html.run_recipe(table(spark, d, "pages"), {"card": "nav li", "title": "a", "url": "a@href"})
+    # the recipe names neither company nor location
+    return html.run_recipe(table(spark, d, "pages"), {"card": "nav li", "title": "a", "url": "a@href"}).select("page_id", "seq", "title", "url")
 
 
 @_query()
