@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     result = con.execute(registry.oracle_sql()[name])
     names = [x[0] for x in result.description]
