@@ -50,19 +50,49 @@ def target_counts(rows: DataFrame, user: str, target: str, admins: list[int]) ->
     return rows.where(~F.col(user).isin(*admins)).groupBy(target).agg(F.count_distinct(user).alias("n"))
 
 
+#: Parts of a window of sliding_limit(): a task holds what one key has in one part, and in the part a window before.
+WINDOW_PARTS = 16
+
+
 def sliding_limit(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
-    """events with hits (of the key in the window that ends with the event), allowed, and retry_after in seconds."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    window = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    out = events.withColumn("hits", F.count("*").over(window)).withColumn("_oldest", F.min(micros).over(window))
-    wait = F.ceil((F.col("_oldest") + seconds * 1_000_000 - micros) / 1_000_000)
-    return out.withColumn("allowed", F.col("hits") <= most).withColumn("retry_after", F.when(F.col("hits") > most, wait)).drop("_oldest")
+    """events with hits (of the key in the window that ends with the event), allowed, and retry_after in seconds.
 
+    Time is cut into WINDOW_PARTS parts a window. What a window holds of the parts between its first and its last is
+    counted once for each key and part, before anything is shuffled; each event goes to its own part and, as context, to
+    the part a window later, where they are told apart by time. So no task needs a key's whole history, and a busy
+    key is as many groups as it has parts.
 
-def fixed_limit(events: DataFrame, key: str, ts: str, rows: str, most: int, seconds: int) -> DataFrame:
-    """events with granted: what of its rows the budget of its fixed window has left."""
+    Defined cases: a null key is a key; events without a time hit each other only; events of one time see each other; an
+    empty table gives an empty result.
+    """
+    span = seconds * 1_000_000
+    width = span // WINDOW_PARTS
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = events.withColumn("_at", at).withColumn("_part", F.floor(F.col("_at") / width)).withColumn("_kind", F.lit(0))
+    timed = own.select(F.col(key), "_at", "_part").where("_at IS NOT NULL")
+    earlier = timed.select(key, (F.col("_at") + span).alias("_at"), (F.col("_part") + WINDOW_PARTS).alias("_part"), F.lit(1).alias("_kind"))
+    counts = timed.groupBy(key, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    later = counts.select(key, "_n", "_first", F.explode(F.sequence(F.col("_part") + 1, F.col("_part") + WINDOW_PARTS - 1)).alias("_part"))
+    between = later.groupBy(key, "_part").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first")).withColumn("_kind", F.lit(2))
+    both = own.unionByName(earlier, allowMissingColumns=True).unionByName(between, allowMissingColumns=True)
+    group = Window.partitionBy(key, "_part")
+    past = group.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = group.orderBy("_at").rangeBetween(1, Window.unboundedFollowing)
+    mine, context = F.col("_kind") == 0, F.col("_kind") == 1
+    # an earlier event is in the window as long as a window after it is still ahead
+    in_last, in_first = F.count_if(mine).over(past), F.count_if(context).over(ahead)
+    oldest = F.coalesce(F.min(F.when(context, F.col("_at") - span)).over(ahead), F.max("_first").over(group), F.min(F.when(mine, F.col("_at"))).over(past))
+    hits = in_last + F.when(F.col("_at").isNull(), 0).otherwise(in_first + F.coalesce(F.max("_n").over(group), F.lit(0)))
+    out = both.withColumn("hits", hits).withColumn("_oldest", oldest).where("_kind = 0")
+    wait = F.ceil((F.col("_oldest") + span - F.col("_at")) / 1_000_000)
+    out = out.withColumn("allowed", F.col("hits") <= most).withColumn("retry_after", F.when(F.col("hits") > most, wait))
+    return out.select(*events.columns, "hits", "allowed", "retry_after")
+
+
+def fixed_limit(events: DataFrame, key: str, ts: str, rows: str, most: int, seconds: int, tie: str = "event_id") -> DataFrame:
+    """events with granted: what of its rows the budget of its fixed window has left; events of one time go by tie."""
     slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
-    before = Window.partitionBy(key, "_slot").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key, "_slot").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("_slot", slot).withColumn("_used", F.coalesce(F.sum(rows).over(before), F.lit(0)))
     return out.withColumn("granted", F.greatest(F.lit(0), F.least(F.col(rows), F.lit(most) - F.col("_used")))).drop("_slot", "_used")
 
