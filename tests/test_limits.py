@@ -8,6 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from jobloom.operators import rollups
+from jobloom.streaming import limits
 
 START = dt.datetime(2024, 1, 1)
 
@@ -50,3 +51,42 @@ def test_no_group_of_a_sliding_limit_holds_a_busy_key(spark):
     assert sizes.agg(F.max("count")).first()[0] <= 20
     windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
     assert windows and all("_part" in x for x in windows)
+
+
+def _streamed(spark, tmp_path, rows, cuts, made, name):
+    """The results of a stream that gets rows in the given cuts, a batch each."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    schema = "event_id long, user_id long, ts timestamp, rows int"
+    for k, (first, end) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+        spark.createDataFrame(rows[first:end], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+        query = made(stream).writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-c"))
+        query = query.outputMode("append").trigger(availableNow=True).start()
+        assert query.awaitTermination(120), k
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return spark.read.parquet(str(tmp_path / f"{name}-out")).collect()
+
+
+def test_ordered_streams_are_their_batches_however_cut(spark, tmp_path):
+    rng = random.Random(4)
+    base = [(k, 1 if k % 10 else 2 + k % 3, START + dt.timedelta(seconds=rng.randrange(900)), k % 7) for k in range(150)]
+    base.sort(key=lambda r: (r[2] + dt.timedelta(seconds=rng.randrange(50)), r[0]))  # up to 50 s late
+    end = (999, 9, START + dt.timedelta(hours=9), 0)  # moves the watermark over all others
+    df = spark.createDataFrame(base, "event_id long, user_id long, ts timestamp, rows int")
+    hits = {r["event_id"]: (r["hits"], r["allowed"], r["retry_after"]) for r in rollups.sliding_limit(df, "user_id", "ts", 4, 60).collect()}
+    granted = {r["event_id"]: r["granted"] for r in rollups.budget_granted(df, "user_id", "ts", "event_id", "rows", 10, 120).collect()}
+    rows = [*base, end]
+    for k, cuts in enumerate(([150], [41, 120])):
+        got = _streamed(spark, tmp_path, rows, cuts, lambda s: limits.ordered_sliding_limit(s, 4, 60, late="60 seconds"), f"s{k}")
+        assert {r["event_id"]: (r["hits"], r["allowed"], r["retry_after"]) for r in got} == hits and len(got) == len(hits)
+    got = _streamed(spark, tmp_path, rows, [41, 120], lambda s: limits.ordered_budget(s, "rows", 10, 120, late="60 seconds"), "b")
+    assert {r["event_id"]: r["granted"] for r in got} == granted and len(got) == len(granted)
+
+
+def test_late_and_untimed_events_of_a_stream(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    rows = [(1, 5, at(0), 1), (2, 5, at(100), 1), (3, 5, at(1), 1), (4, 5, None, 1), (5, 5, at(95), 1), (6, 5, at(500), 1)]
+    got = _streamed(spark, tmp_path, rows, [2, 5], lambda s: limits.ordered_sliding_limit(s, 1, 60, late="10 seconds"), "late")
+    # 3 comes when the watermark is at 90, and is dropped; 6 still waits
+    assert sorted((r["event_id"], r["hits"], r["allowed"], r["retry_after"]) for r in got) == [(1, 1, True, None), (2, 2, False, 55), (5, 1, True, None)]
