@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobloom.operators import rollups
-from jobloom.plans.queries import _query
+from jobloom.plans import snapshots
+from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources.tables import table
+from jobloom.streaming import liveness
 
 
 @_query("""SELECT event_id, count(*) OVER w AS hits, count(*) OVER w <= 30 AS allowed, CASE WHEN count(*) OVER w > 30
@@ -15,3 +17,30 @@ from jobloom.sources.tables import table
 def rate_limit_busy_key(spark, d):
     busy = F.when(F.col("event_id") % 10 == 0, F.col("user_id")).otherwise(-1)
     return rollups.sliding_limit(table(spark, d, "events").withColumn("key", busy), "key", "ts", 30, 3600).select("event_id", "hits", "allowed", "retry_after")
+
+
+@_query(f"""WITH {_POSTINGS}, a AS (SELECT * EXCLUDE (active, sweep_dead), CASE WHEN id % 2 = 0 AND NOT (source = '2-HIGH' AND sweep_dead) THEN true
+ WHEN id % 2 = 1 AND first_seen < TIMESTAMP '2001-07-17' THEN false ELSE active END AS active,
+ sweep_dead AND NOT (id % 2 = 0 AND source <> '2-HIGH') AS sweep_dead FROM postings),
+ b AS (SELECT * EXCLUDE (active, sweep_dead), CASE WHEN NOT ran THEN active WHEN id % 3 = 0 AND NOT (source = '2-HIGH' AND sweep_dead) THEN true
+ WHEN id % 3 <> 0 AND first_seen < TIMESTAMP '2001-07-29' THEN false ELSE active END AS active,
+ sweep_dead AND NOT (ran AND id % 3 = 0 AND NOT (source = '2-HIGH' AND sweep_dead)) AS sweep_dead FROM (SELECT *, source IN ('1-URGENT', '2-HIGH') AS ran FROM a
+ WHERE NOT (source = '5-LOW' AND first_seen < TIMESTAMP '2001-06-20' OR NOT active AND first_seen < TIMESTAMP '2001-05-21'))),
+ c AS (SELECT * EXCLUDE (active, sweep_dead), active AND id % 5 <> 0 AS active, sweep_dead OR active AND id % 5 = 0 AS sweep_dead FROM b)
+ SELECT id, active, sweep_dead FROM c WHERE NOT (source = '5-LOW' AND first_seen < TIMESTAMP '2001-07-02' OR NOT active AND first_seen < TIMESTAMP '2001-06-02')""")
+def liveness_stream(spark, d):
+    """Two landings of crawls, of found postings, runs and probes; its snapshots stay in a folder of their own in the shared one."""
+    root, rows = snapshots.new_root(spark, "liveness"), postings(spark, d)
+    snapshots.commit(rows, root, "postings")
+    flags = [F.lit(True).alias(c) for c in ("complete", "empty_is_valid", "dead1", "dead2")]
+    change = lambda df, kind, at: df.select(F.lit(kind).alias("kind"), "source", "url", *flags, F.lit(at).cast("timestamp").alias("at"))
+    runs = rows.select("source", F.lit(None).cast("string").alias("url")).distinct()
+    first = change(rows.where("id % 2 = 0"), "found", "2001-07-20").unionByName(change(runs, "run", "2001-07-20"))
+    second = change(rows.where("id % 3 = 0"), "found", "2001-08-01").unionByName(change(runs.where("source IN ('1-URGENT', '2-HIGH')"), "run", "2001-08-01"))
+    second = second.unionByName(change(rows.where("id % 5 = 0"), "probe", "2001-08-01"))
+    for landing in (first, second):
+        landing.write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(liveness.CHANGES).parquet(f"{root}/landed")
+        query = liveness.follow(stream, "crawls", root, "postings", liveness.liveness(["2-HIGH"]), f"{root}/checkpoint", liveness.archived(["5-LOW"]))
+        query.awaitTermination()
+    return snapshots.current(spark, root, "postings").select("id", "active", "sweep_dead")
