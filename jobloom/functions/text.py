@@ -50,26 +50,52 @@ def has_technology(s: Column, keyword: str) -> Column:
     return s.rlike(rf"(?iu)(^|[^a-z0-9]){literal(keyword)}([^a-z0-9]|$|\d)")
 
 
+_RUN = "[a-z0-9]+"
+
+
+def _shape(keyword: str, digit_may_follow: bool) -> str:
+    """A pattern for all that is built like the keyword: a run for each of its runs of a-z and 0-9, and its other characters as they are."""
+    parts = re.findall("[a-z0-9]+|[^a-z0-9]+", keyword)
+    built = "".join(_RUN if p[0] in _ALNUM else literal(p) for p in parts)
+    edge = "" if parts[-1][0] in _ALNUM else "(?![a-z])" if digit_may_follow else "(?![a-z0-9])"
+    return f"(?<![a-z0-9])(?=({built}){edge})"
+
+
+_ALNUM = set("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _with_stems(found: Column) -> Column:
+    """found, and of each that ends in a run of several characters what stands before a digit in that run."""
+    with_digit = F.filter(found, lambda x: x.rlike("[a-z0-9][0-9][a-z0-9]*$"))
+    ends = lambda x: F.filter(F.sequence(F.lit(1), F.length(x) - 1), lambda k: F.substr(x, k).rlike("^[a-z0-9][0-9][a-z0-9]*$"))
+    stems = F.transform(with_digit, lambda x: F.transform(ends(x), lambda k: F.substr(x, F.lit(1), k)))
+    return F.concat(found, F.flatten(stems))
+
+
 def keywords_in(s: Column, keywords: list[str], digit_may_follow: bool = True) -> Column:
     """The keywords (lower case) that has_technology() finds in s, or has_keyword() without digit_may_follow, in the list's order.
 
-    The text is cut into runs of a-z and 0-9 once, whatever the number of keywords: one of such characters is a
-    run, or what stands before a digit in one. Only keywords with others are looked for one by one.
+    The text is read once for each shape that keywords have, whatever their number: all that is a run of a-z and 0-9,
+    or that is built like node.js, machine learning or c++, is cut out and met with the keywords by hashing. A run is one
+    of such characters, or what stands before a digit in one.
     """
-    plain = [k for k in keywords if re.fullmatch("[a-z0-9]+", k)]
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), F.lit(0)))
-    if digit_may_follow:
-        with_digit = F.filter(runs, lambda x: x.rlike("[a-z0-9][0-9]"))
-        ends = lambda x: F.filter(F.sequence(F.lit(1), F.length(x) - 1), lambda k: F.substr(x, k + 1, F.lit(1)).rlike("[0-9]"))
-        stems = F.transform(with_digit, lambda x: F.transform(ends(x), lambda k: F.substr(x, F.lit(1), k)))
-        runs = F.concat(runs, F.flatten(stems))
-    found = F.array_intersect(F.from_json(F.lit(json.dumps(plain)), "array<string>"), runs)
-    if len(plain) == len(keywords):
+    shapes: dict[str, list[str]] = {}
+    for k in dict.fromkeys(k for k in keywords if k):
+        shapes.setdefault(_RUN if re.fullmatch(_RUN, k) else _shape(k, digit_may_follow), []).append(k)
+    known = lambda words: F.from_json(F.lit(json.dumps(words)), "array<string>")
+
+    def of_shape(lower: Column, shape: str, words: list[str]) -> Column:
+        cut = F.array_distinct(F.regexp_extract_all(lower, F.lit(shape), F.lit(0 if shape == _RUN else 1)))
+        ends_in_run = shape == _RUN or shape.endswith(f"{_RUN}))")
+        return F.array_intersect(known(words), _with_stems(cut) if digit_may_follow and ends_in_run else cut)
+
+    if not shapes:
+        return F.array().cast("array<string>")
+    found = once(F.lower(s), lambda lower: F.concat(*[of_shape(lower, *x) for x in shapes.items()]))
+    if len(shapes) == 1:
         return found
-    one = (lambda k: has_technology(s, k)) if digit_may_follow else (lambda k: has_keyword(s, [k]))
-    odd = F.array_compact(F.array(*[F.when(F.lower(s).contains(k) & one(k), F.lit(k)) for k in keywords if k not in set(plain)]))
     places = F.from_json(F.lit(json.dumps({k: i for i, k in enumerate(keywords)})), "map<string,int>")
-    ordered = F.array_sort(F.transform(F.concat(found, odd), lambda k: F.struct(F.element_at(places, k).alias("place"), k.alias("keyword"))))
+    ordered = F.array_sort(F.transform(found, lambda k: F.struct(F.element_at(places, k).alias("place"), k.alias("keyword"))))
     return F.transform(ordered, lambda x: x["keyword"])
 
 
@@ -86,7 +112,7 @@ def labels_in(s: Column, dictionary: list[tuple[str, str]]) -> Column:
 
 
 def canonical_labels(items: Column, dictionary: list[tuple[str, str]]) -> Column:
-    """Canonical labels of a free-text list."""
+    """Canonical labels of a free-text list: those whose keyword stands in it anywhere, in the dictionary's order; null if none."""
     return labels_in(items, dictionary)
 
 

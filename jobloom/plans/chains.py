@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobloom.operators import rollups
+from jobloom.functions import text
+from jobloom.operators import listing, rollups
 from jobloom.plans import snapshots
 from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources.tables import table
@@ -44,3 +45,30 @@ def liveness_stream(spark, d):
         query = liveness.follow(stream, "crawls", root, "postings", liveness.liveness(["2-HIGH"]), f"{root}/checkpoint", liveness.archived(["5-LOW"]))
         query.awaitTermination()
     return snapshots.current(spark, root, "postings").select("id", "active", "sweep_dead")
+
+
+#: Keywords of two words each in keyword_phrases.
+PHRASES = 376
+
+
+@_query(f"""WITH t AS (SELECT doc_id, lower(text) t FROM documents),
+ k AS (SELECT k, count(*) n FROM (SELECT unnest(regexp_extract_all(t, '[a-z]{{2,}} [a-z]{{2,}}')) k FROM t) GROUP BY 1 ORDER BY n DESC, k LIMIT {PHRASES})
+ SELECT upper(k) AS label, count(*) AS n FROM k JOIN t ON contains(t, k) AND regexp_matches(t, '(^|[^a-z0-9])' || k || '([^a-z0-9]|$|[0-9])') GROUP BY 1""")
+def keyword_phrases(spark, d):
+    docs = table(spark, d, "documents").select("text")
+    pairs = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,} [a-z]{2,}"), F.lit(0))).alias("k"))
+    most = pairs.groupBy("k").count().orderBy(F.desc("count"), "k").limit(PHRASES)
+    dictionary = [(r["k"], r["k"].upper()) for r in most.collect()]
+    return listing.facet_counts(docs.select(text.labels_array(F.col("text"), dictionary).alias("technologies")), "technologies")
+
+
+#: Keywords of other shapes than a word, two of them for one label.
+_LISTED = [("c++", "C++"), ("node.js", "Node.js"), (".net", ".NET"), ("anodized tin", "Tin"), ("tin", "Tin"), ("small", "Small"), ("brand#1", "Brand 1"), ("c#", "C#")]
+_LISTED_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(x), '(^|[^a-z0-9]){k.replace('+', chr(92) + '+').replace('.', chr(92) + '.')}([^a-z0-9]|$|[0-9])') THEN '{label}' END" for k, label in _LISTED)
+_LISTED_ITEMS = "p_name || ', ' || p_type || ', ' || p_brand || CASE p_size % 5 WHEN 0 THEN ', C++11, Node.JS' WHEN 1 THEN ', ASP.NET' WHEN 2 THEN ', .Net 8/c#' WHEN 3 THEN ', cc++, node js' ELSE '' END"
+
+
+@_query(f"""SELECT p_partkey, nullif(array_to_string(list_distinct_ordered, ', '), '') AS labels FROM (SELECT p_partkey,
+ list_filter([{_LISTED_SQL}], lambda l, i: l IS NOT NULL AND list_position([{_LISTED_SQL}], l) = i) AS list_distinct_ordered FROM (SELECT p_partkey, {_LISTED_ITEMS} x FROM part))""")
+def canonical_list(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.canonical_labels(F.expr(_LISTED_ITEMS), _LISTED).alias("labels"))
