@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobloom.functions import text
-from jobloom.operators import listing, rollups
+from jobloom.operators import links, listing, rollups
 from jobloom.plans import snapshots
 from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources.tables import table
@@ -72,3 +73,40 @@ _LISTED_ITEMS = "p_name || ', ' || p_type || ', ' || p_brand || CASE p_size % 5
  list_filter([{_LISTED_SQL}], lambda l, i: l IS NOT NULL AND list_position([{_LISTED_SQL}], l) = i) AS list_distinct_ordered FROM (SELECT p_partkey, {_LISTED_ITEMS} x FROM part))""")
 def canonical_list(spark, d):
     return table(spark, d, "part").select("p_partkey", text.canonical_labels(F.expr(_LISTED_ITEMS), _LISTED).alias("labels"))
+
+
+#: A crawl by cursor for each user: pages are events in order of time; of users whose number is divisible by 5 one page is missing, by 7 the last leads back to the first.
+_CURSORS = """e AS (SELECT user_id, event_id, row_number() OVER w - 1 place, lead(event_id) OVER w next_id, count(*) OVER (PARTITION BY user_id) stated,
+ first_value(event_id) OVER w first_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ p AS (SELECT *, user_id % 5 = 0 AND place = 2 missing FROM e),
+ r AS (SELECT *, bool_or(missing) OVER (PARTITION BY user_id ORDER BY place) cut FROM p)"""
+
+
+def _cursors(spark, d):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    cursor = lambda c: F.md5(F.concat_ws(":", "user_id", c))
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts").withColumns({"place": F.row_number().over(order) - 1, "next_id": F.lead("event_id").over(order), "second": F.nth_value("event_id", 2).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rows = rows.where("NOT (user_id % 5 = 0 AND place = 2)").withColumn("stated", F.count("*").over(Window.partitionBy("user_id")))
+    back = F.when(F.col("user_id") % 7 == 0, cursor("second"))
+    return rows.select("user_id", "event_id", F.when(F.col("place") > 0, cursor("event_id")).alias("cursor"), F.coalesce(F.when(F.col("next_id").isNotNull(), cursor("next_id")), F.when(F.col("second").isNotNull(), back)).alias("next"), F.lit(1).alias("cards"), "stated")
+
+
+@_query(f"""WITH {_CURSORS} SELECT event_id, CASE WHEN NOT cut THEN place END AS place FROM r WHERE NOT missing""")
+def cursor_places(spark, d):
+    return links.cursor_pages(_cursors(spark, d), ["user_id"]).select("event_id", "place")
+
+
+@_query(f"""WITH {_CURSORS}, n AS (SELECT user_id, count(*) FILTER (NOT cut) AS n_pages, bool_or(missing) gap, count(*) FILTER (NOT missing) total FROM r GROUP BY 1)
+ SELECT user_id, n_pages, n_pages AS cards, CASE WHEN gap THEN 'gap' WHEN user_id % 7 = 0 AND total > 1 THEN 'cycle' ELSE 'end' END AS ending,
+ NOT gap AND NOT (user_id % 7 = 0 AND total > 1) AS complete FROM n""")
+def cursor_crawls(spark, d):
+    return links.cursor_runs(_cursors(spark, d), ["user_id"])
+
+
+@_query("""WITH RECURSIVE n AS (SELECT o_orderkey id, CASE WHEN o_orderkey % 64 <> 0 THEN o_orderkey - 1 END parent FROM orders),
+ w AS (SELECT id, id AS root, 0 AS depth, parent IS NULL AS rooted FROM n WHERE parent IS NULL OR parent NOT IN (SELECT o_orderkey FROM orders)
+ UNION ALL SELECT n.id, w.root, w.depth + 1, w.rooted FROM n JOIN w ON n.parent = w.id) SELECT id, root, depth, CASE WHEN rooted THEN 'node' ELSE 'orphan' END AS kind FROM w""")
+def deep_forest(spark, d):
+    key = F.col("o_orderkey")
+    nodes = table(spark, d, "orders").select(key.alias("id"), F.when(key % 64 != 0, key - 1).alias("parent"), F.col("o_orderstatus").alias("name"))
+    return links.tree_nodes(nodes, paths=False)

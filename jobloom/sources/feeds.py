@@ -42,7 +42,7 @@ def documents_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).withColumn("key", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
-def _with_checkpoints(spark: SparkSession) -> None:
+def with_checkpoints(spark: SparkSession) -> None:
     """Where checkpoints go: the cluster's shared folder, or on a local master without one a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -60,9 +60,9 @@ MOST_LEVELS = 100
 def tree_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """id and path of every node of (id, parent, name); roots have no parent, and nodes under no root are left out.
 
-    Every round is one join of the nodes with a level's paths, so the rows of a tree have no bound; its levels have, MOST_LEVELS.
+    Every round is one join of the nodes with a level's paths, so the rows of a tree have no bound; its levels have, MOST_LEVELS; links.tree_nodes() takes deeper ones, and cycles.
     """
-    _with_checkpoints(spark)
+    with_checkpoints(spark)
     level = nodes.where("parent IS NULL").select("id", F.col("name").alias("path"))
     found = level
     for _ in range(MOST_LEVELS):
