@@ -9,11 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[\s ﻿]+"
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõőúùûüűñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕŐÚÙÛÜŰÑÇÝŸ"
-_PLAIN = "aaaaaaeeeeiiiioooooouuuuuncyyAAAAAAEEEEIIIIOOOOOOUUUUUNCYY"
-#: Combining marks have no counterpart in _PLAIN, so translate() drops them.
-_MARKS = "".join(map(chr, range(0x300, 0x370)))
+from jobloom.functions.unicode import composed, plain_table
+
+#: White space: what \s matches in Java, and the spaces and line ends beyond ASCII.
+WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 
 
 def once(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -22,8 +21,8 @@ def once(value: Column, of: Callable[[Column], Column]) -> Column:
 
 
 def strip_accents(s: Column) -> Column:
-    """Letters of the western and Hungarian alphabets without their accents; combining marks go as well."""
-    return F.translate(s, _ACCENTED + _MARKS, _PLAIN)
+    """Letters without their accents, in all alphabets that have some; combining diacritical marks go as well."""
+    return F.translate(s, *plain_table())
 
 
 def normalize_whitespace(s: Column) -> Column:
@@ -33,7 +32,12 @@ def normalize_whitespace(s: Column) -> Column:
 
 def normalize_text(s: Column) -> Column:
     """Lower case without accents, white space collapsed; null as ''."""
-    return F.lower(strip_accents(normalize_whitespace(s)))
+    return F.lower(normalize_whitespace(strip_accents(s)))
+
+
+def normalize_name(s: Column) -> Column:
+    """White space collapsed, letters and their marks composed, case and accents as they are; null as ''."""
+    return composed(normalize_whitespace(s))
 
 
 def literal(keyword: str) -> str:

@@ -110,3 +110,12 @@ def deep_forest(spark, d):
     key = F.col("o_orderkey")
     nodes = table(spark, d, "orders").select(key.alias("id"), F.when(key % 64 != 0, key - 1).alias("parent"), F.col("o_orderstatus").alias("name"))
     return links.tree_nodes(nodes, paths=False)
+
+
+@_query("""SELECT p_partkey, lower(strip_accents(chr(CAST(192 + p_partkey % 384 AS INTEGER)) || p_name || chr(CAST(7680 + p_partkey % 256 AS INTEGER)))) AS folded,
+ nfc_normalize(p_name || ' ' || chr(CAST(97 + p_partkey % 26 AS INTEGER)) || chr(CAST(768 + p_size % 13 AS INTEGER)) || CASE WHEN p_partkey % 3 = 0 THEN chr(803) ELSE '' END) AS composed FROM part""")
+def letters_and_marks(spark, d):
+    n, chr_ = F.col("p_partkey"), lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
+    accented = F.concat(chr_(n % 384 + 192), F.col("p_name"), chr_(n % 256 + 7680))
+    marked = F.concat(F.col("p_name"), F.lit("  "), chr_(n % 26 + 97), chr_(F.col("p_size") % 13 + 768), F.when(n % 3 == 0, "̣").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", F.lower(text.strip_accents(accented)).alias("folded"), text.normalize_name(marked).alias("composed"))
