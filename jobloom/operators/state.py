@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jobloom.functions.documents import same_json
 from jobloom.functions.urls import url_path
 from jobloom.operators.cleaning import first_per_key
 
@@ -134,9 +135,10 @@ def to_archive(source: Column, active: Column, first_seen: Column, as_of: str, t
 
 
 def upsert_or_delete(table: DataFrame, change: DataFrame, keys: list[str], flags: list[str], kept: str, empty: str = "{}") -> DataFrame:
-    """Changed rows replace old ones and go if all flags are false; `kept` keeps its old value where the new one is empty."""
+    """Changed rows replace old ones and go if all flags are false; `kept` keeps its old value where the new one is empty, however that is written."""
     old = table.select(*keys, F.col(kept).alias("_old"))
-    new = change.join(old, keys, "left").withColumn(kept, F.when(F.col(kept) == empty, F.coalesce("_old", kept)).otherwise(F.col(kept)))
+    is_empty = F.col(kept).isNotNull() & same_json(F.col(kept), F.lit(empty))
+    new = change.join(old, keys, "left").withColumn(kept, F.when(is_empty, F.coalesce("_old", kept)).otherwise(F.col(kept)))
     some = F.lit(False)
     for flag in flags:
         some = some | F.col(flag)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobloom.functions import text
+from jobloom.functions import documents, text
 from jobloom.operators import links, listing, rollups
 from jobloom.plans import snapshots
 from jobloom.plans.queries import _POSTINGS, _query, postings
@@ -119,3 +119,21 @@ def letters_and_marks(spark, d):
     accented = F.concat(chr_(n % 384 + 192), F.col("p_name"), chr_(n % 256 + 7680))
     marked = F.concat(F.col("p_name"), F.lit("  "), chr_(n % 26 + 97), chr_(F.col("p_size") % 13 + 768), F.when(n % 3 == 0, "̣").otherwise(""))
     return table(spark, d, "part").select("p_partkey", F.lower(text.strip_accents(accented)).alias("folded"), text.normalize_name(marked).alias("composed"))
+
+
+@_query("""SELECT c_custkey, '{"a":"' || c_name || '","b":{' || CASE WHEN c_custkey % 2 = 1 THEN '"deep":{"k":"' || c_mktsegment || '","l":"old"},' ELSE '' END
+ || '"x":' || c_nationkey || ',"y":' || CASE WHEN c_custkey % 3 = 0 THEN '[1,2]' ELSE '{"z":true}' END || CASE WHEN c_custkey % 2 = 0 THEN '},"c":null}' ELSE '}}' END AS merged,
+ c_custkey % 4 <> 3 AS same, c_custkey % 5 IN (0, 1, 2) AS is_empty, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS k FROM customer""")
+def json_documents(spark, d):
+    n, name = F.col("c_custkey"), lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    odd = F.when(n % 2 == 1, F.concat(F.lit(', "deep": {"l": "old", "k": "x"}'))).otherwise("")
+    old = F.concat(F.lit('{"b": {"x": '), "c_nationkey", F.lit(', "y": 0'), odd, F.lit('}, "a": "old"}'))
+    deep = F.when(n % 2 == 1, F.concat(F.lit(', "deep": { "k" :'), name(F.col("c_mktsegment")), F.lit("}}"))).otherwise('}, "c": null')
+    new = F.concat(F.lit('{ "a" : '), name(F.col("c_name")), F.lit(',\n"b":{"y": '), F.when(n % 3 == 0, "[1, 2]").otherwise('{"z":true}'), deep, F.lit("}"))
+    other = F.when(n % 4 == 0, ' { "q" : [1, {"b":2,"a":1}] , "p":1}').when(n % 4 == 3, '{"q":[{"a":1,"b":2},1],"p":1}').otherwise('{"p": 1, "q": [1, {"a": 1, "b": 2}]}')
+    blank = F.when(n % 5 == 0, "{ }").when(n % 5 == 1, " []").when(n % 5 == 2, " ").when(n % 5 == 3, '{"a":{}}').otherwise("{broken")
+    merged = documents.merged_json(old, new)
+    return table(spark, d, "customer").select(
+        "c_custkey", merged.alias("merged"), documents.same_json(other, F.lit('{"p":1,"q":[1,{"a":1,"b":2}]}')).alias("same"), documents.is_empty_json(blank).alias("is_empty"),
+        documents.field(merged, "$.b.deep.k", "string").alias("k"),
+    )
