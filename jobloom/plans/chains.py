@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobloom.functions import documents, text
-from jobloom.operators import links, listing, rollups
+from jobloom.operators import links, listing, paging, rollups
 from jobloom.plans import snapshots
 from jobloom.plans.queries import _POSTINGS, _query, postings
+from jobloom.sources import landed
 from jobloom.sources.tables import table
 from jobloom.streaming import liveness
 
@@ -137,3 +141,38 @@ def json_documents(spark, d):
         "c_custkey", merged.alias("merged"), documents.same_json(other, F.lit('{"p":1,"q":[1,{"a":1,"b":2}]}')).alias("same"), documents.is_empty_json(blank).alias("is_empty"),
         documents.field(merged, "$.b.deep.k", "string").alias("k"),
     )
+
+
+#: Crawls of 40 events a page, one for each residue of user_id by 25; how a crawl ends goes by the residue by 5.
+_PAGED = """e AS (SELECT user_id % 25 AS crawl, count(*) n FROM events GROUP BY 1), p AS (SELECT crawl, n, CAST(ceil(n / 40) AS BIGINT) p FROM e),
+ r AS (SELECT crawl, CASE WHEN crawl % 5 = 1 AND crawl % 2 = 0 AND p > 2 THEN 2 WHEN crawl % 5 = 4 AND crawl % 2 = 0 AND p > 1 THEN 1 ELSE p END AS n_pages, n, p FROM p)"""
+
+
+@_query(f"""WITH {_PAGED} SELECT crawl, n_pages, CAST(least(n, n_pages * 40) AS BIGINT) AS items, CASE WHEN n_pages < p AND crawl % 5 = 4 THEN 'error' WHEN n_pages < p THEN 'gap'
+ WHEN crawl % 5 = 2 AND n % 40 = 0 THEN 'empty' WHEN crawl % 5 = 3 THEN 'gone' ELSE 'end' END AS ending, n_pages = p AS complete FROM r""")
+def paged_crawls(spark, d):
+    """Crawls of five kinds, landed as files and walked by their rules; the files stay in a folder of their own in the shared one."""
+    n, index = F.col("n"), F.col("index")
+    events = table(spark, d, "events").select((F.col("user_id") % 25).alias("crawl"), "event_id")
+    numbered = events.withColumn("at", F.row_number().over(Window.partitionBy("crawl").orderBy("event_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("crawl")))
+    pages = numbered.groupBy("crawl", F.floor(F.col("at") / 40).alias("index")).agg(F.collect_list("event_id").alias("data"), F.max("n").alias("n"), F.lit(200).alias("status"))
+    last = F.ceil(n / 40)
+    beyond = pages.where(index + 1 == last).select("crawl", (index + 1).alias("index"), F.array().cast("array<bigint>").alias("data"), "n", F.when(F.col("crawl") % 5 == 3, 404).otherwise(200).alias("status"))
+    kind, even = F.col("crawl") % 5, F.col("crawl") % 2 == 0
+    pages = pages.unionByName(beyond).where(~((kind == 1) & even & (index == 2))).withColumn("status", F.when((kind == 4) & even & (index == 1), 500).otherwise(F.col("status")))
+    # by page from 1, or by offset
+    place = F.when(kind.isin(0, 4), index + 1).when(kind == 2, index).otherwise(index * 40)
+    following = F.when(index + 1 < last, F.concat(F.lit("/list?page="), index + 2))
+    body = F.to_json(F.struct("data", F.struct(F.when(kind == 0, last).alias("last_page"), F.when(kind == 1, n).alias("total")).alias("meta"), F.when(kind == 4, following).alias("next")))
+    root = snapshots.new_root(spark, "landed")
+    landed.land(pages.select(F.concat(F.lit("s"), "crawl").alias("source"), place.alias("place"), "status", body.alias("body")), root)
+
+    read = landed.landed(spark, root).withColumn("page", F.from_json("body", "data array<long>, meta struct<last_page:long,total:long>, next string"))
+    read = read.select(F.substring("source", 2, 9).cast("long").alias("crawl"), "place", "status", F.size("page.data").alias("items"), "page.meta.last_page", "page.meta.total", "page.next")
+    read = read.withColumn("size", paging.first_of("items", ["crawl"]))
+    rules = [
+        (F.col("place") - 1, paging.by_last_page(F.col("place"), F.col("last_page"))), (F.col("place") / 40, paging.by_count(F.col("place"), F.lit(40), F.col("total"))),
+        (F.col("place"), paging.by_size(F.col("items"), F.lit(40))), (F.col("place") / F.col("size"), F.lit(False)), (F.col("place") - 1, F.col("next").isNull()),
+    ]
+    runs = [paging.paged_runs(read.where(F.col("crawl") % 5 == k), ["crawl"], at, ends, total="total") for k, (at, ends) in enumerate(rules)]
+    return functools.reduce(DataFrame.unionByName, runs)
