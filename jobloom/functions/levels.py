@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import WS, has_keyword, normalize_text
+from jobloom.functions.text import WS, has_keyword, normalize_text, once
 
 # The keywords of the levels, and the least years of a senior.
 INTERN_KEYWORDS = [
@@ -111,13 +111,13 @@ def years_phrases(text: Column) -> Column:
     A phrase with a number over MOST_YEARS goes, as does one that stands in another; order is that of the
     kinds, then of the places.
     """
-    spaced = F.regexp_replace(text, r"(\p{L})(\d)", "$1 $2")
-    found = F.flatten(F.array(*[F.regexp_extract_all(spaced, F.lit(f"(?iu)({p})"), F.lit(1)) for p in _YEAR_PHRASES]))
-    sane = F.filter(found, lambda m: ~F.exists(numbers_in(m), lambda x: x > MOST_YEARS))
-    plain = F.array_distinct(F.transform(sane, lambda m: F.lower(F.trim(F.regexp_replace(m, WS, " ")))))
-    outer = F.filter(plain, lambda m: ~F.exists(plain, lambda o: (o != m) & o.contains(m)))
-    joined = F.array_join(outer, ", ")
-    return F.when(joined != "", joined)
+    found = lambda spaced: F.flatten(F.array(*[F.regexp_extract_all(spaced, F.lit(f"(?iu)({p})"), F.lit(1)) for p in _YEAR_PHRASES]))
+    sane = lambda said: F.filter(said, lambda m: ~F.exists(numbers_in(m), lambda x: x > MOST_YEARS))
+    plain = lambda said: F.array_distinct(F.transform(sane(said), lambda m: F.lower(F.trim(F.regexp_replace(m, WS, " ")))))
+    outer = lambda said: F.filter(said, lambda m: ~F.exists(said, lambda o: (o != m) & o.contains(m)))
+    joined = once(F.regexp_replace(text, r"(\p{L})(\d)", "$1 $2"), lambda t: once(found(t), lambda said: once(plain(said), lambda x: F.array_join(outer(x), ", "))))
+    # every phrase has a digit or one of two words
+    return F.when(text.rlike(r"(?iu)\d|tobb\s?eves|several"), F.nullif(joined, F.lit("")))
 
 
 def experience_of(title: Column, body: Column) -> Column:

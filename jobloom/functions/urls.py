@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.functions.text import once
+
 # Query parameters that never tell pages apart.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid"]
 # Town slugs that stand before a posting's number without a meaning.
@@ -19,17 +21,98 @@ def is_url(url: Column) -> Column:
     return F.coalesce(url.rlike(_VALID), F.lit(False))
 
 
+_DOTS = r"(?i)(^|/)(?:\.|%2e){1,2}(/|$)"
+
+
+def url_parts(url: Column) -> Column:
+    """scheme and authority in lower case, path, query with its ? and fragment with its #; each '' if it is not there."""
+    after = lambda s, part, more=1: F.substr(s, F.length(part) + more)
+
+    def of_rest(said: Column) -> Column:
+        rest = F.when(said["scheme"] == "", said["head"]).otherwise(after(said["head"], said["scheme"], 2))
+        host = F.when(rest.startswith("//"), F.substring_index(F.substr(rest, F.lit(3)), "/", 1))
+        path = once(F.struct(rest.alias("rest"), host.alias("host")), lambda x: F.struct(F.coalesce(F.lower(x["host"]), F.lit("")).alias("authority"), F.coalesce(after(x["rest"], x["host"], 3), x["rest"]).alias("path")))
+        return F.struct(F.lower(said["scheme"]).alias("scheme"), path["authority"].alias("authority"), path["path"].alias("path"), said["query"].alias("query"), said["fragment"].alias("fragment"))
+
+    def of_head(said: Column) -> Column:
+        scheme = F.regexp_extract(said["head"], r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+        return once(F.struct(said["head"].alias("head"), scheme.alias("scheme"), after(said["main"], said["head"]).alias("query"), said["fragment"].alias("fragment")), of_rest)
+
+    main = F.struct(F.substring_index(url, "#", 1).alias("main"), after(url, F.substring_index(url, "#", 1)).alias("fragment"))
+    return once(main, lambda x: once(F.struct(x["main"].alias("main"), F.substring_index(x["main"], "?", 1).alias("head"), x["fragment"].alias("fragment")), of_head))
+
+
+def without_dots(path: Column) -> Column:
+    """A path whose segments . and .., escaped ones too, have been followed; .. at the root stays there."""
+    plain = lambda x: F.replace(F.lower(x), F.lit("%2e"), F.lit("."))
+    up, here = (lambda x: plain(x) == ".."), (lambda x: plain(x) == ".")
+
+    def put(held: Column, segment: Column) -> Column:
+        above = F.when(F.size(held) > 1, F.slice(held, 1, F.size(held) - 1)).otherwise(held)
+        return F.when(here(segment), held).when(up(segment), above).otherwise(F.concat(held, F.array(segment)))
+
+    def followed(segments: Column) -> Column:
+        last = F.element_at(segments, -1)
+        kept = F.aggregate(segments, F.array().cast("array<string>"), put)
+        return F.array_join(F.when(here(last) | up(last), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+    return F.when(path.rlike(_DOTS), once(F.split(path, "/"), followed)).otherwise(path)
+
+
+def _authority(parts: Column) -> Column:
+    """Without the port that the scheme has anyway, or an empty one."""
+    usual = F.when(parts["scheme"] == "https", ":443").when(parts["scheme"] == "http", ":80").otherwise(":")
+    bare = F.regexp_replace(parts["authority"], ":$", "")
+    return F.when(bare.endswith(usual), F.left(bare, F.length(bare) - F.length(usual))).otherwise(bare)
+
+
+def _written(parts: Column, query: Column, fragment: Column) -> Column:
+    path = F.when(parts["path"] == "", "/").otherwise(without_dots(parts["path"]))
+    return F.concat(parts["scheme"], F.lit("://"), _authority(parts), path, query, fragment)
+
+
+def resolved_url(base: Column, link: Column) -> Column:
+    """The address of a link on the page at base, its dots followed; null if there is none.
+
+    Defined cases: white space around a link and line breaks in it go; a link with a scheme stands for itself, one that
+    begins with // takes the base's scheme, with / its host, with ? its path as well, and any other begins in its
+    folder; an empty one is the base without its fragment; a scheme without // (mailto:) is left as it is; a
+    relative link on what is no url, and a null, is null.
+    """
+
+    def of(sides: Column) -> Column:
+        b, r, own = sides["base"], sides["link"], sides["own"]
+        folder = F.regexp_extract(b["path"], "(?s)^(.*/)", 1)
+        folder = F.when(folder == "", "/").otherwise(folder)
+        path = F.when(r["path"] == "", b["path"]).when(r["path"].startswith("/"), r["path"]).otherwise(F.concat(folder, r["path"]))
+        query = F.when((r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+        merged = F.struct(b["scheme"].alias("scheme"), b["authority"].alias("authority"), path.alias("path"))
+        across = F.struct(b["scheme"].alias("scheme"), r["authority"].alias("authority"), r["path"].alias("path"))
+        based = (b["scheme"] != "") & (b["authority"] != "")
+        return (
+            F.when((r["scheme"] != "") & (r["authority"] != ""), _written(r, r["query"], r["fragment"]))
+            .when(r["scheme"] != "", own)
+            .when(based & (r["authority"] != ""), _written(across, r["query"], r["fragment"]))
+            .when(based, _written(merged, query, r["fragment"]))
+        )
+
+    clean = F.regexp_replace(F.trim(F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+$", "")), r"[\t\r\n]", "")
+    return once(F.struct(url_parts(base).alias("base"), url_parts(clean).alias("link"), clean.alias("own")), of)
+
+
 def canonical_url(url: Column, drop: list[str] = TRACKING, keep_fragment: bool = False, else_null: bool = False, http_only: bool = False) -> Column:
-    """url without the parameters in drop, and without its fragment; what is no url stays, or is null with else_null."""
-    base = F.regexp_extract(url, r"^([^?#]*)", 1)
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(url, r"(#.*)$", 1)
-    left = F.filter(F.split(query, "&"), lambda p: ~F.substring_index(p, "=", 1).isin(*drop) & (p != ""))
-    head = F.concat(F.lower(F.regexp_extract(base, r"^([^:]+://[^/]*)", 1)), F.regexp_extract(base, r"^[^:]+://[^/]*(.*)$", 1))
-    head = F.when(head.rlike(r"^[^:]+://[^/]+$"), F.concat(head, F.lit("/"))).otherwise(head)
-    whole = F.concat(head, F.when(F.size(left) > 0, F.concat(F.lit("?"), F.array_join(left, "&"))).otherwise(""), fragment if keep_fragment else F.lit(""))
-    fine = is_url(url) & (url.rlike("(?i)^https?:") if http_only else F.lit(True))
-    return F.when(fine, whole).otherwise(F.lit(None).cast("string") if else_null else url)
+    """url without the parameters in drop, its dots followed, without its scheme's own port and its fragment; what is no url stays, or is null with else_null."""
+
+    def of(parts: Column) -> Column:
+        left = F.filter(F.split(F.substr(parts["query"], F.lit(2)), "&"), lambda p: ~F.substring_index(p, "=", 1).isin(*drop) & (p != ""))
+        query = once(left, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("?"), F.array_join(x, "&"))).otherwise(""))
+        whole = _written(parts, query, parts["fragment"] if keep_fragment else F.lit(""))
+        return F.when(parts["scheme"].isin("http", "https"), whole) if http_only else whole
+
+    # most addresses have nothing to change
+    same = url.rlike(r"^https?://[a-z0-9.-]+/[^?#%\s]*$") & ~url.contains("/.")
+    said = F.when(same, url).when(is_url(url), once(url_parts(url), of))
+    return said if else_null else F.coalesce(said, url)
 
 
 def without_town(url: Column) -> Column:
@@ -115,19 +198,24 @@ def pasted_url(url: Column, host: str = "linkedin.com", prefix: str = "/jobs/vie
 
     The fragment stays. Null and blank are ''.
     """
-    raw = F.trim(F.coalesce(url, F.lit("")))
-    whole = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    query = F.regexp_extract(whole, r"^[^?#]*\?([^#]*)", 1)
-    asked = F.regexp_extract(query, r"(?:^|&)currentJobId=([^&]+)", 1)
-    posting = F.coalesce(F.nullif(asked, F.lit("")), F.nullif(F.regexp_extract(whole, rf"^[^?#]*?{prefix}(\d+)", 1), F.lit("")))
-    own = (url_host(whole) == host) | url_host(whole).endswith(f".{host}")
-    names = F.array_distinct(F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1)))
-    noise = F.filter(names, lambda n: F.lower(n).startswith("utm_") | F.lower(n).isin(*PASTED_PARAMETERS))
-    left = F.filter(F.split(query, "&"), lambda p: ~F.array_contains(noise, F.substring_index(p, "=", 1)) & (p != ""))
-    bare = canonical_url(F.regexp_replace(whole, r"\?[^#]*", ""), [], keep_fragment=True)
-    fragment = F.regexp_extract(bare, "(#.*)$", 1)
-    clean = F.concat(F.regexp_extract(bare, "^([^#]*)", 1), F.when(F.size(left) > 0, F.concat(F.lit("?"), F.array_join(left, "&"))).otherwise(""), fragment)
-    return F.when(raw == "", "").when(~is_url(whole), raw).when(own & posting.isNotNull(), F.concat(F.lit(f"https://www.{host}{prefix}"), posting, F.lit("/"))).otherwise(clean)
+
+    def of_parts(said: Column) -> Column:
+        raw, whole, parts = said["raw"], said["whole"], said["parts"]
+        asked = F.regexp_extract(parts["query"], r"(?:^\?|&)currentJobId=([^&]+)", 1)
+        posting = F.coalesce(F.nullif(asked, F.lit("")), F.nullif(F.regexp_extract(parts["path"], rf"^.*?{prefix}(\d+)", 1), F.lit("")))
+        named = F.regexp_extract(parts["authority"], "^(?:[^@]*@)?([^:]+)", 1)
+        own = (named == host) | named.endswith(f".{host}")
+        noise = lambda n: F.lower(n).startswith("utm_") | F.lower(n).isin(*PASTED_PARAMETERS)
+        left = F.filter(F.split(F.substr(parts["query"], F.lit(2)), "&"), lambda p: ~noise(F.substring_index(p, "=", 1)) & (p != ""))
+        query = once(left, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("?"), F.array_join(x, "&"))).otherwise(""))
+        theirs = F.concat(F.lit(f"https://www.{host}{prefix}"), posting, F.lit("/"))
+        return F.when(raw == "", "").when(~is_url(whole), raw).when(own & posting.isNotNull(), theirs).otherwise(_written(parts, query, parts["fragment"]))
+
+    def of_raw(raw: Column) -> Column:
+        whole = F.when(raw.rlike("(?i)^[a-z][a-z0-9+.-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+        return once(whole, lambda w: once(F.struct(raw.alias("raw"), w.alias("whole"), url_parts(w).alias("parts")), of_parts))
+
+    return once(F.trim(F.coalesce(url, F.lit(""))), of_raw)
 
 
 def migrated_keys(marks: DataFrame, cached: DataFrame, most: int = 512) -> DataFrame:

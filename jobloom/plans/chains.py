@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobloom.functions import documents, text
+from jobloom.functions import documents, text, urls
 from jobloom.operators import links, listing, paging, rollups
 from jobloom.plans import snapshots
 from jobloom.plans.queries import _POSTINGS, _query, postings
@@ -176,3 +176,17 @@ def paged_crawls(spark, d):
     ]
     runs = [paging.paged_runs(read.where(F.col("crawl") % 5 == k), ["crawl"], at, ends, total="total") for k, (at, ends) in enumerate(rules)]
     return functools.reduce(DataFrame.unionByName, runs)
+
+
+@_query("""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://shop.example/jobs/item-' || page_id WHEN 1 THEN 'https://other.example:8443/x' WHEN 2 THEN 'https://shop.example/jobs/list/item-' || page_id || '?q=1#f'
+ WHEN 3 THEN 'https://shop.example/jobs/list/' || page_id || '?page=2' WHEN 4 THEN 'https://shop.example/item-' || page_id || '/' WHEN 5 THEN 'mailto:a@b.example'
+ WHEN 6 THEN 'https://shop.example/jobs/list/' || page_id || '?a=b' ELSE NULL END AS resolved,
+ 'https://shop.example/b/' || page_id || CASE WHEN page_id % 2 = 0 THEN '/?q=..' ELSE '' END AS canonical FROM pages""")
+def resolved_links(spark, d):
+    n = F.col("page_id")
+    base = F.when(n % 8 == 7, "no url").otherwise(F.concat(F.lit("HTTPS://Shop.example:443/jobs/list/"), n, F.lit("?a=b#top")))
+    item = F.concat(F.lit("item-"), n)
+    link = F.when(n % 8 == 0, F.concat(F.lit(" ../"), item)).when(n % 8 == 1, "//other.example:8443/y/../x").when(n % 8 == 2, F.concat(F.lit("./"), item, F.lit("?q=1#f"))).when(n % 8 == 3, "?page=2")
+    link = link.when(n % 8 == 4, F.concat(F.lit("/a/%2E%2e/../"), item, F.lit("/z/.."))).when(n % 8 == 5, "mailto:a@b.example").when(n % 8 == 6, "").otherwise("/x")
+    dotted = F.concat(F.lit("https://shop.example:443/a/./../b/"), n, F.when(n % 2 == 0, "/c/..?q=..&utm_source=x").otherwise("#x"))
+    return table(spark, d, "pages").select("page_id", urls.resolved_url(base, link).alias("resolved"), urls.canonical_url(dotted).alias("canonical"))
