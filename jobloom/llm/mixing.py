@@ -17,8 +17,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from jobloom.llm.scratch import table, written
@@ -34,8 +36,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
 #: Rows of a source that share one running sum, and such groups of rows that share the next.
 SUM_ROWS = 512
-#: Plans of the sources are on the driver and in every task of slots(): more sources than this are refused.
+#: Sources, or bundles of sources if there are more, whose slots are drawn by shard: each task of slots() holds a number for each.
 MOST_SOURCES = 50_000
+#: Slots of a bundled source that one row of its plan stands for.
+PLAN_SLOTS = 1 << 16
 #: Documents that are cut at once.
 CUT_ROWS = 256
 #: numpy draws from populations below this size; from larger ones _hypergeometric does.
@@ -177,34 +181,139 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
     return written(docs.select("doc_id", "source", *more, words.alias("size"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
 
 
-def plan_mix(sizes: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> list[SourcePlan]:
-    """One plan for each source, in code point order, null last. Sends a row for each of at most MOST_SOURCES sources to the driver."""
+def plan_mix(sizes: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> list[SourcePlan] | DataFrame:
+    """One plan for each source, in code point order, null last: a list of at most MOST_SOURCES, or plan_many()'s table if there are more."""
     totals = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     found = [(r["source"], r["n"], r["size"]) for r in totals.limit(MOST_SOURCES + 1).collect()]
     if len(found) > MOST_SOURCES:
-        raise ValueError(f"a mix is of {MOST_SOURCES} sources at most: group them first")
+        return plan_many(totals, block_words, seed)
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([size for *_, size in found], [WEIGHTS[k % len(WEIGHTS)] for k in range(len(found))])
     return [plan_source(k, *x, t, block_words, seed) for k, (x, t) in enumerate(zip(found, wanted, strict=True))]
 
 
+def plan_many(totals: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """number, mix_source, n, source_size, target, blocks, slots, last_take of each source of totals (source, n, size), written as a table.
+
+    The rounds of targets() are sums over the table: a round shares what is left by weight, and the sources that it would
+    take above their most are set to it. Nothing of a source is on the driver.
+    """
+    order = [F.col("source").isNull(), F.asc("source")]
+    rows = written(placed_in_order(totals, order), "mix-sources")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int"))
+    rows = rows.withColumn("weight", weight)
+    most = F.col("size") * MOST_PASSES
+    total = rows.agg(F.sum("size").alias("total")).first()["total"] or 0
+    share, last = F.lit(0.0), None
+    open_ = F.lit(True)
+    while True:
+        # one row
+        now = rows.agg(F.sum(F.when(open_, F.col("weight"))).alias("weight"), F.coalesce(F.sum(F.when(~open_, most)), F.lit(0)).alias("full"), F.count_if(open_).alias("n")).first()
+        if not now["n"] or now["n"] == last:
+            break
+        last, left = now["n"], float(total - now["full"])
+        share = left * F.col("weight") / F.lit(float(now["weight"]))
+        # what was above its most in a round is so in every later one, as shares only grow
+        open_ = ~(share > most)
+    target = F.when(open_, share).otherwise(most.cast("double"))
+    wanted = rows.withColumn("target", target)
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plans = [plan_source(*r, block_words, seed) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            more = [pa.array([getattr(p, x) for p in plans], pa.int64()) for x in ("blocks", "slots", "last_take")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
+
+    names = ["number", "mix_source", "n", "source_size", "target", "blocks", "slots", "last_take"]
+    schema = "number long, mix_source string, n long, source_size long, target double, blocks long, slots long, last_take long"
+    return written(wanted.select("number", "source", "n", "size", "target").mapInArrow(planned, schema), "mix-plans")
+
+
+def placed_in_order(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with number, their place from 0 in the order: by ranges, which are numbered each and moved on by those before."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([*ranged.schema.fields, T.StructField("range", T.LongType()), T.StructField("place", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part)), pa.array(np.arange(at, at + len(batch)))], schema.names)
+            at += len(batch)
+
+    numbered = written(ranged.mapInArrow(number, schema), "mix-order")
+    # one row a range
+    counts = sorted(map(tuple, numbered.groupBy("range").count().collect()))
+    starts = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    before = spark.createDataFrame([(part, start) for (part, _), start in zip(counts, starts, strict=False)], "range long, before long")
+    return numbered.join(F.broadcast(before), "range").withColumn("number", F.col("before") + F.col("place")).drop("range", "place", "before")
+
+
+def many_slots(plans: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """slots() of plan_many()'s sources.
+
+    Sources are dealt to MOST_SOURCES bundles, whose slots are drawn by shard as those of sources are; a keyed
+    permutation of a bundle's slots gives each to a slot of one of its sources, which is the same draw.
+    """
+    spark = plans.sparkSession
+    before = Window.partitionBy("bundle").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    rows = plans.withColumn("bundle", F.col("number") % MOST_SOURCES).withColumn("base", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+    totals = np.zeros(MOST_SOURCES, np.int64)
+    # one row a bundle
+    for r in rows.groupBy("bundle").agg(F.sum("slots").alias("slots")).collect():
+        totals[r["bundle"]] = r["slots"]
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(PLAN_SLOTS).cast("long")))
+    chunks = rows.where("slots > 0").select("number", "bundle", "base", "blocks", "slots", "last_take", chunks.alias("first"))
+
+    def of_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, bundle, base, blocks, n, last_take, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                j = np.arange(first, min(n, first + PLAN_SLOTS))
+                passes, index = np.divmod(j, blocks)
+                block = np.zeros(len(j), np.int64)
+                for k in np.unique(passes):
+                    block[passes == k] = permuted(index[passes == k], blocks, (seed, number, int(k)))
+                take = np.where(j == n - 1, last_take, block_words)
+                columns = [np.full(len(j), bundle), base + j, np.full(len(j), number), block, passes, take]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bundle", "index", "number", "block", "pass", "take"])
+
+    def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                ((_, earlier, counts),) = shard_counts(totals, shard_blocks, range(shard, shard + 1), seed)
+                some = np.flatnonzero(counts)
+                index = [permuted(earlier[b] + np.arange(counts[b]), int(totals[b]), (seed, int(b), MOST_PASSES + 1)) for b in some]
+                joined = np.concatenate(index)
+                place = np.random.Generator(np.random.Philox(np.random.SeedSequence((seed, shard)))).permutation(len(joined))
+                arrays = [np.full(len(joined), shard), place, np.repeat(some, counts[some]), joined]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["shard", "slot", "bundle", "index"])
+
+    theirs = chunks.mapInArrow(of_sources, "bundle long, index long, number long, block long, pass long, take long")
+    n_shards = -(-int(totals.sum()) // shard_blocks)
+    drawn = spark.range(n_shards).mapInArrow(of_shards, "shard long, slot long, bundle long, index long").hint("merge")
+    return drawn.join(theirs, ["bundle", "index"]).select("shard", "slot", "number", "block", "pass", "take")
+
+
 def source_table(spark: SparkSession, plans: list[SourcePlan]) -> DataFrame:
     rows = [(k, p.source, p.rows, p.size, p.target) for k, p in enumerate(plans)]
     return spark.createDataFrame(rows, "number int, mix_source string, n long, source_size long, target double")
 
 
-def placed(sizes: DataFrame, plans: list[SourcePlan]) -> DataFrame:
+def placed(sizes: DataFrame, plans: list[SourcePlan] | DataFrame) -> DataFrame:
     """sizes with number, source_size, target, and start: the words before the document in its source.
 
     A source's documents are summed in ranges of their hash, about SUM_ROWS rows each, the ranges' totals in
     runs of SUM_ROWS, and the runs' once more; so a source of any size is spread over all tasks.
     """
-    known = source_table(sizes.sparkSession, plans)
+    if isinstance(plans, list):
+        known = F.broadcast(source_table(sizes.sparkSession, plans))
+    else:
+        known = plans.select("number", "mix_source", "n", "source_size", "target")
     # hash ranges as equal parts of 2^32, which pmod of the hash is uniform over
     parts = F.greatest(F.lit(1), (F.col("n") / SUM_ROWS).cast("long"))
     rank = F.pmod(F.col("h"), F.lit(1 << 32))
     docs = sizes.withColumn("h", F.xxhash64("doc_id", "text_hash"))
-    docs = docs.join(F.broadcast(known), docs["source"].eqNullSafe(known["mix_source"])).drop("mix_source")
+    docs = docs.join(known, docs["source"].eqNullSafe(known["mix_source"])).drop("mix_source")
     docs = docs.withColumn("part", F.shiftright(rank * parts, 32)).drop("n")
     until = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
     earlier = lambda c, *keys: F.coalesce(F.sum(c).over(until(*keys)), F.lit(0))
@@ -220,8 +329,10 @@ def placed(sizes: DataFrame, plans: list[SourcePlan]) -> DataFrame:
     return docs.withColumn("start", F.col("part_start") + F.col("within")).drop("part", "part_start", "within", "h")
 
 
-def slots(spark: SparkSession, plans: list[SourcePlan], block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+def slots(spark: SparkSession, plans: list[SourcePlan] | DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """One row for each slot of the mix: shard, slot, number, block, pass, take (words of the block that count)."""
+    if not isinstance(plans, list):
+        return many_slots(plans, block_words, shard_blocks, seed)
     totals = np.array([p.slots for p in plans], np.int64)
     n_shards = -(-int(totals.sum()) // shard_blocks)
     names = ["shard", "slot", "number", "block", "pass", "take"]
@@ -260,8 +371,8 @@ def pieces(docs: DataFrame, mix: DataFrame, block_words: int = BLOCK_WORDS) -> D
     edge = F.col("block") * block_words
     held = held.withColumn("word", F.greatest("start", edge)).withColumn("to", F.least(end, edge + block_words))
     # the planner takes the slots for as few rows as there are shards, so it must not choose to broadcast them
-    mix = mix.withColumn("number", F.col("number").cast("int")).hint("merge")
-    joined = held.join(mix, ["number", "block"])
+    mix = mix.withColumn("number", F.col("number").cast("long")).hint("merge")
+    joined = held.withColumn("number", F.col("number").cast("long")).join(mix, ["number", "block"])
     stop = F.least("to", F.col("block") * block_words + F.col("take"))
     joined = joined.withColumn("n_words", stop - F.col("word")).withColumn("from_word", F.col("word") - F.col("start"))
     return joined.where("n_words > 0").drop("word", "to", "take")

@@ -491,4 +491,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4)
+    """Here a row is kept if its document is its component's smallest, so that rows which repeat that one are kept all; one without an id is kept."""
+    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=4)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -239,11 +239,38 @@ def test_running_sums_of_a_mix_in_three_levels(spark, monkeypatch):
         assert [s for s, _ in some] == [0, *np.cumsum([n for _, n in some])[:-1].tolist()]
 
 
-def test_too_many_sources_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
-    docs = spark.createDataFrame([(k, "a", str(k)) for k in range(4)], "doc_id long, text string, source string")
-    with pytest.raises(ValueError):
-        mixing.taken_words(docs)
+def test_a_mix_of_more_sources_than_are_drawn_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    names = [None, "", *(f"s{k:02d}é" for k in range(45))]
+    sizes = [int(x) for x in 10 ** rng.uniform(0, 3.3, len(names))]
+    sizes[5] = 30_000  # most words are of one source
+    rows, n = [], 0
+    for name, size in zip(names, sizes, strict=True):
+        for part in (size // 3, size - size // 3, 0):
+            rows.append((n, "w " * part, name))
+            n += 1
+    docs = spark.createDataFrame([*rows, (None, None, "s00é"), (10_000, "", "wordless")], "doc_id long, text string, source string")
+    few = {r["doc_id"]: tuple(r) for r in mixing.taken_words(docs).collect()}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 7)
+    monkeypatch.setattr(mixing, "PLAN_SLOTS", 16)
+    got = {r["doc_id"]: tuple(r) for r in mixing.taken_words(docs).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in few.items()} and len(got) == len(few)
+    assert all(got[k][3] == pytest.approx(v[3]) for k, v in few.items())
+    known = sorted({*names, "wordless"}, key=lambda x: (x is None, x or ""))
+    total = {name: 0 for name in known} | dict(zip(names, sizes, strict=True))
+    wanted = dict(zip(known, mixing.targets([total[x] for x in known], [1 + k % 3 for k in range(len(known))]), strict=True))
+    for name in names:
+        ids = [k for k, _, source in rows if source == name]
+        assert abs(sum(got[k][4] for k in ids) - wanted[name]) <= 1 and all(got[k][4] <= 3 * got[k][1] for k in ids)
+    plans = mixing.plan_mix(mixing.sized(docs))
+    slots = [tuple(r) for r in mixing.slots(spark, plans).collect()]
+    assert len({x[:2] for x in slots}) == len(slots) == len({x[2:5] for x in slots})
+    assert sorted(slots) == sorted(tuple(r) for r in mixing.slots(spark, plans).collect())
+    # the large source is in all shards, in about its share of each
+    large = next(r["number"] for r in plans.collect() if r["mix_source"] == names[5])
+    shares = collections.Counter(x[0] for x in slots if x[2] == large)
+    assert len(shares) == len({x[0] for x in slots})
+    assert mixing.mixed_documents(docs).agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(v[4] for v in got.values())
 
 
 def test_near_dedup_of_very_long_texts_and_repeated_rows(spark, monkeypatch):
