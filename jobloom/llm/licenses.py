@@ -52,8 +52,23 @@ IDENTIFIERS = frozenset(
     sgi-b simpl sissl sleepycat smlnj snia spl sspl sugarcrm tcl tcp-wrappers tmate unicode unicode-dfs unlicense upl vim vostrom vsl
     w3c watcom wtfpl x11 xfree86 xnet xpp zend zimbra zlib zlib-acknowledgement zpl""".split()
 )
+#: SPDX identifiers of exceptions, which stand to the right of `with` and nowhere else.
+EXCEPTIONS = frozenset(
+    """389-exception asterisk-exception asterisk-linking-protocols-exception autoconf-exception-2.0 autoconf-exception-3.0 autoconf-exception-generic
+    autoconf-exception-generic-3.0 autoconf-exception-macro bison-exception-1.24 bison-exception-2.2 bootloader-exception classpath-exception-2.0
+    clisp-exception-2.0 cryptsetup-openssl-exception digirule-foss-exception ecos-exception-2.0 erlang-otp-linking-exception fawkes-runtime-exception
+    fltk-exception fmt-exception font-exception-2.0 freertos-exception-2.0 gcc-exception-2.0 gcc-exception-2.0-note gcc-exception-3.1 gmsh-exception
+    gnat-exception gnome-examples-exception gnu-compiler-exception gnu-javamail-exception gpl-3.0-interface-exception gpl-3.0-linking-exception
+    gpl-3.0-linking-source-exception gpl-cc-1.0 gstreamer-exception-2005 gstreamer-exception-2008 i2p-gpl-java-exception kicad-libraries-exception
+    lgpl-3.0-linking-exception libpri-openh323-exception libtool-exception linux-syscall-note llgpl llvm-exception lzma-exception mif-exception
+    nokia-qt-exception-1.1 ocaml-lgpl-linking-exception occt-exception-1.0 openjdk-assembly-exception-1.0 openvpn-openssl-exception pcre2-exception
+    ps-or-pdf-font-exception-20170817 qpl-1.0-inria-2004-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1 qwt-exception-1.0 romic-exception
+    rrdtool-floss-exception-2.0 sane-exception shl-2.0 shl-2.1 stunnel-exception swi-exception swift-exception texinfo-exception u-boot-exception-2.0
+    ubdl-exception universal-foss-exception-1.0 vsftpd-openssl-exception wxwindows-exception-3.1 x11vnc-openssl-exception""".split()
+)
 #: Identifiers that their own document defines.
 OWN_IDENTIFIER = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", re.IGNORECASE)
+OWN_EXCEPTION = re.compile(r"(?:documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+", re.IGNORECASE)
 #: How free the label's terms leave a user, from 0 to 1; other labels count as UNKNOWN_FREEDOM.
 FREEDOM = {
     "cc0": 1.0, "mit": 1.0, "bsd": 1.0, "isc": 1.0, "bsl": 1.0, "apache": 0.9, "cc-by": 0.9, "mpl": 0.6, "epl": 0.6,
@@ -66,7 +81,8 @@ PHRASE_EVIDENCE = 0.5
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _TAG = re.compile(r"SPDX-License-Identifier\s*:", re.IGNORECASE)
 _BREAK = re.compile(r"[\r\n]")
-_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*|[()]")
+#: A slash between two identifiers is an older way to write `or`.
+_TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+:-]*|[()]|(?<=[A-Za-z0-9.+])/(?=[A-Za-z0-9])")
 _VERSION = re.compile(r"(?:-v?\d[\w.]*)?(?:-(?:only|or-later|clause|clear))*\+?$")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -116,22 +132,29 @@ def to_postfix(tokens: list[str]) -> list[str]:
 def evaluate(tokens: list[str]) -> tuple[set[str], float]:
     """Labels that the expression names, and its freedom: `or` lets the user choose, `and` binds to both.
 
-    ValueError if it is malformed, or names what is no license.
+    ValueError if it is malformed, names what is no license, or has an exception anywhere but right of `with`.
     """
-    stack: list[tuple[set[str], float]] = []
+    stack: list[tuple[set[str], float] | None] = []
     for token in to_postfix(tokens):
         if token == "with":
-            stack.pop()  # an exception only adds to what its license permits
+            if stack.pop() is not None or stack[-1] is None:
+                raise ValueError("`with` stands between a license and an exception")
+            # an exception only adds to what its license permits
         elif token in _PRECEDENCE:
-            (right, b), (left, a) = stack.pop(), stack.pop()
-            stack.append((left | right, max(a, b) if token == "or" else min(a, b)))
+            right, left = stack.pop(), stack.pop()
+            if left is None or right is None:
+                raise ValueError("an exception without its license")
+            stack.append((left[0] | right[0], max(left[1], right[1]) if token == "or" else min(left[1], right[1])))
+        elif token.lower() in EXCEPTIONS or OWN_EXCEPTION.fullmatch(token):
+            stack.append(None)
         else:
             label = token.lower() if OWN_IDENTIFIER.fullmatch(token) else license_label(token)
-            # what follows `with` is popped unread
-            if label not in IDENTIFIERS and not OWN_IDENTIFIER.fullmatch(token) and not label.endswith("exception") and label != "linux-syscall-note":
+            if label not in IDENTIFIERS and not OWN_IDENTIFIER.fullmatch(token):
                 raise ValueError(f"no license: {token}")
             stack.append(({label}, FREEDOM.get(label, UNKNOWN_FREEDOM)))
-    return stack.pop()
+    if (found := stack.pop()) is None:
+        raise ValueError("an exception without its license")
+    return found
 
 
 def tag_expressions(text: str) -> list[list[str]]:
@@ -145,7 +168,7 @@ def tag_expressions(text: str) -> list[list[str]]:
         tokens: list[str] = []
         depth, operand_next = 0, True
         for m in _TOKEN.finditer(text, at, stop):
-            token = m[0]
+            token = "or" if m[0] == "/" else m[0]
             opens = token == "("
             joins = token.lower() in _PRECEDENCE or token == ")"
             if opens + (not joins) and not operand_next or token == ")" and not depth:
