@@ -19,13 +19,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from jobloom.llm.scratch import discard, table, written
 
 #: The conf that holds the key of the surrogates. Without it each application draws its own, and runs do not agree.
 KEY_CONF = "spark.jobloom.pii.key"
 MOST_ATTEMPTS = 64
+#: From this attempt on, numbers and addresses that have a reserved range are drawn from all of their format.
+WIDER_ATTEMPT = 16
 
 #: Titles that tell a gender, by script.
 TITLES = {
@@ -64,9 +65,11 @@ SURNAME_SYLLABLES = {
 }
 
 _WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:['’-]\p{Lu}\p{L}+)*"
+#: Characters of an address before its @: letters may have accents.
+_LOCAL = r"[\p{IsLatin}\p{M}0-9._%+-]"
 _NEUTRAL = "|".join(NEUTRAL_TITLES.values())
 #: Initials stay as they are.
-_NAME = rf"(?:(?:{_NEUTRAL}) )*(?:\p{{Lu}}\. ){{0,3}}{_WORD}(?: {_WORD}){{0,2}}"
+_NAME = rf"(?:(?:{_NEUTRAL}) )*(?:\p{{Lu}}\. ){{0,3}}{_WORD}(?: {_WORD})*+"
 _V4 = r"(?=[0-9])(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _HEXES = f"{_HEX}(?::{_HEX}){{0,5}}"
@@ -74,14 +77,16 @@ _V6 = rf"(?=[0-9A-Fa-f]{{0,4}}:)(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*[0-9])(?:(?:{_HEX
 #: What each type looks like; where two begin at one place, the earlier wins. Every group is non-capturing. Words of
 #: any script end before a secret's or phone's start and a name's title; the others may follow letters of other scripts.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}",
-    "access_key": r"(?=A)(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++@(?:(?:[A-Za-z0-9-]++\.(?=[A-Za-z0-9]))++[A-Za-z]{{2,24}}|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,8}}\.[A-Za-z]{{2,24}})",
+    "access_key": r"(?=[Ag])(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+)(?![A-Za-z0-9])",
     "secret": r"(?=[PpSsTtAa])(?<![\p{L}0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)(?-i:) {0,2}[=:] {0,2}\"?[A-Za-z0-9+/_.-]{6,}+\"?",
     "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": f"(?:{_V4}|{_V6})",
     "card": r"(?=[0-9])(?<![0-9-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])",
-    "ssn": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?=[+(0-9])(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
+    "ssn": r"(?=[0-9])(?<![0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?! ?[0-9]))",
+    # with a + eight to fifteen digits, however they are grouped; without, two separators, a code in brackets, or a word for phones before
+    "phone": r"(?=[+(0-9])(?<![\p{L}0-9+])(?:\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])|\([0-9]{2,5}\) ?[0-9]{5,9}(?![0-9])"
+    r"|(?<=(?<!\p{L})(?i:tel|phone|mobile|fax)[.:]{0,2} {0,2})[0-9]{7,15}(?![0-9])|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9]))",
 } | {f"name_{script}_{gender}": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titles}) {_NAME}" for (script, gender), titles in TITLES.items()}
 _NEUTRAL_PATTERNS = {f"name_{script}_n": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{titles}) {_NAME}" for script, titles in NEUTRAL_TITLES.items()}
 _ALL = PATTERNS | _NEUTRAL_PATTERNS
@@ -99,7 +104,8 @@ GATE = r"[0-9@=:]|(?=\p{Lu})(?:A[KS]IA|(?<!\p{L})(?:" + _ALL_TITLES + "))"
 
 def entity_type(mention: Column, patterns: dict[str, str] = _ALL) -> Column:
     """The first type whose pattern the mention is; a mention is a match of one of them, so it has one."""
-    found = F.lit(None).cast("string")
+    # digits that only the word before them tells are a phone's
+    found = F.when(F.regexp_like(mention, F.lit("^[0-9]+$")), "phone")
     for kind, pattern in reversed(patterns.items()):
         # at the mention's edges look-around finds nothing to object to
         found = F.when(F.regexp_like(mention, F.lit(f"^(?:{pattern})$")), F.lit(kind)).otherwise(found)
@@ -173,7 +179,7 @@ def _of(alphabet: str, n: Column) -> Column:
 
 
 def _same_classes(value: Column, h: Column, keep: Column) -> Column:
-    """value with every ASCII letter and digit after the first `keep` drawn anew from its own class."""
+    """value with every ASCII letter and digit after the first `keep` drawn anew from its own class; other letters stay."""
 
     def drawn(c: Column, i: Column) -> Column:
         b = _byte(h, i)
@@ -224,11 +230,12 @@ def _shaped_surrogate(kind: Column, value: Column, attempt: Column, h: Column, s
     phone = F.concat(F.substr(value, F.lit(1), country), (F.substring(drawn, 1, 1).cast("int") % 8 + 2).cast("string"), F.substr(drawn, F.lit(2), n - country - 1))
     # exchange 555 as long as it has numbers left
     phone = F.when((n == 10) & (attempt < 4), F.concat(F.substring(phone, 1, 3), F.lit("555"), F.substring(phone, 7, 4))).otherwise(phone)
-    # reserved ranges: 240.0.0.0/4, 2001:db8::/32, and social security numbers of area 9xx
-    octets = [(F.lit(240) + F.pmod(_byte(h, 0), F.lit(15))).cast("string"), *(_byte(h, k).cast("string") for k in (1, 2, 3))]
+    # reserved ranges: 240.0.0.0/4, 2001:db8::/32, and social security numbers of area 9xx; where many attempts met taken ones, all of the format
+    more = attempt >= WIDER_ATTEMPT
+    octets = [F.when(more, _byte(h, 4)).otherwise(F.lit(240) + F.pmod(_byte(h, 0), F.lit(15))).cast("string"), *(_byte(h, k).cast("string") for k in (1, 2, 3))]
     hextets = [F.regexp_replace(F.substring(h, 9 + 4 * k, 4), "^0+(?=.)", "") for k in range(6)]
     ip = F.when(value.contains(":"), F.concat_ws(":", F.lit("2001"), F.lit("db8"), *hextets)).otherwise(F.concat_ws(".", *octets))
-    ssn = F.concat(F.lit("9"), F.substr(drawn, F.lit(1), n - 1))
+    ssn = F.when(more, F.substr(drawn, F.lit(1), n)).otherwise(F.concat(F.lit("9"), F.substr(drawn, F.lit(1), n - 1)))
     country2 = F.substring(value, 1, 2)
     iban = F.concat(country2, F.lpad((98 - _mod97(F.concat(same, country2, F.lit("00")))).cast("string"), 2, "0"), same)
     blocks = F.transform(F.sequence(F.lit(0), (n / 64).cast("int")), lambda k: F.sha2(F.concat(h, k.cast("string")), 256))
@@ -302,9 +309,12 @@ def settle(entities: DataFrame, key: str) -> tuple[DataFrame, list[DataFrame]]:
         taken = known
         for earlier in settled:
             taken = taken.unionByName(earlier.select("kind", "new"))
-        first = F.row_number().over(Window.partitionBy("kind", "new").orderBy("canon")) == 1
-        marked = drawn.join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "new"], "left")
-        round_ = written(marked.withColumn("kept", F.col("taken").isNull() & first).drop("taken"), f"surrogates-{attempt}")
+        # first draws of given names are few: the smallest of each is found before anything is shuffled
+        drawn = written(drawn, f"drawn-{attempt}")
+        firsts = drawn.groupBy("kind", "new").agg(F.min("canon").alias("first")).join(taken, ["kind", "new"], "left_anti")
+        marked = drawn.join(firsts, ["kind", "new"], "left").withColumn("kept", F.coalesce(F.col("canon") == F.col("first"), F.lit(False)))
+        round_ = written(marked.drop("first"), f"surrogates-{attempt}")
+        discard(drawn)
         tables.append(round_)
         settled.append(round_.where("kept").select("kind", "canon", "attempt", "new"))
         left = round_.where("not kept").select("kind", "canon")

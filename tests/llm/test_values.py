@@ -346,3 +346,33 @@ def test_pipeline_clears_its_tables(spark, sf_dir):
     assert set(last) <= {"pipeline-3", *(f"packed-{k}" for k in range(4))}
     scratch.clear(spark)
     assert scratch.standing(spark) == []
+
+
+def test_license_exceptions():
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES)
+    tag = "SPDX-License-Identifier:"
+    wanted = {
+        f"{tag} LLVM-exception": ("", 0.0), f"{tag} Banana-exception": ("", 0.0), f"{tag} MIT WITH Apache-2.0": ("", 0.0), f"{tag} MIT WITH Banana-exception": ("", 0.0),
+        f"{tag} Apache-2.0 WITH SHL-2.1": ("apache", 1.0), f"{tag} Apache-2.0 WITH LLVM-exception OR MIT": ("apache,mit", 1.0), f"{tag} LLVM-exception WITH MIT": ("", 0.0),
+        f"{tag} MIT OR LLVM-exception": ("", 0.0), f"{tag} (GPL-2.0-only OR MIT) WITH Linux-syscall-note": ("gpl,mit", 1.0), f"{tag} MIT WITH AdditionRef-own": ("mit", 1.0),
+        f"{tag} MIT/Apache-2.0": ("apache,mit", 1.0), f"/* {tag} MIT */ int x;": ("mit", 1.0), f"// {tag} MIT // y": ("mit", 1.0), f"{tag} MIT/ x": ("mit", 1.0),
+    }
+    assert {text: (scanner.scan(text)[5], scanner.scan(text)[6]) for text in wanted} == wanted
+
+
+def test_pii_forms_that_are_found(spark):
+    found = [
+        "+15551234567", "+442079460958", "tel 5551234567", "Phone: 5551234567", "(030) 1234567", "+49 30 1234567", "+49 (0)30 1234567", "123 45 6789", "ghp_" + "aB3" * 12,
+        "a@b.c.d.e.f.g.h.i.j.k.l.example.com", "müller@x.de", "joe@x.com.", "joe@x.com.123", "x" * 3000 + "@" + "a." * 3000 + "com", "Ms. Anna Maria Luisa Smith", "überweisung@x-y.co.uk, z",
+    ]
+    got = _replaced(spark, found)
+    assert [(t, r) for t, r in zip(found, got, strict=True) if r[1] != 1 or r[0] == t] == []
+    assert not re.search("Anna|Maria|Luisa|Smith", got[14][0]) and len(got[14][0].split()) == 5 and re.fullmatch(r"[a-z]ü[a-z]{4}@\S+", got[10][0]) and got[15][0].endswith(", z")
+    assert re.fullmatch(r"\+1\d{10}", got[0][0]) and re.fullmatch(r"\(\d{3}\) \d{7}", got[4][0]) and re.fullmatch(r"9\d\d \d\d \d{4}", got[7][0]) and re.fullmatch(r"ghp_(?:[a-z][A-Z]\d){12}", got[8][0])
+    same = _replaced(spark, ["+1 555 123 4567", "+15551234567", "(555) 123-4567"])
+    assert len({re.sub(r"^\+1|\D", "", t) for t, _ in same}) == 1
+
+
+def test_pii_forms_that_are_left_alone(spark):
+    clean = ["+123", "a + 1234567", "5551234567", "1 123 45 6789", "123 45 6789 0", "x ghp_short", "hotel 1234567", "@x.com and a@b", "page (12) 34", "1 + 2 (3) 4", "a@-.-"]
+    assert [(t, r) for t, r in zip(clean, _replaced(spark, clean), strict=True) if r != (t, 0)] == []
