@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobloom.functions.levels import is_intern, is_junior, level_of, years_phrases
-from jobloom.functions.text import labels_array, normalize_whitespace
+from jobloom.functions.text import labels_array, normalize_whitespace, once
+from jobloom.sources.html import decoded
 
 #: Shorter texts of a container are no description, so that the whole page counts where they name nothing.
 LEAST_DESCRIPTION = 200
@@ -19,16 +20,15 @@ TITLE_MARKS = ["ÚJ", "NEW", "FRISS"]
 TITLE_PREFIXES = ["di[aá]kmunka", "gyakornok", "mel[oó]di[aá]k", "informatika", "programoz[oó]"]
 MOST_COMPANY = 200
 
-_CAPITAL, _SMALL = "A-ZÁÉÍÓÖŐÚÜŰ", "a-záéíóöőúüű"
-_WORD = rf"[{_CAPITAL}][A-Za-z0-9_{_CAPITAL}{_SMALL}.\-]*"
-_NAMES = rf"{_WORD}(?:\s+(?:&|és|{_WORD}))*"
-# The openings of a description that name its company, in order.
-_COMPANY_OPENINGS = [
-    rf"^(?:Nemzetközi\s+)?(?:Partner(?:ünk|cégünk)|Megbízónk),\s+a\s+({_NAMES})[,.]",
-    rf"^A[z]?\s+({_NAMES})\s+[{_SMALL}]",
-    r"^([A-Z][A-Za-z0-9&]{1,24})\s+is\s+(?:a|one of|the)(?![A-Za-z0-9_])",
-    r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9]{1,24})['’]s\s+(?:purpose|corporate|mission|history|team)(?![A-Za-z0-9_])",
-]
+# Words of a description's opening before its company's name, words that join names, and words after one.
+PARTNERS = ["Partnerünk,", "Partnercégünk,", "Megbízónk,"]
+FOREIGN = "Nemzetközi"
+ARTICLES = ["A", "Az"]
+JOINTS = ["&", "és"]
+OWNED = ["purpose", "corporate", "mission", "history", "team"]
+
+_HUNGARIAN = "áéíóöőúüű"
+_NAME_WORD = rf"^[A-Z{_HUNGARIAN.upper()}][A-Za-z0-9_{_HUNGARIAN}{_HUNGARIAN.upper()}.\-]*$"
 
 
 def first_said(*texts: Column) -> Column:
@@ -72,15 +72,68 @@ def student_before_junior(title: Column, body: Column) -> Column:
     return F.when(is_intern(title) | is_junior(title), "diákmunka").otherwise(resolved_experience(title, body))
 
 
+def _after_partner(words: Column) -> Column:
+    """The names after 'our partner, a': up to the last point or comma of a run of them, the comma ending the run."""
+    lead = F.when(words[0] == FOREIGN, 1).otherwise(0)
+    told = F.get(words, lead).isin(*PARTNERS) & (F.get(words, lead + 1) == "a")
+
+    def run(rest: Column) -> Column:
+        named = F.transform(rest, lambda w: w.rlike(_NAME_WORD) | w.isin(*JOINTS))
+        n = F.coalesce(F.nullif(F.array_position(named, False), F.lit(0)), F.size(rest) + 1) - 1
+        last = F.get(rest, n.cast("int"))
+        with_comma = F.when(F.regexp_replace(last, ",.*$", "").rlike(_NAME_WORD) & last.contains(","), F.array(F.regexp_replace(last, ",.*$", ","))).otherwise(F.array().cast("array<string>"))
+        return F.regexp_extract(F.array_join(F.concat(F.slice(rest, F.lit(1), n.cast("int")), with_comma), " "), "(?s)^(.*)[.,]", 1)
+
+    rest = F.slice(words, lead + 3, F.size(words))
+    return F.when(told & F.regexp_replace(F.get(words, lead + 2), ",.*$", "").rlike(_NAME_WORD), once(rest, run))
+
+
+def _after_article(words: Column) -> Column:
+    """The names after a first word 'A' or 'Az', up to the last of them that a word in small letters follows."""
+
+    def run(rest: Column) -> Column:
+        named = F.transform(rest, lambda w: w.rlike(_NAME_WORD) | w.isin(*JOINTS))
+        n = F.coalesce(F.nullif(F.array_position(named, False), F.lit(0)), F.size(rest) + 1).cast("int") - 1
+        followed = F.filter(F.sequence(F.lit(1), n), lambda k: F.get(rest, k).rlike(f"^[a-z{_HUNGARIAN}]"))
+        return F.array_join(F.slice(rest, F.lit(1), F.array_max(followed)), " ")
+
+    return F.when(words[0].isin(*ARTICLES) & F.get(words, F.lit(1)).rlike(_NAME_WORD), once(F.slice(words, F.lit(2), F.size(words)), run))
+
+
+def _word(words: Column, k: Column | int) -> Column:
+    """A word without what stands after its first ASCII letters and digits."""
+    return F.regexp_extract(F.get(words, F.lit(k) if isinstance(k, int) else k), "^[A-Za-z0-9_]*", 0)
+
+
+def _before_is(words: Column) -> Column:
+    """A first word that 'is a', 'is the' or 'is one of' follows."""
+    one_of = (F.get(words, F.lit(2)) == "one") & (_word(words, 3) == "of")
+    return F.when(words[0].rlike("^[A-Z][A-Za-z0-9&]{1,24}$") & (F.get(words, F.lit(1)) == "is") & (_word(words, 2).isin("a", "the") | one_of), words[0])
+
+
+def _owner(words: Column) -> Column:
+    """The first word of which something in OWNED is said to be."""
+    owner = lambda w: F.regexp_extract(w, "(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9]{1,24})['’]s$", 1)
+    owners = F.transform(words, lambda w, k: F.when(w.rlike("['’]s$") & _word(words, k + 1).isin(*OWNED), owner(w)))
+    return F.get(F.filter(owners, lambda x: x != ""), F.lit(0))
+
+
 def company_in_prose(description: Column) -> Column:
-    """The company that the opening of a description names, cut after its legal form; null where none is named."""
-    name = F.coalesce(*[F.nullif(F.regexp_extract(description, p, 1), F.lit("")) for p in _COMPANY_OPENINGS])
-    words = F.split(F.trim(F.regexp_replace(name, r"[\s-]+$", "")), r"\s+")
-    legal = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"\.$", "")).isin(*LEGAL_FORMS))
-    at = F.array_position(legal, True).cast("int")
-    whole = F.array_join(F.when(at > 0, F.slice(words, 1, at)).otherwise(words), " ")
-    whole = F.when((at > 0) & ~whole.endswith("."), F.concat(whole, F.lit("."))).otherwise(whole)
-    return F.substring(whole, 1, MOST_COMPANY)
+    """The company that the opening of a description names, or the first that something is said to be of, cut after its legal form; null if none.
+
+    Entities are read as the characters they stand for.
+    """
+
+    def named(words: Column) -> Column:
+        said = [F.nullif(of(words), F.lit("")) for of in (_after_partner, _after_article, _before_is, _owner)]
+        return once(F.split(F.trim(F.regexp_replace(F.coalesce(*said), r"[\s-]+$", "")), " "), cut)
+
+    def cut(names: Column) -> Column:
+        form = F.array_position(F.transform(names, lambda w: F.lower(F.rtrim(w, F.lit("."))).isin(*LEGAL_FORMS)), True).cast("int")
+        whole = F.array_join(F.when(form > 0, F.slice(names, F.lit(1), form)).otherwise(names), " ")
+        return F.substring(F.when((form > 0) & ~whole.endswith("."), F.concat(whole, F.lit("."))).otherwise(whole), 1, MOST_COMPANY)
+
+    return once(F.split(decoded(description), r"\s+"), named)
 
 
 def title_before_mark(title: Column) -> Column:

@@ -126,3 +126,13 @@ def test_feeds(spark, tmp_path):
     assert [tuple(r) for r in feeds.documents_by_key(spark, str(tmp_path / "doc.json"), "a int").collect()] == [(1, "doc")]
     names = F.create_map(F.lit("hu"), F.lit("név"))
     assert _one(spark, feeds.localized(names, "de"), F.size(feeds.json_ld_postings(F.lit('<script type="application/ld+json">{"@type":"JobPosting"}</script>')))) == ("név", 1)
+
+
+def test_companies_in_openings(spark):
+    said = {
+        "Nemzetközi Partnercégünk, a Duna &amp; Fiai Kft. keres": "Duna & Fiai Kft.", "Partnerünk, a Duna és Tisza Zrt, többek": "Duna és Tisza Zrt.", "Megbízónk, a Kis Duna-Ipari Bt. Pesten, Vácon.": "Kis Duna-Ipari Bt.",
+        "Partnerünk, a duna keres": None, "Az Élő Föld keres": "Élő Föld", "A Duna és partner keres": "Duna és", "A Duna és 3 más": "Duna", "A Duna 3": None, "A duna keres": None, "Acme2 is a firm": "Acme2",
+        "Acme is one of the": "Acme", "Acme is an": None, "We love (Zeta's team) work": "Zeta", "at Zeta’s history.": "Zeta", "Zeta's people and Beta's mission": "Beta", "": None, None: None, "A": None, "Partnerünk,": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r["t"]: r["c"] for r in rows.select("t", extraction.company_in_prose(F.col("t")).alias("c")).collect()} == said
