@@ -6,7 +6,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -22,6 +24,15 @@ _DROPPED = r"(?is)<(script|style|svg|head|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?--
 MOST_CHARS = 120_000
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_BLOCK_TAGS = frozenset(
+    "address article aside blockquote div dl dd dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th ul".split()
+)
+#: Elements that a tag ends where they have no end tag, and those beyond which it does not look.
+_IMPLIED = {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "table"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "option": (frozenset({"option"}), frozenset({"select", "datalist", "optgroup"})), "tr": (frozenset({"tr"}), frozenset({"table"})),
+    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+} | {tag: (frozenset({"p"}), _BLOCK_TAGS - {"p"}) for tag in _BLOCK_TAGS - {"li", "dt", "dd", "td", "th"}}
 # Tags whose text stands apart from what is around it, where texts are mined.
 BLOCKS = ["li", "p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr"]
 # Texts of links that name no posting, without accents.
@@ -125,7 +136,18 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Node("", {}, None)
 
+    def _end_implied(self, tag):
+        """Closes an element that this tag ends without an end tag of its own: an item by the next one, a paragraph by a block."""
+        ended, beyond = _IMPLIED.get(tag, (frozenset(), frozenset()))
+        at = self.at if ended else self.root
+        while at.parent and at.tag not in beyond:
+            if at.tag in ended:
+                self.at = at.parent
+                return
+            at = at.parent
+
     def handle_starttag(self, tag, attrs):
+        self._end_implied(tag)
         node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
@@ -150,43 +172,83 @@ def parsed(html: str | None) -> _Node:
     return tree.root
 
 
-def _fits(node: _Node, simple: str) -> bool:
-    """tag, .class, #id, [attr] and [attr=value] (also *=, $= and ^=), in one simple selector such as a.card[href]."""
-    for part in _SIMPLE.finditer(simple):
-        said, name, how, wanted = part[0], part[1], part[2], part[3] or ""
-        if name:
-            value = node.attrs.get(name)
-            tests = {"=": "__eq__", "*=": "__contains__", "$=": "endswith", "^=": "startswith"}
-            if value is None or how and not getattr(value, tests[how])(wanted):
-                return False
-        elif said[0] == ".":
-            if said[1:] not in node.attrs.get("class", "").split():
-                return False
-        elif said[0] == "#":
-            if node.attrs.get("id") != said[1:]:
-                return False
-        elif node.tag != said.lower():
-            return False
-    return True
+class _Simple(NamedTuple):
+    """One simple selector, and how its node is to lie under that of the one before: ' ' at any depth, '>' right in it."""
 
+    under: str
+    tag: str
+    id: str
+    classes: tuple[str, ...]
+    attributes: tuple[tuple[str, str, str], ...]
 
-def _chains(selector: str) -> list[list[str]]:
-    # commas and spaces in brackets are values
-    return [re.split(r"\s+(?![^\[\]]*\])", one.strip()) for one in re.split(r",(?![^\[\]]*\])", selector)]
-
-
-def _fits_chain(node: _Node, parts: list[str]) -> bool:
-    if not _fits(node, parts[-1]):
+    def fits(self, node: _Node) -> bool:
+        if self.tag and node.tag != self.tag or self.id and node.attrs.get("id") != self.id:
+            return False
+        if self.classes and not set(self.classes) <= set(node.attrs.get("class", "").split()):
+            return False
+        for name, how, wanted in self.attributes:
+            value = node.attrs.get(name)
+            if value is None or how and not getattr(value, _TESTS[how])(wanted):
+                return False
+        return True
+
+
+_TESTS = {"=": "__eq__", "*=": "__contains__", "$=": "endswith", "^=": "startswith"}
+
+
+def _simple(under: str, said: str) -> _Simple:
+    """tag or *, .class, #id, [attr] and [attr=value] (also *=, $= and ^=), in one simple selector such as a.card[href]."""
+    tag, id_, classes, attributes, at = "", "", [], [], 0
+    if said.startswith("*"):
+        said = said[1:] or "[]"
+    for part in _SIMPLE.finditer(said):
+        if part.start() != at or part.start() and part[0][0] not in ".#[":
+            break
+        at = part.end()
+        if part[1]:
+            attributes.append((part[1], part[2] or "", part[3] or ""))
+        elif part[0][0] == ".":
+            classes.append(part[0][1:])
+        elif part[0][0] == "#":
+            id_ = part[0][1:]
+        else:
+            tag = part[0].lower()
+    if said != "[]" and (at != len(said) or not said):
+        raise ValueError(f"not a selector that is known here: {said}")
+    return _Simple(under, tag, id_, tuple(classes), tuple(attributes))
+
+
+@lru_cache(maxsize=1024)
+def _chains(selector: str) -> tuple[tuple[_Simple, ...], ...]:
+    """The selectors between commas, each of simple ones from left to right; ValueError for what they do not hold (+, ~ and :pseudo)."""
+    chains = []
+    # commas, spaces and > in brackets are values
+    for one in re.split(r",(?![^\[\]]*\])", selector):
+        words = re.split(r"\s+(?![^\[\]]*\])", re.sub(r">(?![^\[\]]*\])", " > ", one).strip())
+        unders = [" ", *(">" if a == ">" else " " for a in words[:-1])]
+        if words[0] == ">" or words[-1] == ">" or (">", ">") in zip(words, words[1:], strict=False):
+            raise ValueError(f"not a selector that is known here: {one}")
+        chains.append(tuple(_simple(under, word) for under, word in zip(unders, words, strict=True) if word != ">"))
+    return tuple(chains)
+
+
+def _fits_chain(node: _Node, parts: tuple[_Simple, ...]) -> bool:
+    if not parts[-1].fits(node):
         return False
-    above, k = node.parent, len(parts) - 2
-    while above is not None and k >= 0:
-        k -= _fits(above, parts[k])
+    if len(parts) == 1:
+        return True
+    above = node.parent
+    while above is not None:
+        if _fits_chain(above, parts[:-1]):
+            return True
+        if parts[-1].under == ">":
+            return False
         above = above.parent
-    return k < 0
+    return False
 
 
 def select(root: _Node, selector: str) -> list[_Node]:
-    """Nodes under root that fit one of the selectors between commas, each of simple ones joined by descent; in their order."""
+    """Nodes under root that fit one of the selectors between commas, each of simple ones, right in (>) or anywhere under the one before; in their order."""
     chains = _chains(selector)
     return [node for node in root.walk() if any(_fits_chain(node, parts) for parts in chains)]
 
