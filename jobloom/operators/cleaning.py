@@ -80,11 +80,14 @@ def without_urls(rows: DataFrame, denied: DataFrame, url: str = "url") -> DataFr
     return rows.join(denied.select(url), url, "left_anti")
 
 
-def by_category(rows: DataFrame, category: str, allowed: list[str], known: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of allowed categories, and the categories among the others that nobody knows, with their number of rows."""
-    kept = rows.where(F.col(category).isin(*allowed))
-    unknown = rows.where(~F.col(category).isin(*allowed, *known)).groupBy(category).agg(F.count("*").alias("n"))
-    return kept, unknown
+def by_category(rows: DataFrame, category: str, allowed: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of allowed categories, and the categories among the others that nobody knows, with their number of rows.
+
+    allowed and known have the one column category. A row without a category is of none.
+    """
+    kept = rows.join(allowed.select(category), category, "left_semi")
+    counts = rows.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n"))
+    return kept, counts.join(allowed.select(category).unionByName(known.select(category)), category, "left_anti")
 
 
 def first_title_in_page(rows: DataFrame, page: str, title: str, order: list[str]) -> DataFrame:

@@ -111,9 +111,8 @@ def url_shapes(spark, d):
 
 @_query("""SELECT p_name AS category, count(*) AS n FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size IN (1, 2)) GROUP BY 1""")
 def unknown_categories(spark, d):
-    part = table(spark, d, "part")
-    known = [r["p_name"] for r in part.where("p_size IN (1, 2)").select("p_name").distinct().collect()]
-    kept, unknown = cleaning.by_category(part.withColumnRenamed("p_name", "category"), "category", known[:1], known[1:])
+    part = table(spark, d, "part").withColumnRenamed("p_name", "category")
+    _, unknown = cleaning.by_category(part, "category", part.where("p_size = 1"), part.where("p_size = 2"))
     return unknown
 
 

@@ -83,3 +83,9 @@ def test_presence_and_expiry(spark):
 def test_url_rules(spark):
     assert _one(spark, urls.listing_url(F.lit("no url")), urls.network_url(F.lit("https://x.hu")), urls.on_host(F.lit(None).cast("string"), "x")) == ("no url", "https://x.hu/", False)
     assert re.fullmatch(r"job:s:t", _one(spark, urls.job_key(F.lit("s"), F.lit(""), F.lit("t")))[0])
+
+
+def test_categories_that_nobody_knows(spark):
+    of = lambda *names: spark.createDataFrame([(n,) for n in names], "category string")
+    kept, unknown = cleaning.by_category(of("a", "a", "b", "c", "c", None), "category", of("a", "a"), of("b"))
+    assert [r[0] for r in kept.collect()] == ["a", "a"] and [tuple(r) for r in unknown.collect()] == [("c", 2)]
