@@ -17,42 +17,53 @@ _HOST = "lower(regexp_extract(url, '^(https?://[^/]+)', 1))"
 DICTIONARY = [("java", "Java"), ("spark", "Spark"), ("sql", "SQL")]
 
 
+#: Pages with a part and a customer; both have more than so many rows.
+_NAMES = 150
+_NAMED = f"pages JOIN part ON p_partkey = page_id % {_NAMES} JOIN customer ON c_custkey = page_id % {_NAMES}"
+
+
 def _pages(spark, d, markup: str):
-    """pages with html in place of their own: a text in which # is the page's id."""
-    return table(spark, d, "pages").select("page_id", "url", F.replace(F.lit(markup), F.lit("#"), F.col("page_id").cast("string")).alias("html"))
+    """pages with html in place of their own: a text in which # is the page's id, @ the name of a part and $ that of a customer."""
+    part, customer = table(spark, d, "part").select(F.col("p_partkey").alias("_n"), "p_name"), table(spark, d, "customer").select(F.col("c_custkey").alias("_n"), "c_name")
+    named = table(spark, d, "pages").select("page_id", "url", (F.col("page_id") % _NAMES).alias("_n")).join(part, "_n").join(customer, "_n")
+    html_ = F.lit(markup)
+    for mark, value in (("#", F.col("page_id").cast("string")), ("@", F.col("p_name")), ("$", F.col("c_name"))):
+        html_ = F.replace(html_, F.lit(mark), value)
+    return named.select("page_id", "url", html_.alias("html"))
 
 
-@_query(f"""SELECT page_id, 'Senior Developer ' || page_id AS title, {_HOST} || '/job/' || page_id AS url, 'About it' AS description, 'Kód Kft' AS company, 'Budapest' AS location FROM pages
- UNION ALL SELECT page_id, 'Short text', {_HOST} || '/other', NULL, 'jó cég', NULL FROM pages""")
+@_query(f"""SELECT page_id, p_name || ' Developer ' || page_id AS title, {_HOST} || '/job/' || page_id AS url, 'About ' || p_name AS description, c_name AS company, c_name || ' utca' AS location FROM {_NAMED}
+ UNION ALL SELECT page_id, 'Short text', {_HOST} || '/other', NULL, 'jó cég', NULL FROM {_NAMED}""")
 def link_rules(spark, d):
-    pages = _pages(spark, d, """<body><article><img alt='Kód Kft karrier, állás és munka'><h3>Senior Developer #</h3><p>About <b>it</b></p><span id='x-details-location'>Budapest</span>
+    pages = _pages(spark, d, """<body><article><img alt='$ karrier, állás és munka'><h3>@ Developer #</h3><p>About <b>@</b></p><span id='x-details-location'>$ utca</span>
  <a href='/job/#?utm_source=x'>Részletek</a></article><a href='/logo.png'>Picture</a><a href='mailto:x@y.hu'>Write us</a><div><a href='/other'>Short text</a>
  <a href='/job/#'>The same once more</a><a href='/allasok/jó-cég/1,0,0,0,0,0,0,0,0,0,'>abc</a></div>""")
     return html.link_candidates(pages).select("page_id", "title", "url", "description", "company", "location")
 
 
-@_query(f"""SELECT page_id, t AS title, {_HOST} || p || page_id AS url, t = 'Data Engineer' AS described FROM pages,
- (VALUES ('/a/', 'Data Engineer'), ('/b/', 'Web Engineer'), ('/d/', 'Java fejlesztő'), ('/e/', 'Tester')) v(p, t)""")
+@_query(f"""SELECT page_id, replace(replace(t, '@', p_name), '$', c_name) AS title, {_HOST} || p || page_id AS url, p = '/a/' AS described FROM {_NAMED},
+ (VALUES ('/a/', '@ Engineer'), ('/b/', 'Web $'), ('/d/', '@ fejlesztő'), ('/e/', '@')) v(p, t)""")
 def card_rules(spark, d):
-    pages = _pages(spark, d, """<div data-href='/a/#'><h4>Data Engineer</h4><p>Pipelines</p></div><div onclick="location.href='/b/#'"><strong>Web Engineer</strong></div>
- <ul><li><a href='/c/#'>Megnézem</a></li><li class='job new'><a href='/d/#'>Java fejlesztő</a></li></ul><app-card routerlink='/e/#'><span class='name'>Tester</span></app-card>
+    pages = _pages(spark, d, """<div data-href='/a/#'><h4>@ Engineer</h4><p>Pipelines</p></div><div onclick="location.href='/b/#'"><strong>Web $</strong></div>
+ <ul><li><a href='/c/#'>Megnézem</a></li><li class='job new'><a href='/d/#'>@ fejlesztő</a></li></ul><app-card routerlink='/e/#'><span class='name'>@</span></app-card>
  <div data-href='/f/#'><h4>abc</h4></div>""")
     return html.card_candidates(pages).select("page_id", "title", "url", F.col("description").isNotNull().alias("described"))
 
 
-@_query("""SELECT page_id, 'fejleszto' AS title, 'ceg' AS company, 'budapest' AS location FROM pages UNION ALL SELECT page_id, 'other', '', 'other here' FROM pages""")
+@_query(f"""SELECT page_id, p_name || ' fejleszto' AS title, lower(c_name) AS company, p_name || ' utca' AS location FROM {_NAMED}
+ UNION ALL SELECT page_id, 'other', '', 'other here' FROM pages""")
 def search_card_rows(spark, d):
     pages = _pages(spark, d, """<ul class='jobs-search__results-list'><li><a class='base-card__full-link' href='https://hu.linkedin.com/jobs/view/dev-#'></a>
- <h3 class='base-search-card__title'> Fejlesztő </h3><h4 class='base-search-card__subtitle'>Cég</h4><span class='job-search-card__location'>Budapest</span></li>
- <li><a class='base-card__full-link' href='https://hu.linkedin.com/jobs/view/dev-#9?refId=1'></a><h3 class='base-search-card__title'>Fejlesztő</h3></li>
+ <h3 class='base-search-card__title'> @ Fejlesztő </h3><h4 class='base-search-card__subtitle'>$</h4><span class='job-search-card__location'>@ utca</span></li>
+ <li><a class='base-card__full-link' href='https://hu.linkedin.com/jobs/view/dev-#9?refId=1'></a><h3 class='base-search-card__title'>@ Fejlesztő</h3></li>
  <li><a class='base-card__full-link' href='/jobs/view/#'></a><h3 class='base-search-card__title'>Other</h3> here</li><li><h3 class='base-search-card__title'>None</h3></li></ul>
  <li><h3 class='base-search-card__title'>Outside</h3><a class='base-card__full-link' href='/x'></a></li>""")
     return html.search_cards(pages).select("page_id", "title", "company", "location")
 
 
-@_query(f"SELECT page_id, 'Engineer ' || page_id AS title, {_HOST} || '/view?id=' || page_id AS url, 'Cég' AS company FROM pages")
+@_query(f"SELECT page_id, p_name || ' Engineer ' || page_id AS title, {_HOST} || '/view?id=' || page_id AS url, c_name AS company FROM {_NAMED}")
 def heading_rows(spark, d):
-    pages = _pages(spark, d, """<main><section><div class='JobCard_company__x1'>Cég</div><div><h2>Engineer #</h2><p><a href='/view?id=#'>open</a></p></div></section></main>""")
+    pages = _pages(spark, d, """<main><section><div class='JobCard_company__x1'>$</div><div><h2>@ Engineer #</h2><p><a href='/view?id=#'>open</a></p></div></section></main>""")
     return html.heading_candidates(pages, "a[href*='/view?id=']", "[class*=JobCard_company]").select("page_id", "title", "url", "company")
 
 
@@ -87,24 +98,24 @@ def json_fragments(spark, d):
     return payloads.fragment_rows(pages, "payload")
 
 
-@_query("SELECT page_id, 'v\"' || page_id AS version, 'Cím' AS title FROM pages")
+@_query(f"SELECT page_id, 'v\"' || page_id AS version, c_name || ' címe' AS title FROM {_NAMED}")
 def page_props(spark, d):
-    pages = _pages(spark, d, """<div id="app" title="a > b" data-page="{&quot;version&quot;:&quot;v\\&quot;#&quot;,&quot;props&quot;:{&quot;positions&quot;:[{&quot;title&quot;:&quot;Cím&quot;}]}}"></div>""")
+    pages = _pages(spark, d, """<div id="app" title="a > b" data-page="{&quot;version&quot;:&quot;v\\&quot;#&quot;,&quot;props&quot;:{&quot;positions&quot;:[{&quot;title&quot;:&quot;$ címe&quot;}]}}"></div>""")
     return pages.select("page_id", payloads.page_props(F.col("html"), "version").alias("version"), payloads.page_props(F.col("html"), "props.positions[0].title").alias("title"))
 
 
-@_query("""SELECT page_id, 'Java ' || page_id AS title, 'Jelentkezési határidő: ma 3 év spark' AS section FROM pages UNION ALL
- SELECT page_id, 'Tester', 'Jelentkezési határidő: holnap x' FROM pages""")
+@_query(f"""SELECT page_id, p_name || ' ' || page_id AS title, 'Jelentkezési határidő: ma 3 év ' || c_name AS section FROM {_NAMED} UNION ALL
+ SELECT page_id, 'Tester', 'Jelentkezési határidő: holnap ' || p_name FROM {_NAMED}""")
 def headed_postings(spark, d):
-    pages = _pages(spark, d, """<h4>Java #</h4><h5>Jelentkezési <b>határidő</b>: ma</h5><p>3 év</p><ul><li>spark</li></ul><h4>No deadline</h4><h5>Tester</h5><h4>Jelentkezési határidő: holnap</h4>x
- <h4>Java #</h4><h5>Jelentkezési határidő: ma</h5><h4>Closed</h4><h5>Jelentkezési határidő: a keresés szünetel</h5>""")
+    pages = _pages(spark, d, """<h4>@ #</h4><h5>Jelentkezési <b>határidő</b>: ma</h5><p>3 év</p><ul><li>$</li></ul><h4>No deadline</h4><h5>Tester</h5><h4>Jelentkezési határidő: holnap</h4>@
+ <h4>@ #</h4><h5>Jelentkezési határidő: ma</h5><h4>Closed</h4><h5>Jelentkezési határidő: a keresés szünetel</h5>""")
     return payloads.headed_sections(pages).select("page_id", "title", "section")
 
 
-@_query("SELECT page_id, 'Budapest | HU-BU | 1138 | Iroda ' || page_id AS stated, 'XI. kerület' AS labelled FROM pages")
+@_query(f"SELECT page_id, c_name || ' | HU-BU | 1138 | Iroda ' || page_id AS stated, p_name || ' kerület' AS labelled FROM {_NAMED}")
 def posting_places(spark, d):
-    pages = _pages(spark, d, """<script type='application/ld+json'>[{"jobLocation":{"name":"Iroda #","address":{"addressLocality":"Budapest","addressRegion":"HU-BU","postalCode":"1138"}}}]</script>
- <script type="application/ld+json">broken</script><h5>Munkavégzés helye</h5> <div>XI. <b>kerület</b></div><p>y</p>""")
+    pages = _pages(spark, d, """<script type='application/ld+json'>[{"jobLocation":{"name":"Iroda #","address":{"addressLocality":"$","addressRegion":"HU-BU","postalCode":"1138"}}}]</script>
+ <script type="application/ld+json">broken</script><h5>Munkavégzés helye</h5> <div>@ <b>kerület</b></div><p>y</p>""")
     return pages.select("page_id", payloads.json_ld_location(F.col("html")).alias("stated"), payloads.labelled_value(F.col("html"), "munkavegzes helye").alias("labelled"))
 
 
