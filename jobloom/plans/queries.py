@@ -270,7 +270,10 @@ def html_recipe(spark, d):
     return html.run_recipe(table(spark, d, "pages"), {"card": "nav li", "title": "a", "url": "a@href"}).select("page_id", "seq", "title", "url")
 
 
-@_query()
+@_query("""SELECT page_id, min(seq) AS seq, arg_min(t, seq) AS title, url, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS company, CAST(NULL AS VARCHAR) AS location FROM
+ (SELECT page_id, t, host || h AS url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq FROM (SELECT page_id, host, unnest(regexp_extract_all(nav, '<a href="([^"]*)">', 1)) AS h,
+ unnest(regexp_extract_all(nav, '<a href="[^"]*">([^<]*)</a>', 1)) AS t, unnest(range(len(regexp_extract_all(nav, '<a href="')))) AS i FROM
+ (SELECT page_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS host, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)) WHERE length(t) >= 4) GROUP BY page_id, url""")
 def html_link_candidates(spark, d):
     return html.link_candidates(table(spark, d, "pages"))
 
