@@ -29,6 +29,17 @@ def purge(table: DataFrame, column: str, word: str, least: int = 3) -> DataFrame
     return table.where(~F.coalesce(F.lower(column).contains(word.lower()), F.lit(False)))
 
 
+def purge_listed(table: DataFrame, urls: DataFrame, source: str, before: str) -> DataFrame:
+    """table without the listed urls of sources that begin with `source`, as far as they were first seen before a time.
+
+    So a row that comes back later stays. Defined cases: a row without a source or time stays; urls may repeat.
+    """
+    named = urls.select("url").distinct().withColumn("_listed", F.lit(True))
+    joined = table.join(named, "url", "left")
+    gone = F.col("_listed") & F.col("source").startswith(source) & (F.col("first_seen") < F.lit(before).cast("timestamp"))
+    return joined.where(~F.coalesce(gone, F.lit(False))).select(table.columns)
+
+
 def owned(table: DataFrame, owner: str, changes: DataFrame, key: str) -> DataFrame:
     """table without the rows that changes (key, owner) name with their right owner."""
     return table.join(changes.select(key, owner), [key, owner], "left_anti").select(table.columns)

@@ -132,6 +132,16 @@ def category_histogram(titles: DataFrame, category: Column, categories: list[str
     return seed.join(found, "category", "full").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def ranked_histogram(titles: DataFrame, category: Column, categories: list[str]) -> DataFrame:
+    """category, n and place (from 1) of the categories that have titles, the largest first, ties in the order of the list.
+
+    Categories that are not in the list come after those that are, by name. The places are of one row a category.
+    """
+    found = titles.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, categories)), F.col("category")), F.lit(0)), F.lit(len(categories) + 1))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), at, "category")))
+
+
 def source_flags(rows: DataFrame, source: str, ok: str) -> DataFrame:
     """For each source its number of rows and whether all of them went well."""
     return rows.groupBy(source).agg(F.count("*").alias("n"), F.bool_and(ok).alias("complete"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobloom.functions import documents, text, urls
-from jobloom.operators import links, listing, paging, rollups
+from jobloom.functions import documents, levels, text, urls
+from jobloom.operators import links, listing, paging, records, rollups
 from jobloom.plans import snapshots
 from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources import landed
@@ -190,3 +190,20 @@ def resolved_links(spark, d):
     link = link.when(n % 8 == 4, F.concat(F.lit("/a/%2E%2e/../"), item, F.lit("/z/.."))).when(n % 8 == 5, "mailto:a@b.example").when(n % 8 == 6, "").otherwise("/x")
     dotted = F.concat(F.lit("https://shop.example:443/a/./../b/"), n, F.when(n % 2 == 0, "/c/..?q=..&utm_source=x").otherwise("#x"))
     return table(spark, d, "pages").select("page_id", urls.resolved_url(base, link).alias("resolved"), urls.canonical_url(dotted).alias("canonical"))
+
+
+_KINDS = ["DevOps", "Hardware", "Mobil", "Data / AI", "Egyéb"]
+
+
+@_query("""SELECT category, n, CAST(row_number() OVER (ORDER BY n DESC, list_position(['DevOps', 'Hardware', 'Mobil', 'Data / AI', 'Egyéb'], category)) AS INTEGER) AS place FROM
+ (SELECT CASE WHEN contains(p_name, 'small') THEN 'DevOps' WHEN regexp_matches(p_name, '(^|[^a-z0-9])(bolt|blue)([^a-z0-9]|$)') THEN 'Hardware' ELSE 'Egyéb' END category, count(*) n
+ FROM part GROUP BY 1)""")
+def category_ranking(spark, d):
+    category = levels.category_of(F.col("p_name"), [("DevOps", ["small"]), ("Hardware", ["bolt", "blue"])])
+    return rollups.ranked_histogram(table(spark, d, "part"), category, _KINDS)
+
+
+@_query(f"""WITH {_POSTINGS} SELECT id FROM postings WHERE NOT (source IN ('1-URGENT') AND id % 3 = 0 AND first_seen < TIMESTAMP '2001-07-02')""")
+def purge_by_list(spark, d):
+    rows = postings(spark, d)
+    return records.purge_listed(rows, rows.where("id % 3 = 0").select("url"), "1-", "2001-07-02").select("id")

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from jobloom.functions import gates, levels, text, urls
-from jobloom.operators import cleaning, listing, rollups
+from jobloom.operators import cleaning, listing, records, rollups
 from jobloom.sources import feeds
 
 
@@ -89,3 +89,17 @@ def test_categories_that_nobody_knows(spark):
     of = lambda *names: spark.createDataFrame([(n,) for n in names], "category string")
     kept, unknown = cleaning.by_category(of("a", "a", "b", "c", "c", None), "category", of("a", "a"), of("b"))
     assert [r[0] for r in kept.collect()] == ["a", "a"] and [tuple(r) for r in unknown.collect()] == [("c", 2)]
+
+
+def test_ranking_of_categories(spark):
+    rows = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("z",), ("y",)], "c string")
+    got = rollups.ranked_histogram(rows, F.col("c"), ["none", "b", "a"]).collect()
+    assert sorted((r["place"], r["category"], r["n"]) for r in got) == [(1, "b", 2), (2, "a", 2), (3, "y", 1), (4, "z", 1)]
+    assert rollups.ranked_histogram(rows.limit(0), F.col("c"), ["a"]).count() == 0
+
+
+def test_purges_by_list(spark):
+    rows = spark.createDataFrame([(1, "p1", "u", 1), (2, "p2", "u", 9), (3, "q", "u", 1), (4, "p", "v", 1), (5, None, "u", 1), (6, "p", "u", None), (7, "p", None, 1)], "id int, source string, url string, first_seen long")
+    rows = rows.withColumn("first_seen", F.timestamp_seconds("first_seen"))
+    urls = spark.createDataFrame([("u",), ("u",), (None,)], "url string")
+    assert sorted(r["id"] for r in records.purge_listed(rows, urls, "p", "1970-01-01 00:00:05").collect()) == [2, 3, 4, 5, 6, 7]
