@@ -3,13 +3,17 @@
 With one more coordinate, sqrt(M^2 - |x|^2), all vectors get the largest norm M, and the largest inner
 product is the smallest distance. A table hashes a vector to a cell: PROJECTIONS Gaussian projections,
 each cut into CELLS_A_SIDE buckets of WIDTH. Given a query's projections, those of a neighbour at a known
-cosine are normal, so every cell's chance to hold it is known; a query visits cells in that order,
-own bucket and perturbed ones alike, until the chances add up to COVERAGE. The cosine is measured, on a
-bounded sample of the queries. Candidates of all tables are ranked by their exact inner product.
+cosine are normal, so every cell's chance to hold it is known; a query visits cells, own bucket and
+perturbed ones alike, by their chance for each vector they hold, until the chances add up to a coverage.
+Cosine and coverage are measured on a bounded sample of the queries, whose true neighbours are sought in
+all vectors: the coverage is the least with which LEAST_RECALL of them are met in any table. What a
+query has met in one table it passes over in the next. Candidates of all tables are ranked by their
+exact inner product.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -27,11 +31,11 @@ TABLES = 2
 WIDTH = 1.0
 CELLS_A_SIDE = 9
 #: More projections, and so smaller cells, for more vectors; cells are CELLS_A_SIDE ** MOST_PROJECTIONS a table at most.
-CELL_ROWS = 2048
+CELL_ROWS = 128
 MOST_PROJECTIONS = 5
-#: Chance of each table to hold a neighbour at the measured cosine in the cells that are visited.
-COVERAGE = 0.85
-#: Queries that measure the cosine, and the quantile of their farthest neighbours' cosines that is taken.
+#: Share of the sample's true neighbours that lie in visited cells of any table.
+LEAST_RECALL = 0.95
+#: Queries that measure cosine and coverage, and the quantile of their farthest neighbours' cosines that is taken.
 SAMPLE_QUERIES = 64
 QUANTILE = 0.1
 #: Vectors that one unit holds, and the queries that pass by them in one task.
@@ -41,6 +45,7 @@ SEED = 20240617
 _STEP = 256
 #: Cells of all queries of a step.
 _STEP_CELLS = 1 << 20
+_log = logging.getLogger(__name__)
 
 
 def projections(n: int) -> int:
@@ -51,7 +56,7 @@ class Hashing:
     """Cells of vectors and queries; the same on the driver and in all tasks."""
 
     def __init__(self, dim: int, most_norm: float, n: int, cosine: float = 0.0):
-        self.dim, self.norm, self.count, self.cosine = dim, most_norm, projections(n), cosine
+        self.dim, self.norm, self.count, self.cosine, self.coverage = dim, most_norm, projections(n), cosine, 1.0
         rng = np.random.Generator(np.random.PCG64(SEED))
         self.axes = rng.standard_normal((TABLES, dim + 1, self.count))
         self.shift = rng.random((TABLES, self.count)) * WIDTH
@@ -77,33 +82,46 @@ class Hashing:
         below = (1 + np.vectorize(erf)(z)) / 2
         return np.diff(np.concatenate([np.zeros((*below.shape[:2], 1)), below, np.ones((*below.shape[:2], 1))], axis=2))
 
-    def chances(self, queries: np.ndarray, table_: int, cells: np.ndarray | None = None) -> np.ndarray:
-        """(n, cells) chance of each cell, or of the given ones, to hold a neighbour of each query at the cosine."""
+    def ratios(self, queries: np.ndarray, table_: int, cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n, cells) chance of each cell to hold a neighbour of each query at the cosine, and that for each vector it holds."""
         side = self._sides(queries, table_)
-        if cells is None:
-            out = side[:, 0]
-            for k in range(1, self.count):  # the first projection is the lowest digit of a cell's number
-                out = (side[:, k][:, :, None] * out[:, None, :]).reshape(len(queries), -1)
-            return out
         digits = cells[None, :] // self.places[:, None] % CELLS_A_SIDE
         out = side[:, 0][:, digits[0]]
-        for k in range(1, self.count):
+        for k in range(1, self.count):  # the first projection is the lowest digit of a cell's number
             out = side[:, k][:, digits[k]] * out
-        return out
+        return out, out / counts
 
 
-def visited(hashing: Hashing, queries: np.ndarray, table_: int, occupied: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, cells) whether each query visits each cell: likeliest first, until COVERAGE and `least` vectors are met; and the least chance it visits."""
-    chances = hashing.chances(queries, table_)
-    order = np.argsort(-chances, axis=1, kind="stable")
-    sorted_ = np.take_along_axis(chances, order, axis=1)
-    chance = np.cumsum(sorted_, axis=1)
-    seen = np.cumsum(occupied[order], axis=1)
-    before = np.column_stack([np.zeros(len(queries)), chance[:, :-1]])
-    before_seen = np.column_stack([np.zeros(len(queries)), seen[:, :-1]])
-    visits = (before < COVERAGE) | (before_seen < least)
-    last = sorted_[np.arange(len(queries)), visits.sum(axis=1) - 1]
-    return chances >= last[:, None], last
+def _before(ratios: np.ndarray, chances: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, cells) order of each query's visits, share of all cells' chances before each visit, and vectors before it."""
+    order = np.argsort(-ratios, axis=1, kind="stable")
+    sums = np.cumsum(np.take_along_axis(chances, order, axis=1), axis=1)
+    chance = sums / np.maximum(sums[:, -1:], 1e-300)
+    seen = np.cumsum(counts[order], axis=1)
+    none = np.zeros((len(ratios), 1))
+    return order, np.column_stack([none, chance[:, :-1]]), np.column_stack([none, seen[:, :-1]])
+
+
+def visited(hashing: Hashing, queries: np.ndarray, table_: int, cells: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, cells) whether each query visits each occupied cell: best first, until the coverage and `least` vectors are met; and the least ratio it visits."""
+    chances, ratios = hashing.ratios(queries, table_, cells, counts)
+    order, before, before_seen = _before(ratios, chances, counts)
+    visits = (before < hashing.coverage) | (before_seen < least)
+    last = np.take_along_axis(ratios, order, axis=1)[np.arange(len(queries)), visits.sum(axis=1) - 1]
+    return ratios >= last[:, None], last
+
+
+def measured_coverage(hashing: Hashing, queries: np.ndarray, of: np.ndarray, neighbours: np.ndarray, occupied: np.ndarray) -> float:
+    """The least coverage with which LEAST_RECALL of the neighbours, of queries `of` and in cells (n, TABLES), are met."""
+    first = np.ones(len(of))
+    for t in range(TABLES):
+        some = np.flatnonzero(occupied[t])
+        chances, ratios = hashing.ratios(queries, t, some, occupied[t][some])
+        order, before, _ = _before(ratios, chances, occupied[t][some])
+        by_cell = np.empty_like(before)
+        np.put_along_axis(by_cell, order, before, axis=1)
+        first = np.minimum(first, by_cell[of, np.searchsorted(some, neighbours[:, t])])
+    return float(np.quantile(first, LEAST_RECALL, method="higher")) + 1e-9 if len(of) else 1.0
 
 
 def _with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
@@ -115,17 +133,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy().astype(np.float64).reshape(len(values), -1)
 
 
-def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np.ndarray | None, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, scores) of the k best vectors of each query, ties to the smaller id; exact scores."""
-    rough = queries @ vectors.T
-    if allowed is not None:
-        rough[~allowed] = -np.inf
+def _longs(column: pa.Array) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy().reshape(len(values), -1)
+
+
+def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, rows, scores) of the k best allowed vectors of each query, ties to the smaller id; exact scores."""
+    met = np.flatnonzero(allowed.any(axis=0))
+    rough = queries @ vectors[met].T
     for q in range(len(queries)):
-        row = rough[q]
-        rows = np.flatnonzero(row > -np.inf)
-        if len(rows) > k:
+        here = np.flatnonzero(allowed[q, met])
+        row = rough[q, here]
+        if len(row) > k:
             least = np.partition(row, len(row) - k)[len(row) - k]
-            rows = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
+            here = here[row >= least - 1e-9 * max(1.0, abs(least))]
+        rows = met[here]
         exact = (vectors[rows] * queries[q]).sum(axis=1)
         order = np.lexsort((ids[rows], -exact))[:k]
         yield q, rows[order], exact[order]
@@ -134,24 +157,30 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np
 class _Unit:
     """The vectors of one unit, by table."""
 
-    def __init__(self, rows: pa.Table, hashing: Hashing):
-        self.hashing, self.ids = hashing, rows["vec_ids"].to_pylist()
-        tables, cells, vectors = rows["table"].to_numpy(), rows["cell"].to_numpy(), _matrix(rows["embedding"])
+    def __init__(self, rows: pa.Table, hashing: Hashing, occupied: np.ndarray):
+        self.hashing, self.occupied, self.ids = hashing, occupied, rows["vec_ids"].to_pylist()
+        tables, cells, vectors = rows["table"].to_numpy(), _longs(rows["cells"]), _matrix(rows["embedding"])
         smallest = np.array([x[0] for x in self.ids])
         self.parts = []
         for t in np.unique(tables).tolist():
             at = np.flatnonzero(tables == t)
-            some, place = np.unique(cells[at], return_inverse=True)
-            self.parts.append((t, at, some, place, vectors[at], smallest[at]))
+            self.parts.append((t, at, [np.unique(cells[at, s], return_inverse=True) for s in range(t + 1)], vectors[at], smallest[at]))
+
+    def _at_least(self, asked: np.ndarray, t: int, cells: np.ndarray, place: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """(queries, vectors) whether the vector's cell of table t has at least this ratio."""
+        _, ratios = self.hashing.ratios(asked, t, cells, self.occupied[t][cells])
+        return (ratios >= least[:, None])[:, place]
 
     def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        """RESULT_SCHEMA rows: the k nearest of the cells that each query visits, by table."""
+        """RESULT_SCHEMA rows: the k nearest of the cells that each query visits and has not met in an earlier table, by table."""
         asked, query_ids = _matrix(queries.column("embedding")), queries.column("vec_id").to_pylist()
         least = _matrix(queries.column("least"))
         out: list[tuple[int, int, float]] = []
-        for t, at, cells, place, vectors, smallest in self.parts:
-            # the same cells as on the way here, but for rounding
-            allowed = (self.hashing.chances(asked, t, cells) >= least[:, t][:, None] * (1 - 1e-9))[:, place]
+        for t, at, cells, vectors, smallest in self.parts:
+            # the same cells as on the way here, but for rounding: what is close to the last visit is scored again
+            allowed = self._at_least(asked, t, *cells[t], least[:, t] * (1 - 1e-9))
+            for s in range(t):
+                allowed &= ~self._at_least(asked, s, *cells[s], least[:, s] * (1 + 1e-9))
             for q, best, scores in _best(asked, vectors, smallest, allowed, k + 1):
                 own = query_ids[q]
                 pairs = [(-s, x) for r, s in zip(at[best].tolist(), scores.tolist(), strict=True) for x in self.ids[r] if x != own]
@@ -200,22 +229,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     n, n_queries = entries.count(), queries.count()
     if not n_queries:
         return empty
-    cosine = _farthest_cosine(entries, queries, norm, k)
-    hashing = Hashing(dim, norm, n, cosine)
-    n_cells = CELLS_A_SIDE**hashing.count
+    hashing = Hashing(dim, norm, n)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, cells in enumerate(hashing.cells(_matrix(batch.column("embedding")))):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(cells), t), pa.int32()), pa.array(cells, pa.int64())], index_schema.names)
+            cells = hashing.cells(_matrix(batch.column("embedding")))
+            both = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * TABLES, pa.int32()), pa.array(cells.T.reshape(-1), pa.int64()))
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays([*batch.columns, both, pa.array(np.full(len(batch), t), pa.int32()), pa.array(cells[t], pa.int64())], index_schema.names)
 
-    index_schema = _with(entries, ("table", T.IntegerType()), ("cell", T.LongType()))
+    index_schema = _with(entries, ("cells", T.ArrayType(T.LongType())), ("table", T.IntegerType()), ("cell", T.LongType()))
     index = written(entries.mapInArrow(hashed, index_schema), "vector-index")
-    # one row for each occupied cell: TABLES * n_cells at most
-    occupied = np.zeros((TABLES, n_cells), np.int64)
+    # one row for each occupied cell: TABLES * CELLS_A_SIDE ** MOST_PROJECTIONS at most
+    occupied = np.zeros((TABLES, CELLS_A_SIDE**hashing.count), np.int64)
     for r in index.groupBy("table", "cell").count().collect():
         occupied[r["table"], r["cell"]] = r["count"]
     starts = np.cumsum(occupied).reshape(occupied.shape) - occupied
+    _measure(hashing, index.where("table = 0"), queries, occupied, k)
 
     def unit_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +260,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     n_units = -(-int(occupied.sum()) // UNIT_VECTORS)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, min(_STEP, _STEP_CELLS // n_cells))
+        step = max(1, min(_STEP, _STEP_CELLS // int((occupied > 0).sum(axis=1).max())))
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
@@ -239,8 +269,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
                 for t in range(TABLES):
                     some = np.flatnonzero(occupied[t])
                     first, last = starts[t][some] // UNIT_VECTORS, (starts[t][some] + occupied[t][some] - 1) // UNIT_VECTORS
-                    visits, least[:, t] = visited(hashing, _matrix(batch.column("embedding")), t, occupied[t], 2 * k + 1)
-                    q, c = np.nonzero(visits[:, some])
+                    visits, least[:, t] = visited(hashing, _matrix(batch.column("embedding")), t, some, occupied[t][some], 2 * k + 1)
+                    q, c = np.nonzero(visits)
                     np.add.at(wanted, (q, first[c]), 1)
                     np.add.at(wanted, (q, last[c] + 1), -1)
                 q, u = np.nonzero(np.cumsum(wanted, axis=1)[:, :-1])
@@ -254,10 +284,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     asked = asked.select("unit", F.ceil(F.col("count") / UNIT_QUERIES).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     left = dealt.join(F.broadcast(asked), "unit", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("unit", "block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("vec_id"), "embedding", "vec_ids", "table", "cell", F.lit(None).cast("array<double>").alias("least"))
+    left = left.select("unit", "block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("vec_id"), "embedding", "vec_ids", "table", "cells", F.lit(None).cast("array<double>").alias("least"))
     right = probing.join(F.broadcast(asked), "unit", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    nothing = [F.lit(None).cast(x) for x in ("array<long>", "int", "long")]
-    right = right.select("unit", "block", F.lit(1).alias("side"), "vec_id", "embedding", *[c.alias(x) for c, x in zip(nothing, ("vec_ids", "table", "cell"), strict=True)], "least")
+    nothing = [F.lit(None).cast(x) for x in ("array<long>", "int", "array<long>")]
+    right = right.select("unit", "block", F.lit(1).alias("side"), "vec_id", "embedding", *[c.alias(x) for c, x in zip(nothing, ("vec_ids", "table", "cells"), strict=True)], "least")
     sides = left.unionByName(right).repartition("unit", "block").sortWithinPartitions("unit", "block", "side")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +307,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
                     held.append(part)
                     continue
                 if held:
-                    unit, held = _Unit(pa.Table.from_batches(held), hashing), []
+                    unit, held = _Unit(pa.Table.from_batches(held), hashing, occupied), []
                 if unit is not None:
                     for at in range(0, len(part), _STEP):
                         yield unit.nearest(part.slice(at, _STEP), k)
@@ -292,24 +322,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _farthest_cosine(entries: DataFrame, queries: DataFrame, norm: float, k: int) -> float:
-    """A low quantile of the cosine to the k-th neighbour, over SAMPLE_QUERIES queries and all vectors."""
+def _measure(hashing: Hashing, entries: DataFrame, queries: DataFrame, occupied: np.ndarray, k: int) -> None:
+    """Sets cosine and coverage of the hashing: by the true k neighbours, among all entries, of SAMPLE_QUERIES queries."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_QUERIES).collect()
-    asked = np.array([r["embedding"] for r in sample], np.float64)
+    asked, asked_ids = np.array([r["embedding"] for r in sample], np.float64), np.array([r["vec_id"] for r in sample])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.full((len(asked), 0), -np.inf)
+        top, at = np.full((len(asked), 0), -np.inf), np.zeros((len(asked), 0, TABLES), np.int64)
         for batch in batches:
-            top = np.sort(np.column_stack([top, asked @ _matrix(batch.column("embedding")).T]), axis=1)[:, -(k + 1) :]
-        q, _ = np.indices(top.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(q.reshape(-1), pa.int64()), pa.array(top.reshape(-1), pa.float64())], ["q", "score"])
-
-    # each task sends its k + 1 best of each sampled query
-    tops = entries.mapInArrow(best, "q long, score double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    kept = tops.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("q").agg(F.min("score").alias("score")).collect()
-    cosines = [r["score"] / (norm * float(np.linalg.norm(asked[r["q"]]))) for r in kept]
-    return float(np.clip(np.quantile(cosines, QUANTILE), 0.0, 0.999)) if cosines else 0.0
+            ids = batch.column("vec_ids")
+            firsts = ids.flatten().to_numpy()[np.cumsum(ids.value_lengths().to_numpy()) - ids.value_lengths().to_numpy()]
+            scores = asked @ _matrix(batch.column("embedding")).T
+            scores[(asked_ids[:, None] == firsts) & (ids.value_lengths().to_numpy() == 1)] = -np.inf
+            cells = np.broadcast_to(_longs(batch.column("cells")), (len(asked), len(batch), TABLES))
+            top, at = np.column_stack([top, scores]), np.concatenate([at, cells], axis=1)
+            order = np.argsort(-top, axis=1, kind="stable")[:, :k]
+            top, at = np.take_along_axis(top, order, axis=1), np.take_along_axis(at, order[:, :, None], axis=1)
+        q, r = np.nonzero(top > -np.inf)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * TABLES, pa.int32()), pa.array(at[q, r].reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(top[q, r], pa.float64()), lists], ["q", "score", "cells"])
+
+    # each task sends its k best of each sampled query
+    tops = entries.select("embedding", "vec_ids", "cells").mapInArrow(best, "q long, score double, cells array<long>")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cells"))
+    kept = tops.withColumn("rank", rank).where(F.col("rank") <= k).collect()
+    of = np.array([r["q"] for r in kept], np.int64)
+    farthest = np.full(len(asked), np.inf)
+    np.minimum.at(farthest, of, np.array([r["score"] for r in kept], np.float64))
+    cosines = (farthest / (hashing.norm * np.linalg.norm(asked, axis=1)))[np.isfinite(farthest)]
+    hashing.cosine = float(np.clip(np.quantile(cosines, QUANTILE), 0.0, 0.999)) if len(cosines) else 0.0
+    cells = np.array([r["cells"] for r in kept], np.int64).reshape(-1, TABLES)
+    hashing.coverage = measured_coverage(hashing, asked, of, cells, occupied)
+    _log.info("nearest: %d projections, cosine %.3f, coverage %.3f", hashing.count, hashing.cosine, hashing.coverage)
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,6 +281,56 @@ def test_near_dedup_of_very_long_texts_and_repeated_rows(spark, monkeypatch):
     assert got == {(1, 59_996, 1, True): 1, (1, 59_996, 1, False): 2, (2, 59_997, 1, False): 1, (3, 2, 3, True): 1, (4, 2, 3, False): 1, (7, 1, 7, True): 1}
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_share_of_vectors_that_are_scored(clustered):
+    """With several projections: recall of all queries by a coverage of 64 of them, with fewer vectors than all of them."""
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((20_000, 32))
+    if clustered:
+        vectors = rng.standard_normal((200, 32))[rng.integers(0, 200, 20_000)] + 0.3 * vectors
+    asked = np.arange(0, 20_000, 100)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    norm = np.linalg.norm(vectors, axis=1).max()
+    farthest = np.take_along_axis(scores, best[:, -1:], axis=1)[:, 0] / (norm * np.linalg.norm(vectors[asked], axis=1))
+    hashing = neighbours.Hashing(32, norm, len(vectors), float(np.quantile(farthest[:64], neighbours.QUANTILE)))
+    cells = hashing.cells(vectors)
+    occupied = np.stack([np.bincount(c, minlength=9**hashing.count) for c in cells])
+    hashing.coverage = neighbours.measured_coverage(hashing, vectors[asked[:64]], np.repeat(np.arange(64), 20), cells[:, best[:64].reshape(-1)].T, occupied)
+    met = np.zeros(scores.shape, bool)
+    for t in range(neighbours.TABLES):
+        some = np.flatnonzero(occupied[t])
+        visits, _ = neighbours.visited(hashing, vectors[asked], t, some, occupied[t][some], 41)
+        met |= visits[:, np.searchsorted(some, cells[t])]
+    found = np.take_along_axis(met, best, axis=1)
+    assert hashing.count == 4 and found[:64].mean() >= neighbours.LEAST_RECALL and found.mean() >= 0.9
+    assert met.mean() < (0.5 if clustered else 0.9), (met.mean(), hashing.cosine)
+
+
+def test_vectors_met_in_one_table_are_passed_over_in_the_next(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 32)
+    monkeypatch.setattr(neighbours, "LEAST_RECALL", 1.0)
+    scored = spark.sparkContext.accumulator(0)
+    best = neighbours._best
+
+    def counting(queries, vectors, ids, allowed, k):
+        scored.add(int(allowed.sum()))
+        return best(queries, vectors, ids, allowed, k)
+
+    monkeypatch.setattr(neighbours, "_best", counting)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((600, 8))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in neighbours.nearest(df, df.where("vec_id % 10 = 0"), 5).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    for q in range(0, 600, 10):
+        scores = vectors @ vectors[q]
+        assert [got[q][k] for k in range(1, 6)] == [j for j in np.argsort(-scores, kind="stable").tolist() if j != q][:5]
+    assert scored.value <= 60 * 600
+
+
 def test_nearest_in_small_units(spark, monkeypatch):
     """Cells over several units, hot units met by blocks of queries, extra columns and repeated ids."""
     monkeypatch.setattr(neighbours, "UNIT_VECTORS", 64)
