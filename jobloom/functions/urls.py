@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,6 +186,39 @@ def key_by_source(source: Column, url: Column, patterns: dict[str, str]) -> Colu
     return out
 
 
+# By source, addresses whose number changes when a posting is refreshed. Groups are what stays.
+VOLATILE_FORMS = {
+    "profession": r"^(.*)-\d{4,}$",
+    "kh": r"^(.*)-\d+$",
+    "erste": r"^(.*)-\d+$",
+    "raiffeisen": r"^(.*)-\d+$",
+    "muisz": r"^(.*)--\d+$",
+    "zyntern": r"^(https://zyntern\.com/job/)\d+-(.+)$",
+    "schonherz": r"^(.*/)\d+-([^/]+)$",
+    "mbh": r"^(.*/JobAdvertisement/)\d+(/.+)$",
+    "mfb": r"^(.*/JobAdvertisement/)\d+(/.+)$",
+    "smartrecruiters": r"^(https://jobs\.smartrecruiters\.com/[^/]+/)\d+-(.+)$",
+    "dreamjobs": r"^https://dreamjobs\.hu/[a-z]{2}/job/([^/]+)/(.+)-\d+$",
+    "otp": r"^https://karrier\.otpbank\.hu(?:/otp|/leanyvallalatok)?/job/[^/]+/(\d+)/?$",
+}
+# Sources whose titles change under a number that stays.
+NUMBERED = ["kh", "erste", "raiffeisen"]
+
+
+def volatile_key(source: Column, url: Column, forms: dict[str, str] | None = None) -> Column:
+    """What addresses of one posting share while its number changes: the groups of its source's form, a line each; null for other addresses."""
+    out = F.lit(None).cast("string")
+    for name, form in (VOLATILE_FORMS if forms is None else forms).items():
+        groups = [F.regexp_extract(url, form, k + 1) for k in range(re.compile(form).groups)]
+        out = F.when(source == name, F.when(url.rlike(form), F.concat_ws("\n", *groups))).otherwise(out)
+    return out
+
+
+def number_key(source: Column, url: Column, sources: list[str] = NUMBERED) -> Column:
+    """The number at the end of an address of the sources whose titles change under it; null for others."""
+    return F.when(source.isin(*sources), F.nullif(F.regexp_extract(url, r"-(\d+)$", 1), F.lit("")))
+
+
 def job_key(source: Column, url: Column, title: Column) -> Column:
     """Identity of a mark: by url where there is one, else by title."""
     return F.concat(F.lit("job:"), F.coalesce(source, F.lit("")), F.lit(":"), F.when(url != "", url).otherwise(F.coalesce(title, F.lit(""))))

@@ -147,6 +147,17 @@ def source_flags(rows: DataFrame, source: str, ok: str) -> DataFrame:
     return rows.groupBy(source).agg(F.count("*").alias("n"), F.bool_and(ok).alias("complete"))
 
 
+def found_by_source(pages: DataFrame, source: str, url: str, ok: str) -> DataFrame:
+    """source, url, complete: the distinct urls that a source's pages found, each with whether all of its pages went well.
+
+    Urls of pages that failed count as found; a source without any has one row with a null url. A bucket is
+    rows and no array, so that a source of any size is split like others; a null ok is a failure.
+    """
+    runs = pages.groupBy(source).agg(F.bool_and(F.coalesce(F.col(ok), F.lit(False))).alias("complete"))
+    found = pages.where(F.col(url).isNotNull()).select(source, url).distinct()
+    return runs.withColumnRenamed(source, "_s").join(found, F.col("_s").eqNullSafe(F.col(source)), "left").select(F.col("_s").alias(source), url, "complete")
+
+
 def least_rank(ids: Column, ranks: dict[int, int]) -> Column:
     """The smallest rank of the ids that have one; null if none has."""
     known = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])

@@ -71,19 +71,29 @@ def reconcile(table: DataFrame, found: DataFrame, runs: DataFrame, as_of: str, s
     return joined.withColumns({"active": active, "sweep_dead": dead}).select(table.columns)
 
 
-def migrate_urls(table: DataFrame, batch: DataFrame, key: Column) -> DataFrame:
+def _pairs(old: DataFrame, new: DataFrame, key: Column) -> DataFrame:
+    """source, url, _to: old rows and new urls of one key, one to one; a null key pairs nothing."""
+    new = new.withColumn("_key", key).where("_key IS NOT NULL")
+    new = new.withColumn("_n", F.row_number().over(Window.partitionBy("source", "_key").orderBy("url")))
+    rank = Window.partitionBy("source", "_key").orderBy(F.desc("active"), F.desc("first_seen"), "url")
+    old = old.withColumn("_key", key).where("_key IS NOT NULL").withColumn("_n", F.row_number().over(rank))
+    return old.select("source", "url", "_key", "_n").join(new.withColumnRenamed("url", "_to"), ["source", "_key", "_n"]).select("source", "url", "_to")
+
+
+def migrate_urls(table: DataFrame, batch: DataFrame, key: Column, *others: Column) -> DataFrame:
     """Old rows take the batch's url with the same stable key, one to one; first_seen stays, and the row is active.
 
     Urls of the batch that the table has, and rows whose url the batch still lists, take no part. Of
-    several old rows, active ones and then the latest go first.
+    several old rows, active ones and then the latest go first. What one key has left is tried by the next of `others`.
     """
     batch = batch.select("source", "url").distinct()
-    new = batch.join(table, ["source", "url"], "left_anti").withColumn("_key", key)
-    new = new.withColumn("_n", F.row_number().over(Window.partitionBy("source", "_key").orderBy("url")))
-    old = table.join(batch, ["source", "url"], "left_anti").withColumn("_key", key)
-    rank = Window.partitionBy("source", "_key").orderBy(F.desc("active"), F.desc("first_seen"), "url")
-    old = old.withColumn("_n", F.row_number().over(rank))
-    pairs = old.select("source", "url", "_key", "_n").join(new.withColumnRenamed("url", "_to"), ["source", "_key", "_n"]).select("source", "url", "_to")
+    new = batch.join(table, ["source", "url"], "left_anti")
+    old = table.join(batch, ["source", "url"], "left_anti").select("source", "url", "active", "first_seen")
+    pairs = _pairs(old, new, key)
+    for other in others:
+        left = old.join(pairs, ["source", "url"], "left_anti")
+        untaken = new.join(pairs.select("source", F.col("_to").alias("url")), ["source", "url"], "left_anti")
+        pairs = pairs.unionByName(_pairs(left, untaken, other))
     moved = table.join(pairs, ["source", "url"], "left")
     is_moved = F.col("_to").isNotNull()
     changes = {"url": F.coalesce("_to", "url"), "active": F.col("active") | is_moved, "sweep_dead": F.col("sweep_dead") & ~is_moved}

@@ -129,9 +129,9 @@ def review_search(name: Column, user: Column, needle: str) -> Column:
 
 
 def file_order(is_folder: Column, name: Column) -> list[Column]:
-    """Folders first, then by the number that a name begins with (9999 without), then by name."""
-    number = F.coalesce(F.regexp_extract(name, r"^\s*(\d+)", 1).try_cast("int"), F.lit(9999))
-    return [is_folder.desc(), number.asc(), name.asc()]
+    """Folders first, then by the number that a name begins with (9999 without), then by name as people sort: letters before case and accents."""
+    number = F.coalesce(F.nullif(F.regexp_extract(name, r"^(\d+)", 1), F.lit("")).try_cast("double"), F.lit(9999.0))
+    return [is_folder.desc(), number.asc(), F.collate(name, "UNICODE").asc()]
 
 
 def notes_for(title: Column, notes: dict[str, str]) -> Column:

@@ -591,4 +591,4 @@ def html_reduced_len(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(html.reduced(F.col("html"))).cast("long").alias("chars"))
 
 
-from jobloom.plans import chains, choices, extracts, rules  # noqa: E402,F401  register their queries
+from jobloom.plans import chains, choices, extracts, origins, rules  # noqa: E402,F401  register their queries

@@ -107,6 +107,8 @@ def anchors(html: Column) -> Column:
 class _Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        #: What a script or style holds, which is no text.
+        self.code = ""
 
     def _raw(self, padded: bool, without: frozenset[int]) -> Iterator[str]:
         waiting = self.children[::-1]
@@ -163,6 +165,8 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         if self.at.tag not in ("script", "style"):
             self.at.children.append(data)
+        else:
+            self.at.code += data
 
 
 def parsed(html: str | None) -> _Node:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import normalize_text, normalize_whitespace, once, title_hash
+from jobloom.functions.urls import canonical_url, resolved_url
 from jobloom.sources.feeds import json_rows
-from jobloom.sources.html import attribute, padded_text, text_of
+from jobloom.sources.html import attribute, decoded, padded_text, text_of
 
 _LD_BLOCK = r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 _NEXT_DATA = r'(?is)<script[^>]+id="__NEXT_DATA__"[^>]*>(.*?)</script>'
@@ -52,6 +53,20 @@ def fragment_rows(pages: DataFrame, payload: str, total: str = "total") -> DataF
     return out.where(first).select(*rest, F.col("_r.url").alias("url"), text_of(F.col("_r.row")).alias("title"), "total")
 
 
+def in_envelope(pages: DataFrame, payload: str, name: str) -> DataFrame:
+    """page_id, url, html of pages whose HTML is a member of a JSON payload, such as {view: html}; what is no such JSON has a null html."""
+    return pages.select("page_id", "url", F.get_json_object(payload, f"$.{name}").alias("html"))
+
+
+def attribute_links(pages: DataFrame, name: str, pattern: str) -> DataFrame:
+    """page_id, url: the addresses, resolved against a page's url, that any tag's attribute names and a pattern finds, each once a page."""
+    quoted = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    said = F.regexp_extract_all("html", F.lit(quoted), F.lit(0))
+    value = lambda x: decoded(F.coalesce(F.nullif(F.regexp_extract(x, quoted, 1), F.lit("")), F.regexp_extract(x, quoted, 2)))
+    links = F.transform(said, lambda x: once(once(value(x), lambda v: resolved_url(F.col("url"), v)), lambda u: canonical_url(u)))
+    return pages.select("page_id", F.explode(F.array_distinct(F.filter(links, lambda x: x.rlike(pattern)))).alias("url"))
+
+
 def page_props(html: Column, path: str) -> Column:
     """JSON at a path of the object that a page carries in its data-page attribute; null without one."""
     return F.get_json_object(attribute(html, r"\w+", "data-page"), f"$.{path}")
