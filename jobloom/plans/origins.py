@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from jobloom.functions import urls
 from jobloom.operators import rollups, state, views
-from jobloom.plans.extracts import _HOST, _NAMED, _pages
+from jobloom.plans.markup import _HOST, _NAMED, _NAMES, _pages
 from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources import experience, html, payloads
 from jobloom.sources.tables import table
@@ -80,7 +80,7 @@ def experience_by_source(spark, d):
     which = (F.col("page_id") % len(_SOURCES)).cast("int")
     pages = _pages(spark, d, "@\n$").withColumn("named", F.split("html", "\n"))
     size = table(spark, d, "part").select(F.col("p_name"), F.col("p_partkey"), (F.col("p_size") % 9).cast("int").alias("n"))
-    pages = pages.join(size, F.col("p_partkey") == F.col("page_id") % 150)
+    pages = pages.join(size, F.col("p_partkey") == F.col("page_id") % _NAMES)
     text = F.get(F.array(*[F.lit(x) for x in markup]), which)
     for mark, value in (("~", F.col("n") + 1), ("%", F.col("n") + 3), ("!", F.col("n") + 4), ("@", F.get("named", F.lit(0))), ("$", F.get("named", F.lit(1)))):
         text = F.replace(text, F.lit(mark), value.cast("string"))
