@@ -138,6 +138,11 @@ def strip_date_suffix(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+\d{4}\.\s*\d{2}\.\s*\d{2}\.\s*$", ""))
 
 
+def strip_written_date(s: Column) -> Column:
+    """s without the date at its end as it is written, one space between its parts and nothing after it; outer spaces stay."""
+    return F.regexp_replace(s, r"\s+\d{4}\.\s\d{2}\.\s\d{2}\.$(?!\n)", "")
+
+
 def strip_control(s: Column, most: int = 2000) -> Column:
     return F.substring(F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, most)
 

@@ -150,6 +150,16 @@ LISTING_PARAMETERS = ["sessionId", "hash", "keyword"]
 NETWORK_PARAMETERS = ["trackingId", "pageNum", "position", "refId"]
 
 
+# Paths of a job board that lead to no posting.
+JUNK_PATHS = ["/fiokom", "/csomagok", "/hirdetesfeladas", "/job-category", "/terulet", "/tag", "/category"]
+
+
+def is_junk(url: Column, prefixes: list[str] = JUNK_PATHS) -> Column:
+    """The path begins with one of the prefixes, or this is no url; upper case differs."""
+    path = F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1)
+    return F.coalesce(~is_url(url) | path.rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"), F.lit(True))
+
+
 def listing_url(url: Column, host: str = "www.profession.hu", prefix: str = "/allas/") -> Column:
     """Canonical, without search parameters, and on the listing's own paths without the town before the number."""
     own = (url_host(url) == host) & F.lower(F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#]*)", 1)).startswith(prefix)

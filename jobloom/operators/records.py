@@ -57,6 +57,12 @@ def add_findings(known: DataFrame, found: DataFrame, key: str, order: str) -> Da
     return known.unionByName(first_per_key(found, [key], [order]).join(known.select(key), key, "left_anti").select(known.columns))
 
 
+def add_rejected(known: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """name: those of known as they are, and trimmed ones of more that it lacks, each once; blank and null ones of more add nothing."""
+    new = more.select(F.regexp_replace(F.col(name).cast("string"), r"^\s+|\s+$", "").alias(name)).where(F.col(name) != "")
+    return known.select(name).unionByName(new).distinct()
+
+
 def kept_backups(keys: DataFrame, column: str, as_of: str, days: int = 10) -> DataFrame:
     """Keys whose date, as it stands in them, is within the retention; keys without a date stay."""
     day = F.try_to_date(F.regexp_extract(column, r"(\d{4}-\d{2}-\d{2})", 1))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobloom.functions import urls
-from jobloom.operators import rollups, state, views
+from jobloom.functions import text, urls
+from jobloom.operators import records, rollups, state, views
 from jobloom.plans.markup import _HOST, _NAMED, _NAMES, _pages
 from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources import experience, html, payloads
@@ -112,3 +112,28 @@ def collated_files(spark, d):
     name = F.when(F.col("p_size") % 2 == 0, F.concat_ws("_", "p_size", cased)).otherwise(cased)
     order = views.file_order(F.col("p_size") % 5 == 0, name)
     return table(spark, d, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(*order, "p_partkey")).alias("place"))
+
+
+@_query("""SELECT c_custkey FROM customer WHERE c_custkey % 9 > 6 UNION ALL SELECT page_id FROM pages""")
+def junk_paths(spark, d):
+    """Addresses of customers on paths of which seven lead to no posting, and those of the pages."""
+    prefix = F.get(F.array(*[F.lit(x) for x in (*urls.JUNK_PATHS, "/allas/tag", "/Tag")]), (F.col("c_custkey") % 9).cast("int"))
+    made = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("https://www.x.hu"), prefix, F.lit("s/"), "c_custkey").alias("url"))
+    rows = made.unionByName(table(spark, d, "pages").select(F.col("page_id").alias("c_custkey"), "url"))
+    return rows.where(~urls.is_junk(F.col("url"))).select("c_custkey")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || ' 2026.07.' || (10 + p_size % 20) || '.' || CASE WHEN p_size % 3 = 2 THEN ' ' ELSE '' END END AS detail,
+ p_name AS aggregate FROM part""")
+def click_targets(spark, d):
+    gap = F.when(F.col("p_size") % 3 == 0, " ").otherwise("")
+    end = F.when(F.col("p_size") % 3 == 2, " ").otherwise("")
+    clicked = F.concat("p_name", F.lit(" 2026."), gap, F.lit("07."), gap, (F.lit(10) + F.col("p_size") % 20).cast("string"), F.lit("."), end)
+    return table(spark, d, "part").select("p_partkey", text.strip_written_date(clicked).alias("detail"), text.strip_date_suffix(clicked).alias("aggregate"))
+
+
+@_query("""SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT trim(c_mktsegment) FROM customer UNION ALL SELECT o_orderpriority FROM orders)""")
+def rejected_names(spark, d):
+    segment = F.when(F.col("c_custkey") % 7 == 0, "  ").when(F.col("c_custkey") % 7 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit("\n")))
+    more = table(spark, d, "customer").select(segment.alias("name")).unionByName(table(spark, d, "orders").select(F.col("o_orderpriority").alias("name")))
+    return records.add_rejected(table(spark, d, "part").select(F.col("p_name").alias("name")), more, "name")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.functions import urls
-from jobloom.operators import rollups, state, views
+from jobloom.functions import text, urls
+from jobloom.operators import records, rollups, state, views
 from jobloom.sources import experience, payloads
 
 
@@ -86,3 +86,16 @@ def test_links_in_attributes(spark):
     assert sorted(map(tuple, got)) == [(1, "https://x.hu/job/1/a&b"), (1, "https://x.hu/p/x/job/2")]
     held = spark.createDataFrame([(1, "u", '{"view":"<p>"}'), (2, "u", "broken"), (3, "u", None)], "page_id int, url string, body string")
     assert [r["html"] for r in payloads.in_envelope(held, "body", "view").orderBy("page_id").collect()] == ["<p>", None, None]
+
+
+def test_dates_junk_and_rejected_names(spark):
+    said = ["X 2026. 07. 09.", "X 2026.07.09.", "X 2026. 07. 09. ", " X", None, "X 2026. 07. 09.\n", "2026. 07. 09."]
+    df = spark.createDataFrame([(x,) for x in said], "s string")
+    got = [tuple(r) for r in df.select(text.strip_written_date(F.col("s")), text.strip_date_suffix(F.col("s"))).collect()]
+    assert got == [("X", "X"), ("X 2026.07.09.", "X"), ("X 2026. 07. 09. ", "X"), (" X", "X"), (None, None), ("X 2026. 07. 09.\n", "X"), ("2026. 07. 09.", "2026. 07. 09.")]
+    at = ["https://x.hu/fiokom?a", "https://x.hu/tagok/1", "https://x.hu/a/tag", "https://x.hu", "/tag", None, "https://x.hu/Tag"]
+    df = spark.createDataFrame([(x,) for x in at], "url string")
+    assert [r[0] for r in df.select(urls.is_junk(F.col("url"))).collect()] == [True, True, False, False, True, True, False]
+    known, more = (spark.createDataFrame([(x,) for x in names], "name string") for names in (["a", " b"], [" a ", "b", "", None, "\tc\n", "c"]))
+    assert sorted(r["name"] for r in records.add_rejected(known, more, "name").collect()) == [" b", "a", "b", "c"]
+    assert records.add_rejected(known.limit(0), more.limit(0), "name").count() == 0
