@@ -1,4 +1,4 @@
-"""Queries of what differs by source: keys of addresses, moves, experience, envelopes and buckets, each with the SQL that must give its rows."""
+"""Queries of what differs by source, and of marks on single postings, each with the SQL that must give its rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobloom.functions import text, urls
-from jobloom.operators import records, rollups, state, views
+from jobloom.operators import marks, records, rollups, state, views
 from jobloom.plans.markup import _HOST, _NAMED, _NAMES, _pages
 from jobloom.plans.queries import _POSTINGS, _query, postings
 from jobloom.sources import experience, html, payloads
@@ -137,3 +137,46 @@ def rejected_names(spark, d):
     segment = F.when(F.col("c_custkey") % 7 == 0, "  ").when(F.col("c_custkey") % 7 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "c_mktsegment", F.lit("\n")))
     more = table(spark, d, "customer").select(segment.alias("name")).unionByName(table(spark, d, "orders").select(F.col("o_orderpriority").alias("name")))
     return records.add_rejected(table(spark, d, "part").select(F.col("p_name").alias("name")), more, "name")
+
+
+_MIRRORED = f"""{_POSTINGS}, mirrored AS (SELECT id, source, url, active, hidden, id AS base FROM postings
+ UNION ALL SELECT -id, 'mirror', url, active, hidden, id FROM postings WHERE id % 5 = 0)"""
+
+
+def _mirrored(spark, d):
+    """Postings, each fifth of which another source has as well."""
+    rows = postings(spark, d)
+    return rows, rows.unionByName(rows.where("id % 5 = 0").withColumns({"id": -F.col("id"), "source": F.lit("mirror")}))
+
+
+@_query(f"""WITH {_MIRRORED} SELECT id, CASE WHEN id < 0 THEN false WHEN id % 4 = 0 THEN false WHEN id % 3 = 0 THEN true ELSE hidden END AS hidden FROM mirrored""")
+def hidden_toggles(spark, d):
+    rows, both = _mirrored(spark, d)
+    mark = lambda which, source, hidden, at: rows.where(which).select("url", source.alias("source"), F.lit(hidden).alias("hidden"), F.lit(at).alias("at"))
+    said = mark("id % 3 = 0", F.lit(" "), True, 1).unionByName(mark("id % 5 = 0", F.lit("mirror"), False, 2)).unionByName(mark("id % 4 = 0", F.col("source"), False, 3))
+    return marks.set_hidden(both, said).select("id", "hidden")
+
+
+def _fixes(spark, d):
+    rows, both = _mirrored(spark, d)
+    fix = lambda which, source, active: rows.where(which).select("url", F.lit(source).cast("string").alias("source"), F.lit(1).alias("at"), F.lit(active).alias("active"))
+    said = fix("id % 2 = 0", None, False).unionByName(fix("id % 6 = 1", "nobody", True)).unionByName(fix("id % 10 = 5", "mirror", True))
+    return marks.fix_fields(both, said, ["active"])
+
+
+@_query(f"""WITH {_MIRRORED} SELECT id, CASE WHEN id > 0 AND id % 2 = 0 AND id % 5 <> 0 THEN false WHEN id < 0 AND base % 10 = 5 THEN true ELSE active END AS active FROM mirrored""")
+def field_fixes(spark, d):
+    return _fixes(spark, d)[0].select("id", "active")
+
+
+@_query(f"""WITH {_POSTINGS} SELECT url, NULL AS source, CASE WHEN id % 5 = 0 THEN 'ambiguous' ELSE 'updated' END AS outcome FROM postings WHERE id % 2 = 0
+ UNION ALL SELECT url, 'nobody', 'not found' FROM postings WHERE id % 6 = 1 UNION ALL SELECT url, 'mirror', 'updated' FROM postings WHERE id % 10 = 5""")
+def fix_outcomes(spark, d):
+    return _fixes(spark, d)[1]
+
+
+@_query(f"""WITH {_POSTINGS} SELECT id, url, active AND source <> '1-URGENT' AS active, sweep_dead OR (active AND source = '1-URGENT') AS sweep_dead, active AND source = '1-URGENT' AS deactivated FROM postings""")
+def deactivations(spark, d):
+    rows = postings(spark, d)
+    table_, asked = marks.deactivate(rows, rows.select("url"), "1-URGENT")
+    return table_.join(asked, "url").select("id", "url", "active", "sweep_dead", "deactivated")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import text, urls
-from jobloom.operators import records, rollups, state, views
+from jobloom.operators import marks, records, rollups, state, views
 from jobloom.sources import experience, payloads
 
 
@@ -99,3 +99,33 @@ def test_dates_junk_and_rejected_names(spark):
     known, more = (spark.createDataFrame([(x,) for x in names], "name string") for names in (["a", " b"], [" a ", "b", "", None, "\tc\n", "c"]))
     assert sorted(r["name"] for r in records.add_rejected(known, more, "name").collect()) == [" b", "a", "b", "c"]
     assert records.add_rejected(known.limit(0), more.limit(0), "name").count() == 0
+
+
+_POSTED = "id int, source string, url string, hidden boolean, active boolean, sweep_dead boolean, title string"
+
+
+def _posted(spark):
+    rows = [(1, "a", "u", False, True, False, "x"), (2, "b", "u", False, True, False, "x"), (3, "a", "v", True, True, False, "x"), (4, None, "w", None, False, False, "x"), (5, "a", None, False, True, False, "x")]
+    return spark.createDataFrame(rows, _POSTED)
+
+
+def test_hidden_by_url_or_source(spark):
+    said = [(" u ", None, True, 1), ("u", "b", False, 2), ("u", "b", True, 1), ("v", "", False, 1), ("v", "", True, 1), ("w", "a", True, 1), ("w", " ", None, 3), (None, None, True, 1), ("u" * 3000, None, True, 1), ("u", "a", False, None)]
+    table = _posted(spark)
+    got = marks.set_hidden(table, spark.createDataFrame(said, "url string, source string, hidden boolean, at int"))
+    assert got.columns == table.columns and {r["id"]: r["hidden"] for r in got.collect()} == {1: True, 2: False, 3: True, 4: None, 5: False}
+
+
+def test_fixes_are_judged(spark):
+    said = [("u", None, 1, "p", None), ("u", "b", 2, "q", None), ("u", "b", 3, None, False), ("v", None, 1, "r", False), ("v", "a", 2, "s", None), ("w", "", 1, "t", True), ("none", None, 1, "x", True), ("v", "zz", 1, "x", True), (None, "a", 1, "x", False)]
+    table, judged = marks.fix_fields(_posted(spark), spark.createDataFrame(said, "url string, source string, at int, title string, active boolean"), ["title", "active"])
+    assert {r["id"]: (r["title"], r["active"]) for r in table.collect()} == {1: ("x", True), 2: ("q", False), 3: ("s", False), 4: ("t", True), 5: ("x", True)}
+    outcomes = {("u", None): "ambiguous", ("u", "b"): "updated", ("v", None): "updated", ("v", "a"): "updated", ("w", None): "updated", ("none", None): "not found", ("v", "zz"): "not found"}
+    assert {(r["url"], r["source"]): r["outcome"] for r in judged.collect()} == outcomes and judged.count() == len(outcomes)
+
+
+def test_postings_that_are_over(spark):
+    named = spark.createDataFrame([("u",), ("u",), ("w",), ("none",), (None,)], "url string")
+    table, asked = marks.deactivate(_posted(spark), named, "a")
+    assert {r["id"]: (r["active"], r["sweep_dead"]) for r in table.collect()} == {1: (False, True), 2: (True, False), 3: (True, False), 4: (False, False), 5: (True, False)}
+    assert sorted(map(tuple, asked.collect())) == [("none", False), ("u", True), ("w", False)]
