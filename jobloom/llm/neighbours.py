@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by largest inner product: multiprobe p-stable hashing.
+"""Nearest neighbours by largest inner product: multiprobe p-stable hashing, and an exact check of what it left out.
 
 With one more coordinate, sqrt(M^2 - |x|^2), all vectors get the largest norm M, and the largest inner
 product is the smallest distance. A table hashes a vector to a cell: PROJECTIONS Gaussian projections,
@@ -9,13 +9,18 @@ Cosine and coverage are measured on a bounded sample of the queries, whose true
 all vectors: the coverage is the least with which LEAST_RECALL of them are met in any table. What a
 query has met in one table it passes over in the next. Candidates of all tables are ranked by their
 exact inner product.
+
+What 64 queries say of the others is no more than likely, and rare kinds of rows may be met by none of their
+queries. So the check follows: each vector is in the cap of its nearest pivot, and a cap's widest angle and
+longest vector bound every inner product in it. A query passes by the caps whose bound reaches its k-th best
+score, and there by the vectors that no table has shown it. The result is that of brute force.
 """
 
 from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,12 @@ QUANTILE = 0.1
 #: Vectors that one unit holds, and the queries that pass by them in one task.
 UNIT_VECTORS = 8192
 UNIT_QUERIES = 1 << 16
+#: Pivots of the check, chosen from a bounded sample, each the farthest from those before; one for CAP_ROWS vectors at most.
+MOST_PIVOTS = 512
+SAMPLE_VECTORS = 4096
+CAP_ROWS = 32
+#: Error of a cosine by angles, as arccos has near 1.
+SLACK = 1e-7
 SEED = 20240617
 _STEP = 256
 #: Cells of all queries of a step.
@@ -64,19 +75,27 @@ class Hashing:
         half = CELLS_A_SIDE // 2
         self.edges = (np.arange(1, CELLS_A_SIDE) - half) * WIDTH - WIDTH / 2
 
-    def cells(self, vectors: np.ndarray) -> np.ndarray:
-        """(TABLES, n) cell numbers of vectors (n, dim)."""
+    def points(self, vectors: np.ndarray) -> np.ndarray:
+        """(n, dim + 1) vectors on the unit sphere, by their further coordinate."""
         scaled = vectors / self.norm
         rest = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
-        points = np.column_stack([scaled, rest])
+        return np.column_stack([scaled, rest])
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        """(TABLES, n) cell numbers of vectors (n, dim)."""
+        points = self.points(vectors)
         return np.stack([np.searchsorted(self.edges, points @ a + b, side="right") @ self.places for a, b in zip(self.axes, self.shift, strict=True)])
 
     def _sides(self, queries: np.ndarray, table_: int) -> np.ndarray:
         """(n, projections, CELLS_A_SIDE) chance of each bucket of each projection to hold a neighbour at the cosine."""
         from math import erf
 
-        norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
-        at = (queries / norms) @ self.axes[table_][:-1] * self.cosine
+        # summed in one order, so that all tasks agree to the last bit on what a query visits, whatever queries are beside it
+        norm2, at = np.zeros((len(queries), 1)), np.zeros((len(queries), self.count))
+        for x, axis in zip(queries.T[:, :, None], self.axes[table_][:-1], strict=True):
+            norm2 += x * x
+            at += x * axis
+        at *= self.cosine / np.sqrt(norm2)
         spread = math.sqrt(max(1e-6, 1 - self.cosine**2))
         z = (self.edges - self.shift[table_][:, None] - at[:, :, None]) / (spread * math.sqrt(2))
         below = (1 + np.vectorize(erf)(z)) / 2
@@ -124,6 +143,36 @@ def measured_coverage(hashing: Hashing, queries: np.ndarray, of: np.ndarray, nei
     return float(np.quantile(first, LEAST_RECALL, method="higher")) + 1e-9 if len(of) else 1.0
 
 
+class Caps:
+    """Caps of the sphere around pivots: counts, widest angles and longest vectors of those to which each pivot is nearest."""
+
+    def __init__(self, hashing: Hashing, sample: np.ndarray, most: int):
+        self.norm = hashing.norm
+        points = hashing.points(sample)
+        # the pole's cap has what is short
+        chosen = [np.eye(hashing.dim + 1)[-1]]
+        nearest = points @ chosen[0]
+        while len(chosen) < most and nearest.min() < 1 - SLACK:
+            chosen.append(points[nearest.argmin()])
+            nearest = np.maximum(nearest, points @ chosen[-1])
+        self.pivots = np.array(chosen)
+        self.counts = np.zeros(len(chosen), np.int64)
+        self.angles, self.lengths = np.zeros(len(chosen)), np.zeros(len(chosen))
+
+    def of(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cap of each point, and the angle to its pivot."""
+        cosines = points @ self.pivots.T
+        cap = cosines.argmax(axis=1)
+        return cap, np.arccos(np.clip(cosines[np.arange(len(points)), cap], -1, 1))
+
+    def most(self, queries: np.ndarray, caps: np.ndarray) -> np.ndarray:
+        """(n, caps) what no inner product of a query with a vector of the cap exceeds."""
+        norms = np.sqrt((queries * queries).sum(axis=1, keepdims=True))
+        away = np.arccos(np.clip((queries / norms) @ self.pivots[caps, :-1].T, -1, 1)) - self.angles[caps]
+        cosines = np.minimum(np.cos(np.maximum(0, away)), self.lengths[caps] / self.norm)
+        return (cosines + SLACK) * self.norm * norms
+
+
 def _with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in more)])
 
@@ -142,12 +191,14 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np
     """(query, rows, scores) of the k best allowed vectors of each query, ties to the smaller id; exact scores."""
     met = np.flatnonzero(allowed.any(axis=0))
     rough = queries @ vectors[met].T
+    # rough scores are off by a share of the lengths, not of the scores
+    off = 1e-11 * np.sqrt((queries * queries).sum(axis=1) * (vectors[met] * vectors[met]).sum(axis=1).max(initial=0))
     for q in range(len(queries)):
         here = np.flatnonzero(allowed[q, met])
         row = rough[q, here]
         if len(row) > k:
             least = np.partition(row, len(row) - k)[len(row) - k]
-            here = here[row >= least - 1e-9 * max(1.0, abs(least))]
+            here = here[row >= least - off[q]]
         rows = met[here]
         exact = (vectors[rows] * queries[q]).sum(axis=1)
         order = np.lexsort((ids[rows], -exact))[:k]
@@ -155,40 +206,61 @@ def _best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, allowed: np
 
 
 class _Unit:
-    """The vectors of one unit, by table."""
+    """The vectors of one unit, by table; with caps, those of some caps, by the first table."""
 
-    def __init__(self, rows: pa.Table, hashing: Hashing, occupied: np.ndarray):
-        self.hashing, self.occupied, self.ids = hashing, occupied, rows["vec_ids"].to_pylist()
-        tables, cells, vectors = rows["table"].to_numpy(), _longs(rows["cells"]), _matrix(rows["embedding"])
+    def __init__(self, rows: pa.Table, hashing: Hashing, occupied: np.ndarray, caps: Caps | None):
+        self.hashing, self.occupied, self.caps, self.ids = hashing, occupied, caps, rows["vec_ids"].to_pylist()
+        tables, cells, vectors, cap = rows["table"].to_numpy(), _longs(rows["cells"]), _matrix(rows["embedding"]), rows["cap"].to_numpy()
         smallest = np.array([x[0] for x in self.ids])
         self.parts = []
         for t in np.unique(tables).tolist():
             at = np.flatnonzero(tables == t)
-            self.parts.append((t, at, [np.unique(cells[at, s], return_inverse=True) for s in range(t + 1)], vectors[at], smallest[at]))
+            by_table = [np.unique(cells[at, s], return_inverse=True) for s in range(TABLES)]
+            self.parts.append((t, at, by_table, np.unique(cap[at], return_inverse=True), vectors[at], smallest[at]))
 
     def _at_least(self, asked: np.ndarray, t: int, cells: np.ndarray, place: np.ndarray, least: np.ndarray) -> np.ndarray:
         """(queries, vectors) whether the vector's cell of table t has at least this ratio."""
         _, ratios = self.hashing.ratios(asked, t, cells, self.occupied[t][cells])
         return (ratios >= least[:, None])[:, place]
 
+    def _reaching(self, asked: np.ndarray, bars: np.ndarray, caps: np.ndarray, place: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """(queries, vectors) whether the vector's cap and its length leave an inner product of at least the query's bar."""
+        norms = np.sqrt((asked * asked).sum(axis=1, keepdims=True)) * (1 + SLACK)
+        long_enough = norms * np.sqrt((vectors * vectors).sum(axis=1)) >= bars[:, None]
+        return (self.caps.most(asked, caps) >= bars[:, None])[:, place] & long_enough
+
     def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
-        """RESULT_SCHEMA rows: the k nearest of the cells that each query visits and has not met in an earlier table, by table."""
+        """RESULT_SCHEMA rows, by table: the k nearest of the cells that each query visits and has not met in an earlier table; with caps, of what reaches its bar and was met in none."""
         asked, query_ids = _matrix(queries.column("embedding")), queries.column("vec_id").to_pylist()
         least = _matrix(queries.column("least"))
+        bars = queries.column("bar").to_numpy() if self.caps else np.full(len(asked), -np.inf)
         out: list[tuple[int, int, float]] = []
-        for t, at, cells, vectors, smallest in self.parts:
-            # the same cells as on the way here, but for rounding: what is close to the last visit is scored again
-            allowed = self._at_least(asked, t, *cells[t], least[:, t] * (1 - 1e-9))
-            for s in range(t):
+        for t, at, cells, caps, vectors, smallest in self.parts:
+            if self.caps:
+                allowed, met = self._reaching(asked, bars, *caps, vectors), range(TABLES)
+            else:
+                # the same cells as on the way here, but for rounding: what is close to the last visit is scored again
+                allowed, met = self._at_least(asked, t, *cells[t], least[:, t] * (1 - 1e-9)), range(t)
+            for s in met:
                 allowed &= ~self._at_least(asked, s, *cells[s], least[:, s] * (1 + 1e-9))
             for q, best, scores in _best(asked, vectors, smallest, allowed, k + 1):
-                own = query_ids[q]
-                pairs = [(-s, x) for r, s in zip(at[best].tolist(), scores.tolist(), strict=True) for x in self.ids[r] if x != own]
+                own, bar = query_ids[q], bars[q]
+                pairs = [(-s, x) for r, s in zip(at[best].tolist(), scores.tolist(), strict=True) if s >= bar for x in self.ids[r] if x != own]
                 out += [(own, x, -s) for s, x in sorted(pairs)[:k]]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
 
+def _units(visits: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.ListArray:
+    """Units of each query, by the first and last unit of each of the cells (queries, cells) that it visits."""
+    wanted = np.zeros((len(visits), int(last.max(initial=0)) + 2), np.int64)
+    q, c = np.nonzero(visits)
+    np.add.at(wanted, (q, first[c]), 1)
+    np.add.at(wanted, (q, last[c] + 1), -1)
+    within = np.cumsum(wanted, axis=1)[:, :-1] > 0
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(within.sum(axis=1))), pa.int32()), pa.array(np.nonzero(within)[1], pa.int64()))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding, norm2 of vectors that take part; -0.0 becomes 0.0."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -202,11 +274,12 @@ RESULT_SCHEMA = "query_id long, vec_id long, score double"
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) to each of queries.
+    """query_id, rank, vec_id, score: the k nearest of vectors (vec_id, embedding) to each of queries.
 
     Equal vectors are one index entry with their k + 1 smallest ids, which is all that k results can
     need. Cells are laid out in units of about UNIT_VECTORS, a cell with more being dealt over
-    several. Queries go to the units that hold cells they visit, and pass by a unit's vectors as a stream.
+    several. Queries go to the units that hold cells they visit, and pass by a unit's vectors as a stream;
+    then, with the score of their k-th, to those of the caps that may hold a nearer one.
 
     Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
     nor do rows without vec_id or vectors of another length than the commonest (the shorter, if tied);
@@ -221,73 +294,117 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     if not found:
         return empty
     dim, norm = found[0]["dim"], math.sqrt(found[0]["norm2"]) * (1 + 1e-12)
-    same = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    # rows that repeat an id count once among the ids
+    same = F.dense_rank().over(Window.partitionBy("embedding").orderBy("vec_id"))
     firsts = vectors.where(F.size("embedding") == dim).withColumn("same", same).where(F.col("same") <= k + 1)
-    entries = firsts.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
+    entries = firsts.groupBy("embedding").agg(F.sort_array(F.collect_set("vec_id")).alias("vec_ids"))
     entries = written(entries, "vectors")
     queries = queries.where(F.size("embedding") == dim).select("vec_id", "embedding")
     n, n_queries = entries.count(), queries.count()
     if not n_queries:
         return empty
     hashing = Hashing(dim, norm, n)
+    sample = entries.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE_VECTORS).toArrow()
+    caps = Caps(hashing, _matrix(sample["embedding"]), max(1, min(MOST_PIVOTS, n // CAP_ROWS)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = hashing.cells(_matrix(batch.column("embedding")))
+            vectors = _matrix(batch.column("embedding"))
+            cells, (cap, angle) = hashing.cells(vectors), caps.of(hashing.points(vectors))
             both = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * TABLES, pa.int32()), pa.array(cells.T.reshape(-1), pa.int64()))
+            check = [pa.array(cap, pa.int64()), pa.array(angle), pa.array(np.sqrt((vectors * vectors).sum(axis=1)))]
             for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([*batch.columns, both, pa.array(np.full(len(batch), t), pa.int32()), pa.array(cells[t], pa.int64())], index_schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, both, *check, pa.array(np.full(len(batch), t), pa.int32()), pa.array(cells[t], pa.int64())], index_schema.names)
 
-    index_schema = _with(entries, ("cells", T.ArrayType(T.LongType())), ("table", T.IntegerType()), ("cell", T.LongType()))
+    check_columns = [("cap", T.LongType()), ("angle", T.DoubleType()), ("length", T.DoubleType())]
+    index_schema = _with(entries, ("cells", T.ArrayType(T.LongType())), *check_columns, ("table", T.IntegerType()), ("cell", T.LongType()))
     index = written(entries.mapInArrow(hashed, index_schema), "vector-index")
+    first_table = index.where("table = 0")
     # one row for each occupied cell: TABLES * CELLS_A_SIDE ** MOST_PROJECTIONS at most
     occupied = np.zeros((TABLES, CELLS_A_SIDE**hashing.count), np.int64)
     for r in index.groupBy("table", "cell").count().collect():
         occupied[r["table"], r["cell"]] = r["count"]
     starts = np.cumsum(occupied).reshape(occupied.shape) - occupied
-    _measure(hashing, index.where("table = 0"), queries, occupied, k)
-
-    def unit_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, cells = batch.column("table").to_numpy(), batch.column("cell").to_numpy()
-            spread = batch.column("spread").to_numpy()
-            units = (starts[t, cells] + spread % occupied[t, cells]) // UNIT_VECTORS
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(units, pa.int64())], units_schema.names)
-
-    units_schema = _with(index, ("unit", T.LongType()))
-    spread = F.pmod(F.xxhash64("embedding"), F.lit(1 << 40))
-    dealt = index.withColumn("spread", spread).mapInArrow(unit_of, units_schema)
-    n_units = -(-int(occupied.sum()) // UNIT_VECTORS)
+    # one row a pivot
+    for r in first_table.groupBy("cap").agg(F.count("*").alias("n"), F.max("angle").alias("angle"), F.max("length").alias("length")).collect():
+        caps.counts[r["cap"]], caps.angles[r["cap"]], caps.lengths[r["cap"]] = r["n"], r["angle"], r["length"]
+    cap_starts = np.cumsum(caps.counts) - caps.counts
+    _measure(hashing, first_table, queries, occupied, k)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, min(_STEP, _STEP_CELLS // int((occupied > 0).sum(axis=1).max())))
+        some = [np.flatnonzero(x) for x in occupied]
+        start, count = (np.concatenate([x[t][some[t]] for t in range(TABLES)]) for x in (starts, occupied))
+        first, last = start // UNIT_VECTORS, (start + count - 1) // UNIT_VECTORS
         for whole in batches:
             for at in range(0, len(whole), step):
                 batch = whole.slice(at, step)
-                wanted = np.zeros((len(batch), n_units + 1), np.int64)
-                least = np.empty((len(batch), TABLES))
-                for t in range(TABLES):
-                    some = np.flatnonzero(occupied[t])
-                    first, last = starts[t][some] // UNIT_VECTORS, (starts[t][some] + occupied[t][some] - 1) // UNIT_VECTORS
-                    visits, least[:, t] = visited(hashing, _matrix(batch.column("embedding")), t, some, occupied[t][some], 2 * k + 1)
-                    q, c = np.nonzero(visits)
-                    np.add.at(wanted, (q, first[c]), 1)
-                    np.add.at(wanted, (q, last[c] + 1), -1)
-                q, u = np.nonzero(np.cumsum(wanted, axis=1)[:, :-1])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * TABLES, pa.int32()), pa.array(least[q].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(q)).columns, lists, pa.array(u, pa.int64())], probes_schema.names)
-
-    probes_schema = _with(queries, ("least", T.ArrayType(T.DoubleType())), ("unit", T.LongType()))
+                asked = _matrix(batch.column("embedding"))
+                visits, least = zip(*[visited(hashing, asked, t, some[t], occupied[t][some[t]], 2 * k + 1) for t in range(TABLES)], strict=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * TABLES, pa.int32()), pa.array(np.stack(least, axis=1).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, _units(np.column_stack(visits), first, last)], probes_schema.names)
+
+    probes_schema = _with(queries, ("least", T.ArrayType(T.DoubleType())), ("units", T.ArrayType(T.LongType())))
     probing = written(queries.mapInArrow(probes, probes_schema), "probes")
+    no_bar = probing.withColumn("bar", F.lit(None).cast("double"))
+    pairs = _met(index, no_bar, lambda t, cell, cap: (starts[t, cell], occupied[t, cell]), (hashing, occupied, None), k)
+    found = written(_ranked(pairs, k), "found")
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(caps.counts)
+        first, last = cap_starts[some] // UNIT_VECTORS, (cap_starts[some] + caps.counts[some] - 1) // UNIT_VECTORS
+        for whole in batches:
+            for at in range(0, len(whole), _STEP):
+                batch = whole.slice(at, _STEP)
+                reaching = caps.most(_matrix(batch.column("embedding")), some) >= batch.column("bar").to_numpy()[:, None]
+                yield pa.RecordBatch.from_arrays([*batch.columns, _units(reaching, first, last)], checks_schema.names)
+
+    # a query with fewer than k is to meet all
+    bar = F.when(F.count("*") == k, F.min("score")).alias("bar")
+    bars = found.groupBy(F.col("query_id").alias("vec_id")).agg(bar)
+    barred = probing.drop("units").join(bars, "vec_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    checks_schema = _with(barred, ("units", T.ArrayType(T.LongType())))
+    checking = written(barred.mapInArrow(remaining, checks_schema), "checks")
+    more = _met(first_table, checking, lambda t, cell, cap: (cap_starts[cap], caps.counts[cap]), (hashing, occupied, caps), k)
+    discard(entries, index, probing, pairs, checking)
+    return _ranked(found.drop("rank").unionByName(more), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of RESULT_SCHEMA rows; a vector found in several tables, or by rows that repeat a query, counts once."""
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    twice = (F.lag("vec_id").over(by_score) == F.col("vec_id")) & (F.lag("score").over(by_score) == F.col("score"))
+    once = pairs.withColumn("twice", F.coalesce(twice, F.lit(False))).where("not twice")
+    ranked = once.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _met(
+    index: DataFrame, probing: DataFrame, place: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], unit_of: tuple[Hashing, np.ndarray, Caps | None], k: int
+) -> DataFrame:
+    """RESULT_SCHEMA rows, written: what queries of probing find in their units; place gives the start and count of the cell by which a vector is dealt."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, count = place(*[batch.column(x).to_numpy() for x in ("table", "cell", "cap")])
+            unit = (start + batch.column("spread").to_numpy() % count) // UNIT_VECTORS
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(unit, pa.int64())], units_schema.names)
+
+    units_schema = _with(index, ("unit", T.LongType()))
+    spread = F.pmod(F.xxhash64("embedding"), F.lit(1 << 40))
+    dealt = index.withColumn("spread", spread).mapInArrow(units, units_schema)
+    probing = probing.withColumn("unit", F.explode("units")).drop("units")
     # one row for each unit: a unit with more than UNIT_QUERIES queries is met by blocks of them, and only its vectors are repeated
     asked = probing.groupBy("unit").count().where(F.col("count") > UNIT_QUERIES)
     asked = asked.select("unit", F.ceil(F.col("count") / UNIT_QUERIES).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     left = dealt.join(F.broadcast(asked), "unit", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("unit", "block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("vec_id"), "embedding", "vec_ids", "table", "cells", F.lit(None).cast("array<double>").alias("least"))
+    of_vectors = {"vec_ids": "array<long>", "table": "int", "cells": "array<long>", "cap": "long"}
+    of_queries = {"least": "array<double>", "bar": "double"}
+    nothing = lambda kinds: [F.lit(None).cast(kind).alias(x) for x, kind in kinds.items()]
+    left = left.select("unit", "block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("vec_id"), "embedding", *of_vectors, *nothing(of_queries))
     right = probing.join(F.broadcast(asked), "unit", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    nothing = [F.lit(None).cast(x) for x in ("array<long>", "int", "array<long>")]
-    right = right.select("unit", "block", F.lit(1).alias("side"), "vec_id", "embedding", *[c.alias(x) for c, x in zip(nothing, ("vec_ids", "table", "cells"), strict=True)], "least")
+    right = right.select("unit", "block", F.lit(1).alias("side"), "vec_id", "embedding", *nothing(of_vectors), *of_queries)
     sides = left.unionByName(right).repartition("unit", "block").sortWithinPartitions("unit", "block", "side")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,19 +424,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
                     held.append(part)
                     continue
                 if held:
-                    unit, held = _Unit(pa.Table.from_batches(held), hashing, occupied), []
+                    unit, held = _Unit(pa.Table.from_batches(held), *unit_of), []
                 if unit is not None:
                     for at in range(0, len(part), _STEP):
                         yield unit.nearest(part.slice(at, _STEP), k)
 
-    pairs = written(sides.mapInArrow(meet, RESULT_SCHEMA), "neighbours")
-    discard(entries, index, probing)
-    # a vector found in several tables, or by rows that repeat a query, counts once
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    twice = (F.lag("vec_id").over(by_score) == F.col("vec_id")) & (F.lag("score").over(by_score) == F.col("score"))
-    once = pairs.withColumn("twice", F.coalesce(twice, F.lit(False))).where("not twice")
-    ranked = once.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return written(sides.mapInArrow(meet, RESULT_SCHEMA), "neighbours")
 
 
 def _measure(hashing: Hashing, entries: DataFrame, queries: DataFrame, occupied: np.ndarray, k: int) -> None:

@@ -355,6 +355,48 @@ def test_nearest_in_small_units(spark, monkeypatch):
     assert hits >= 0.9 * 180 * 20
 
 
+def test_nearest_of_rare_kinds_of_rows(spark, monkeypatch):
+    """Few rows without structure beside tight clusters, and lengths of two magnitudes: every query's rows are those of brute force."""
+    monkeypatch.setattr(neighbours, "UNIT_VECTORS", 512)
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((60, 32))[rng.integers(0, 60, 2000)] + 0.1 * rng.standard_normal((2000, 32))
+    vectors[::40] = rng.standard_normal((50, 32))
+    vectors[1::9] *= 3
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(0, 2000, 20):
+        scores = (vectors * vectors[q]).sum(axis=1)
+        best = [k for k in np.lexsort((np.arange(2000), -scores)).tolist() if k != q][:20]
+        assert [got[q][k] for k in range(1, 21)] == [(k, pytest.approx(scores[k])) for k in best], q
+
+
+def test_what_the_first_pass_leaves_out_is_found(spark, monkeypatch):
+    """With next to no coverage in the first pass, the check finds the rest, and tells vectors of one score by their ids."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    monkeypatch.setattr(neighbours, "LEAST_RECALL", 0.0)
+    monkeypatch.setattr(neighbours, "UNIT_VECTORS", 64)
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (700, 6)).astype(float)
+    vectors[0] = [1, 0, 0, 0, 0, 0]
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 7).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    for q in range(0, 700, 20):
+        scores, some = vectors @ vectors[q], vectors.any(axis=1)
+        best = [k for k in np.lexsort((np.arange(700), -scores)).tolist() if k != q and some[k]][:7]
+        assert [got[q][k] for k in range(1, 8)] == best, q
+
+
+def test_nearest_beside_rows_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 1.0])] * 30 + [(k, [1.0, 1.0]) for k in range(2, 6)] + [(9, [1.0, 0.0]), (10, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in neighbours.nearest(df, df.where("vec_id = 9")).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 10)]
+
+
 def test_chat_beside_clashing_columns(spark):
     rows = [(1, 1, "assistant", "b\\<|end|>", "x", 3), (1, 0, "user", "a", "y", 4), (2, 0, "assistant", "y" * 50_000, "z", 5), (3, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, token_ids int")
